@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,23 @@ def local_env() -> None:
     """One thread for each Python worker: the cores belong to Spark's tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over all rows that come before in ``order``.
+
+    The rows are dealt out by ranges of ``order``, which should tell them apart;
+    a range adds up its own rows, and the ranges' totals - one row for each - are
+    added up in turn.
+    """
+    ranged = cut(df.repartitionByRange(spread(df), *order).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("__range").agg(F.sum(weight).alias("__sum"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.withColumn("__own", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+        .join(totals, "__range")
+        .withColumn(name, F.col("__own") + F.col("__base"))
+        .drop("__range", "__own", "__base")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, simhash, token_files
+from . import byte_bpe, hilbert, mcd, simhash, temperature_mix, token_files
 from ._shared import read_table
 
 
@@ -14,15 +14,32 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(read_table(spark, sf_dir, "documents"))
+
+
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each time that the budget takes a document, by source, epoch and block."""
+    mixed = temperature_mix.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "source", "__tokens AS n_tokens", "__epoch AS epoch", "__block AS block", "__turn AS turn")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     parts = token_files.write_sequences(read_table(spark, sf_dir, "documents"), path)
     return token_files.read_documents(spark, parts)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_simhash_pivots, op10_arrow_sequences)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_hilbert_shards, op3_temperature_mix, op4_simhash_pivots, op5_mcd_outliers, op10_arrow_sequences)
+}
 ORACLES: dict[str, str] = {}
