@@ -26,12 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written rows."""
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written rows.
+
+    ``rows``: about how many narrow rows there are, if known.  They are then
+    written to a file for each ``FILE_ROWS``, not one for each shuffle partition.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A narrow table, written, and the number of its rows."""
+    written = cut(df)
+    return written, written.count()
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are few; else joins shuffle it, and split what is skewed."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -153,15 +153,19 @@ def links(distinct: DataFrame, radius: int = 2, crowd: int = 24, pivot_count: in
     return sparse.union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the least node reachable, for every node of an edge (a < b)."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+def components(edges: DataFrame, rounds: int = 40, nodes: int | None = None) -> DataFrame:
+    """(node, root): the least node reachable, for every node of an edge (a < b).
+
+    ``nodes``: about how many nodes there are, if known.
+    """
+    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), nodes)
+    rows = edges.count()
     before = None
     for _ in range(rounds):
         # large star: a node's greater neighbours go to its least neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its lesser neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
@@ -169,7 +173,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .filter("u <> v")
-            .distinct()
+            .distinct(),
+            rows,
         )
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -182,8 +187,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def _roots(marked: DataFrame, radius: int = 2, crowd: int = 24, pivot_count: int = 16) -> DataFrame:
     """(fp, least, copies, root) of every distinct fingerprint of ``marked``."""
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    found = components(links(classes.select("fp"), radius, crowd, pivot_count))
+    n = marked.count()
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), n)
+    found = components(links(classes.select("fp"), radius, crowd, pivot_count), nodes=n)
     return classes.join(found, classes.fp == found.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
 
 
