@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import q_convo, q_evaluate, q_pii, q_relational, q_text, q_tokens, q_twosample, q_vectors  # noqa: F401
+    from . import q_convo, q_evaluate, q_pii, q_relational, q_sources, q_text, q_tokens, q_twosample, q_vectors  # noqa: F401
 
 
 def queries() -> dict:
