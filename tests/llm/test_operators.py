@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, gam, hilbert, html_text, langid, mcd, rp_forest, simhash, temperature_mix, token_files
+from weftline.llm import byte_bpe, gam, hilbert, html_text, langid, mcd, rp_forest, simhash, simhash_wide, temperature_mix, token_files
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -228,6 +228,25 @@ def test_simhash_awkward(spark, awkward, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "6", "8", "None"]
 
 
+def test_similar_texts(spark, awkward, empty):
+    rng = random.Random(1)
+    rows, want = [], set()
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        want.add(len(rows))
+        for copy in range(1 + g % 5):
+            new = list(words)
+            for _ in range(copy % 4):  # up to three words changed: a similarity of 0.86 or more
+                new[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    kept = simhash_wide.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == want
+    kept = simhash_wide.drop_similar(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "6", "8", "None"]
+    assert simhash_wide.drop_similar(empty).count() == 0
+
+
 # 5 ---------------------------------------------------------------------------
 
 
