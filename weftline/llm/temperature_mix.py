@@ -15,7 +15,8 @@ default the budget is the least that takes every document once, so nothing is
 left out, and small sources are repeated up to the limit.
 
 All of it is DataFrame code.  What is joined to documents are tables of sources
-and of their blocks; documents are neither shuffled nor grouped by source.
+and of their blocks: broadcast where their counted rows are few, so that
+documents stay where they are, else shuffled, with skewed keys split at run time.
 
 Tokens of a text are estimated at four bytes each, one at least.
 
@@ -31,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, utf8
+from ._shared import beside, counted, cut, utf8
 
 SEED = 20240
 STEPS, POINTS = 4, 32  # the exponent is found to 32 ** -4
@@ -110,9 +111,9 @@ def mix(
         .withColumn("__rest", (F.col("repeats") - F.floor("repeats")) * F.col("tokens"))
         .select("__source", "__blocks", "__full", "__rest")
     )
-    plan = cut(plan)
+    plan, n_sources = counted(plan)
     key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"))
-    dealt = docs.join(plan, "__source").withColumn("__block", F.pmod(key, F.col("__blocks")).cast("int"))
+    dealt = docs.join(beside(plan, n_sources), "__source").withColumn("__block", F.pmod(key, F.col("__blocks")).cast("int"))
     turn = lambda epoch: F.xxhash64(F.lit(SEED), F.col("__source"), F.col("__block"), epoch)
     within = F.xxhash64(F.lit(SEED + 1), F.col(id_col).cast("string"), F.col("__full"))
     # the last, partial epoch: which blocks are in whole, and where it ends
@@ -130,7 +131,7 @@ def mix(
     last = blocks.filter("__sum > __left").select("__source", "__block", "__left")
     inside = Window.partitionBy("__source").orderBy("__within").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        partial.join(last, ["__source", "__block"])
+        partial.join(beside(last, n_sources), ["__source", "__block"])
         .withColumn("__within", within)
         .select("__source", "__block", "__within", "__tokens", "__left")
         .withColumn("__before", F.coalesce(F.sum("__tokens").over(inside), F.lit(0)))
@@ -138,10 +139,10 @@ def mix(
         .groupBy("__source", "__block")
         .agg(F.max("__within").alias("__end"))
     )
-    taken = cut(blocks.join(ends, ["__source", "__block"], "left").select("__source", "__block", F.lit(1).alias("__in"), "__end"))
+    taken, n_blocks = counted(blocks.join(ends, ["__source", "__block"], "left").select("__source", "__block", F.lit(1).alias("__in"), "__end"))
     more = F.when(F.col("__in").isNotNull() & (F.col("__end").isNull() | (within <= F.col("__end"))), 1).otherwise(0)
     return (
-        dealt.join(taken, ["__source", "__block"], "left")
+        dealt.join(beside(taken, n_blocks), ["__source", "__block"], "left")
         .withColumn("__copies", F.col("__full") + more)
         .filter("__copies > 0")
         .withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
