@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import crc_mod, cut, utf8
+from ._shared import beside, counted, crc_mod, utf8
 
 LONGEST = 24
 LONGEST_PIECE = 10
@@ -242,8 +242,8 @@ def training_texts(docs: DataFrame, per_lang: int, id_col: str, text_col: str, l
         .filter(F.col("__n") <= per_lang)
         .select(F.col(id_col).alias("__id"))
     )
-    chosen = cut(chosen)
-    rows = eligible.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(lang_col, text_col).collect()
+    chosen, n_chosen = counted(chosen)
+    rows = eligible.join(beside(chosen, n_chosen), F.col(id_col) == F.col("__id"), "left_semi").select(lang_col, text_col).collect()
     return sorted((row[0], row[1]) for row in rows)
 
 
@@ -296,5 +296,6 @@ def keep_known(docs: DataFrame, path: str, per_lang: int = 250, least: float = 0
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     bad = _identify(docs, narrow, path, per_lang, id_col, text_col, lang_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    bad, n_bad = counted(bad)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(beside(bad, n_bad), same, "left_anti")

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, utf8
+from ._shared import beside, counted, cut, utf8
 
 SPACE = " \\t\\n\\u000B\\u000C\\r"
 STATS = ("x0", "x1", "x2", "x3")
@@ -132,7 +132,7 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
         .when(F.col("m") >= least, F.concat_ws("\u0001", F.lit("l"), "lang"))
         .otherwise("all")
     )
-    return cut(groups.join(of_lang, "lang").select("lang", "source", pool.alias("pool")))
+    return groups.join(of_lang, "lang").select("lang", "source", pool.alias("pool"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -167,9 +167,9 @@ def _factored(params: DataFrame, scale: float) -> DataFrame:
     return cut(out.select("pool", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]))
 
 
-def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, factored: DataFrame, pools: int) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance in their pool."""
-    out = rows.join(factored, "pool", "left")
+    out = rows.join(beside(factored, pools), "pool", "left")
     total = F.lit(0.0)
     for i in range(D):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -180,14 +180,14 @@ def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
     return out.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def _concentrate(rows: DataFrame, factored: DataFrame, coverage: float) -> DataFrame:
+def _concentrate(rows: DataFrame, factored: DataFrame, pools: int, coverage: float) -> DataFrame:
     """Means and covariances of the nearest ``coverage`` of each pool."""
-    near = _distances(rows, factored).withColumn("bin", F.floor(F.log1p("d2") * 64))
+    near = _distances(rows, factored, pools).withColumn("bin", F.floor(F.log1p("d2") * 64))
     counts = near.groupBy("pool", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("pool")
     counts = counts.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("t", F.sum("n").over(by))
     limits = counts.groupBy("pool").agg(F.min(F.when(F.col("c") >= coverage * F.col("t"), F.col("bin"))).alias("limit"))
-    inner = near.join(limits, "pool").filter("bin <= limit")
+    inner = near.join(beside(limits, pools), "pool").filter("bin <= limit")
     means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
     pairs = [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]
     return inner.groupBy("pool").agg(*means, *pairs)
@@ -196,16 +196,17 @@ def _concentrate(rows: DataFrame, factored: DataFrame, coverage: float) -> DataF
 def judge(stats: DataFrame, coverage: float = 0.75, steps: int = 3, confidence: float = 0.99999, least: int = 40) -> DataFrame:
     """``stats`` with base_failed, distance2 and kept."""
     rows = cut(_judged(stats))
-    rows = rows.join(_pools(rows, least), ["lang", "source"])
+    pooled, pools = counted(_pools(rows, least))
+    rows = rows.join(beside(pooled, pools), ["lang", "source"])
     good = rows.filter("not base_failed").select("pool", *STATS)
     inner = chi_square_quantile(coverage, D)
     scale = coverage / chi_square_share(inner, D + 2)
     factored = _factored(_start(good), 1.0)
     for _ in range(steps):
-        factored = _factored(_concentrate(good, factored, coverage), scale)
+        factored = _factored(_concentrate(good, factored, pools, coverage), scale)
     limit = chi_square_quantile(confidence, D)
     verdict = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
-    return _distances(rows, factored).withColumn("kept", verdict).withColumnRenamed("d2", "distance2").drop("pool", *STATS)
+    return _distances(rows, factored, pools).withColumn("kept", verdict).withColumnRenamed("d2", "distance2").drop("pool", *STATS)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -237,4 +238,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("__l"))
         & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s"))
     )
-    return docs.join(bad.distinct(), same, "left_anti")
+    bad, n_bad = counted(bad.distinct())
+    return docs.join(beside(bad, n_bad), same, "left_anti")
