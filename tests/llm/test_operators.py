@@ -247,6 +247,34 @@ def test_similar_texts(spark, awkward, empty):
     assert simhash_wide.drop_similar(empty).count() == 0
 
 
+def test_similar_variants_equal_brute_force(spark):
+    """Crowds of variants of one text, many of them close to the threshold on either side."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(150):
+            new = list(base)
+            for _ in range(rng.randint(3, 6)):
+                new[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    sets = {i: simhash_wide.shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = simhash_wide.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i in root if find(i) == i}
+
+
 # 5 ---------------------------------------------------------------------------
 
 
