@@ -191,3 +191,23 @@ def test_profile_and_consensus(spark):
     rows = [(1, "EMAIL", "A@x.org", 1.0), (1, "EMAIL", "a@x.org", 0.5), (1, "EMAIL", "b@x.org", 1.7), (1, "PHONE", "+1555", 1.0)]
     out = {r.pii_type: r for r in op.consensus(spark.createDataFrame(rows, "id int, pii_type string, cand string, score double"), "id").collect()}
     assert out["EMAIL"].pred == "A@x.org" and out["EMAIL"].total == pytest.approx(1.8)
+
+
+def test_benchmark_similarity_of_whole_texts(spark, tmp_path):
+    """Passages that differ only after 60 characters, or in letters outside ASCII."""
+    import __spark_entry__ as entry
+
+    texts = ["x" * 80 + "one", "x" * 80 + "two four", "é" * 70, "e" * 70, "e" * 70]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.sim for r in entry.queries()["benchmark_similarity_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(1 - distance(a, b) / max(len(a), len(b)), 6) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+    assert got[0] < 1 and got[2] == 0

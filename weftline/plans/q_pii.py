@@ -191,6 +191,14 @@ def benchmark_similarity(spark, sf_dir):
     return pairs.select("item_id", F.round(p.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
+@query()
+def benchmark_similarity_whole(spark, sf_dir):
+    """``benchmark_similarity`` over whole texts, all characters; DuckDB's levenshtein counts bytes, so it has no SQL."""
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return pairs.select("item_id", F.round(p.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+
+
 @query("""SELECT doc_id, left(rpad(trim(left(text, 8 + CAST(doc_id % 120 AS INT))), CAST(greatest(length(trim(left(text, 8 + CAST(doc_id % 120 AS INT)))), 10) AS INT), 'x'), 100) AS fitted,
  CASE WHEN doc_id % 3 = 0 THEN 'a@b.com' || 'x' WHEN doc_id % 3 = 1 THEN '+' || '12345678' ELSE 'fallback-value' END AS repaired FROM documents""")
 def enforce_length(spark, sf_dir):
