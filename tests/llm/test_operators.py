@@ -247,6 +247,18 @@ def test_similar_texts(spark, awkward, empty):
     assert simhash_wide.drop_similar(empty).count() == 0
 
 
+def test_prefixes_meet_at_the_threshold():
+    """Two sets of a similarity of just 0.8 share a shingle of their prefixes in any order, whatever their number."""
+    rng = random.Random(11)
+    for step in range(300):
+        u = rng.randint(1, 40) * 5 if step else 5
+        order = rng.sample(range(10**9), u)
+        only = set(rng.sample(range(u), u // 5))  # a fifth of the union is in one of them
+        a = sorted(v for i, v in enumerate(order) if i not in only or i % 2)
+        b = sorted(v for i, v in enumerate(order) if i not in only or not i % 2)
+        assert set(a[: simhash_wide.prefix_length(len(a), 0.8)]) & set(b[: simhash_wide.prefix_length(len(b), 0.8)])
+
+
 def test_similar_variants_equal_brute_force(spark):
     """Crowds of variants of one text, many of them close to the threshold on either side."""
     rng = random.Random(7)
