@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,19 +16,30 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is read from ``spark.checkpoint.dir``.  Only where that setting is
-    absent (unit tests in local mode) a folder of this process is used.
+    absent and all of Spark is one process (unit tests) a folder of this machine
+    is used, and removed at the end.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None)
         if folder is None:
-            folder = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="weftline-")
+            place = tempfile.mkdtemp(prefix="weftline-")
+            atexit.register(shutil.rmtree, place, ignore_errors=True)
+            folder = shared_dir.own = "file://" + place
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 FILE_ROWS = 500_000
 
 

@@ -20,15 +20,19 @@ the driver is a row for each part.
 
 A word is encoded once for as long as a worker remembers it: the vocabulary's
 pre-tokenizer drops white space and no token crosses it, so the ids of a text
-are those of its words.
+are those of its words.  The file's special tokens, where a text spells them,
+have their own ids, as the library gives them; they cut the text.
 
 Rows: null text counts as empty and has the end id alone; documents with equal
-ids follow one another in the order of their texts; null ids come first; an
-empty table writes no file and gives an empty table; other columns are ignored.
+ids follow one another in the order of a hash of their texts, then of the texts,
+so that an id that many documents share isn't one task's; null ids come first;
+an empty table writes no file and gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -54,13 +58,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self._model = self.tokenizer.model
         self._pieces = _Memory(self._encode_piece)
         self._words = _Memory(self._encode_word, 2 * REMEMBERED)
         self._table = dict(enumerate(byte_characters()))
         self._lower = self._is_plain()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self._added = {token.content: self._pack([i]) for i, token in added.items()}
+        plain = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added.values())
+        # the longest first, as the library takes the longest of those that start at one place
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added and plain else None
+        self._by_library = bool(added) and not plain
 
     def _spell(self, word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self._table)
@@ -94,6 +103,13 @@ class WordEncoder:
         return b"".join(self._pieces[piece] for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(word))
 
     def encode_bytes(self, text: str) -> bytes:
+        if self._by_library:
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self._cut is not None and self._cut.search(text):
+            return b"".join(self._added.get(part) or self._encode_plain(part) for part in self._cut.split(text))
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: str) -> bytes:
         # str.split() also splits at four control characters that aren't white space
         words = text.split() if not _CONTROLS.intersection(text) else [w for w in text.split(" ") if w]
         packed = b"".join(map(self._words.__getitem__, words))
@@ -239,7 +255,8 @@ def write_sequences(docs: DataFrame, path: str, end_id: int = 1, length: int = 2
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [at]})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = narrow.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = narrow.repartitionByRange(spread(docs), *order[:2]).sortWithinPartitions(*order)
     return sorted(ordered.mapInArrow(run, SUMMARY).collect())
 
 
