@@ -26,7 +26,7 @@ def test_rest_stands_alone(tmp_path):
         "class No(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('weftline.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, No())\n"
         "import __spark_entry__ as e\n"
         "q = e.queries()\n"
