@@ -430,6 +430,20 @@ def test_forward_sums_all_segmentations():
         assert np.exp(langid.word_log_probabilities(lattice, p, [word]))[0, 0] == pytest.approx(total(word))
 
 
+def test_long_words_and_numerals():
+    pieces = langid.vocabulary(PIECES)
+    assert max(map(len, pieces)) == langid.LONGEST_PIECE
+    langs, p = langid.learn([("en", "the cat and the dog"), ("fr", "le chat et le chien")], pieces)
+    lattice, rng = langid.Lattice(pieces), random.Random(2)
+    words = [langid.START + "".join(rng.choices("thecaning", k=rng.randint(1, langid.LONGEST - 1))) for _ in range(40)]
+    each = np.array([langid._long_word(lattice, p, w)[2] for w in words])
+    assert np.allclose(langid.word_log_probabilities(lattice, p, words), each)
+    scorer = langid.Scorer(langs, p, pieces)
+    assert scorer.predict(["\xbd \xb2 \u2460", "12 34", "\xbd the \xb2"])[0] == ["und", "und", "en"]
+    assert scorer.predict(["thecat" * 5000])[0] == ["en"]
+    assert langid.words_of("a\xbdb C3d") == ["▁a", "▁b", "▁c", "▁d"]
+
+
 def test_language_accuracy_and_awkward(spark, awkward, empty):
     mid = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(mid, PIECES).join(mid.select("doc_id", "lang"), "doc_id").collect()
@@ -451,11 +465,14 @@ def test_token_files(spark, docs, awkward, empty, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
-    for name, table in (("a", docs), ("b", awkward)):
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    odd = [(1, "a <|endoftext|> b"), (1, "<|startoftext|>"), (2, "<|endoftext|><|ENDOFTEXT|>x<|"), (3, "\xbd \xb2 \u0130 <|endoftext|>")]
+    special = spark.createDataFrame(odd, "doc_id long, text string")
+    for name, table in (("a", docs), ("b", awkward), ("s", special)):
         parts = token_files.write_sequences(table, WORDS, length=64, batch_rows=4, folder=f"file://{tmp_path}/{name}")
         out = sorted(token_files.read_documents(spark, parts).collect(), key=lambda r: r.start)
-        rows = sorted(table.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+        hashed = table.withColumn("th", F.xxhash64("text"))
+        rows = sorted(hashed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.th, r.text is not None, r.text or ""))
         start = 0
         for r, want in zip(out, rows, strict=True):
             ids = [*plain.encode(want.text or "", add_special_tokens=False).ids, 1]

@@ -11,18 +11,20 @@ runs over arrays that hold one position of all of them.
 
 Piece probabilities are learned by expectation maximisation over the same
 lattices, from a bounded sample of labelled texts of each language (``per_lang``
-documents, whole, chosen by hash of the id) and smoothed towards the pool of all
-languages.  A letter that no piece covers has one small probability in every
-language.  Words of more than ``LONGEST`` letters are cut every ``LONGEST``.
+documents, whole, chosen by hash of the id, as many of them as have
+``most_bytes`` together) and smoothed towards the pool of all languages.  A letter that no piece covers has one small probability in every
+language.  Words are never cut: those of more than ``LONGEST`` letters, as in
+scripts without spaces, take the same pass one at a time, scaled as it goes.
 
 The prediction is the likeliest language, the first by name on a tie; the score
 is its share of the likelihoods after the root of the number of words is taken,
 so that it doesn't run to one on any long text.
 
-Rows: null text, or one without letters, is ``und`` with score 0; if nothing
-could be learned every text is ``und``; repeated rows are rows like others; an
-empty table gives an empty table; other columns are ignored, or carried on by
-``keep_known``.
+Rows: null text, or one without letters (characters of the Unicode classes L),
+is ``und`` with score 0; if nothing could be learned every text is ``und``; a
+null id isn't held out, and not learned from; repeated rows are rows like
+others; an empty table gives an empty table; other columns are ignored, or
+carried on by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from ._shared import beside, counted, crc_mod, utf8
 
 LONGEST = 24
-LONGEST_PIECE = 10
+LONGEST_PIECE = 16  # letters of the vocabulary's longest piece, mark included
 FLOOR = 1e-8
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -56,17 +58,18 @@ def vocabulary(path: str) -> list[str]:
             continue
         piece = model.id_to_piece(i).lower()
         body = piece[1:] if piece.startswith(START) else piece
-        if len(piece) <= LONGEST_PIECE and (body.isalpha() or piece == START):
+        if body.isalpha() or piece == START:
             found.add(piece)
     return sorted(found)
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of a text, in lower case, marked and cut to length."""
+    """The runs of letters of a text, in lower case and marked."""
     out = []
-    for word in _LETTERS.findall(text.lower()):
-        word = START + word
-        out += [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    for run in _LETTERS.findall(text.lower()):
+        # numerals that aren't digits, as fractions, stand among letters there
+        parts = [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+        out += [START + part for part in parts]
     return out
 
 
@@ -77,6 +80,8 @@ class Lattice:
         self.pieces = pieces
         self.unknown = len(pieces)  # stands for a letter that isn't a piece
         self.none = len(pieces) + 1
+        self.at = {piece: i for i, piece in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
         self._weights = np.uint64(0x9E3779B97F4A7C15) ** np.arange(LONGEST + 2, dtype=np.uint64)
         self._keys = np.zeros(len(pieces) + 2, dtype=np.uint64)
         for i, piece in enumerate(pieces):
@@ -111,7 +116,7 @@ class Lattice:
         """(start, end, piece of each word) for the stretches that are a piece in some word."""
         prefix = self._hashes(words, n)
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST_PIECE), end):
+            for start in range(max(0, end - self.longest), end):
                 keys = prefix[:, end] - prefix[:, start] * self._weights[end - start]
                 found = np.full(len(words), self.none, dtype=np.int32)
                 for multiplier, table in self._tables:
@@ -122,6 +127,11 @@ class Lattice:
                 if (found != self.none).any():
                     yield start, end, found
 
+    def edges_of(self, word: str, end: int) -> list[tuple[int, int]]:
+        """(start, piece) for the pieces of one word that end at ``end``."""
+        found = [(start, self.at[word[start:end]]) for start in range(max(0, end - self.longest), end) if word[start:end] in self.at]
+        return found if found and found[-1][0] == end - 1 else [*found, (end - 1, self.unknown)]
+
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
     groups: dict[int, list[int]] = {}
@@ -130,10 +140,29 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
+def _long_word(lattice: Lattice, probabilities: np.ndarray, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward values at each position of one word, each row divided so that its greatest is one; what was divided by; and log-probabilities."""
+    n = len(word)
+    forward, scale = np.zeros((n + 1, probabilities.shape[1])), np.zeros(n + 1)
+    forward[0] = 1.0
+    for end in range(1, n + 1):
+        for start, piece in lattice.edges_of(word, end):
+            # values before ``start`` are relative to the scale there
+            forward[end] += forward[start] * probabilities[piece] * np.exp(scale[start] - scale[end - 1])
+        top = forward[end].max(initial=0.0)
+        scale[end] = scale[end - 1] + (np.log(top) if top > 0 else 0.0)
+        forward[end] /= top or 1.0
+    return forward, scale, np.log(np.maximum(forward[n], 1e-300)) + scale[n]
+
+
 def word_log_probabilities(lattice: Lattice, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
     """A row for each word: its log-probability in each language.  ``probabilities``: piece by language."""
     out = np.zeros((len(words), probabilities.shape[1]))
     for n, where in _by_length(words).items():
+        if n > LONGEST:
+            for i in where:
+                out[i] = _long_word(lattice, probabilities, words[i])[2]
+            continue
         some = [words[i] for i in where]
         forward = np.zeros((n + 1, len(some), probabilities.shape[1]))
         forward[0] = 1.0
@@ -144,9 +173,14 @@ def word_log_probabilities(lattice: Lattice, probabilities: np.ndarray, words: l
 
 
 def _expected(lattice: Lattice, probabilities: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language, by forward and backward passes."""
+    """Expected uses of each piece in each language, by forward and backward passes.
+
+    Words of more than ``LONGEST`` letters teach nothing: the sample has more of the others.
+    """
     used = np.zeros_like(probabilities)
     for n, where in _by_length(words).items():
+        if n > LONGEST:
+            continue
         some = [words[i] for i in where]
         edges = list(lattice.edges(some, n))
         shape = (n + 1, len(some), probabilities.shape[1])
@@ -232,36 +266,43 @@ class Scorer:
         return langs, scores
 
 
-def training_texts(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (language, text) pairs of each language, outside the held-out fifth."""
+def training_texts(docs: DataFrame, per_lang: int, most_bytes: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """At most ``per_lang`` (language, text) pairs of each language, and ``most_bytes`` of text, outside the held-out fifth."""
     eligible = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0))
-    order = Window.partitionBy(lang_col).orderBy("__h", id_col)
+    size, mark = F.octet_length(F.col(text_col).cast("string")), F.xxhash64(F.col(text_col).cast("string"))
+    order = Window.partitionBy("__lang").orderBy("__h", "__id", "__mark")
     chosen = (
-        eligible.select(F.col(id_col), F.col(lang_col), F.xxhash64(F.col(id_col).cast("string")).alias("__h"))
+        eligible.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col).cast("string")).alias("__h"), size.alias("__size"), mark.alias("__mark"))
+        .filter(F.col("__size") <= most_bytes)
         .withColumn("__n", F.row_number().over(order))
         .filter(F.col("__n") <= per_lang)
-        .select(F.col(id_col).alias("__id"))
+        .withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter(F.col("__sum") <= most_bytes)
+        .select("__id", "__lang", "__mark")
     )
-    chosen, n_chosen = counted(chosen)
-    rows = eligible.join(beside(chosen, n_chosen), F.col(id_col) == F.col("__id"), "left_semi").select(lang_col, text_col).collect()
+    chosen, n_chosen = counted(chosen.distinct())
+    same = (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")) & (mark == F.col("__mark"))
+    rows = eligible.join(beside(chosen, n_chosen), same, "left_semi").select(lang_col, text_col)
+    # rows that repeat an id and its text would each come: one of them is enough
+    rows = rows.distinct().collect()
     return sorted((row[0], row[1]) for row in rows)
 
 
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, path: str, per_lang: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, path: str, per_lang: int = 250, most_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("text"), (crc_mod(F.col(id_col), 5) == 0).alias("held_out")
+        F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("text"), F.coalesce(crc_mod(F.col(id_col), 5) == 0, F.lit(False)).alias("held_out")
     )
-    return _identify(docs, narrow, path, per_lang, id_col, text_col, lang_col)
+    return _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_col)
 
 
-def _identify(docs, narrow, path, per_lang, id_col, text_col, lang_col) -> DataFrame:
+def _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_col) -> DataFrame:
     """lang_pred and score beside the columns of ``narrow`` but its text."""
     pieces = vocabulary(path)
-    langs, p = learn(training_texts(docs, per_lang, id_col, text_col, lang_col), pieces)
+    langs, p = learn(training_texts(docs, per_lang, most_bytes, id_col, text_col, lang_col), pieces)
     shared = docs.sparkSession.sparkContext.broadcast((langs, p, pieces))  # pieces times languages numbers
     kept = [c for c in narrow.columns if c != "text"]
     key = f"{id(shared)}-{len(_scorers)}-{np.abs(p).sum()!r}"
@@ -287,14 +328,14 @@ def _identify(docs, narrow, path, per_lang, id_col, text_col, lang_col) -> DataF
     return narrow.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, path: str, per_lang: int = 250, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, path: str, per_lang: int = 250, most_bytes: int = 4_000_000, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more.
 
     Rows with one id and one text stand or fall together.
     """
     text = utf8(F.col(text_col).cast("string"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    bad = _identify(docs, narrow, path, per_lang, id_col, text_col, lang_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
+    bad = _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     bad, n_bad = counted(bad)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
