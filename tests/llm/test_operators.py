@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, a round trip or held-out rows, and on awkward rows."""
 
+import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -247,6 +249,35 @@ def test_similar_texts(spark, awkward, empty):
     assert simhash_wide.drop_similar(empty).count() == 0
 
 
+def test_similar_texts_with_clashing_columns(spark):
+    columns = "i long, t string, doc_id long, text string, th int, cid int, k int, root int, first int, pivots int, node int, __c0 int, __h int"
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, "x", i, t, *range(9)) for i, t in ((3, words), (1, words + " more"), (2, "other words here"), (1, words + " more"))]
+    df = spark.createDataFrame(rows, columns)
+    kept = simhash_wide.drop_similar(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.t, r.k) for r in kept.collect()) == [(1, "x", 2), (2, "x", 2)]
+
+
+def test_pivot_rows_discard_strangers_and_no_pair():
+    """Of 4,950 pairs the table keeps all that are similar enough, and few others."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(20)]
+    for base in list(sets):
+        for share in (0.95, 0.9, 0.85, 0.6):
+            keep = rng.random(len(base)) < share
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**64, int((~keep).sum()), dtype=np.uint64)])))
+    table = np.stack([np.frombuffer(simhash_wide.pivot_row(s), np.uint8) for s in sets]).astype(int)
+    discarded = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            common = len(np.intersect1d(a, b))
+            out = np.abs(table[i] - table[j]).sum() > simhash_wide.most_apart(len(a), len(b), 0.8)
+            assert not (out and common >= 0.8 * (len(a) + len(b) - common))
+            discarded += out
+    assert discarded > 4700
+
+
 def test_prefixes_meet_at_the_threshold():
     """Two sets of a similarity of just 0.8 share a shingle of their prefixes in any order, whatever their number."""
     rng = random.Random(11)
@@ -259,7 +290,7 @@ def test_prefixes_meet_at_the_threshold():
         assert set(a[: simhash_wide.prefix_length(len(a), 0.8)]) & set(b[: simhash_wide.prefix_length(len(b), 0.8)])
 
 
-def test_similar_variants_equal_brute_force(spark):
+def test_similar_variants_equal_brute_force(spark, monkeypatch):
     """Crowds of variants of one text, many of them close to the threshold on either side."""
     rng = random.Random(7)
     rows = []
@@ -283,8 +314,11 @@ def test_similar_variants_equal_brute_force(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    kept = simhash_wide.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} == {i for i in root if find(i) == i}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i in root if find(i) == i}
+    assert {r.doc_id for r in simhash_wide.drop_similar(df).collect()} == want
+    monkeypatch.setattr(simhash_wide, "_links", functools.partial(simhash_wide._links, leaders=1, block_rows=32))
+    assert {r.doc_id for r in simhash_wide.drop_similar(df).collect()} == want
 
 
 # 5 ---------------------------------------------------------------------------
@@ -371,6 +405,45 @@ def test_html(spark, empty):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+RUNNING = "<p>One, two, three, and a good many words more to be read here, all of it running text.</p><p>And again, some more words, for good measure.</p>"
+READ = html_text.main_text(RUNNING)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="content no-sidebar">%s</div><div class="sidebar"><p>Side, side, side text.</p></div>', "%s"),
+        ('<div class="page-with-side-menu">%s</div>', "%s"),
+        ('<div id=x><p class="lead share">Lead, first.</p>%s</div>', "Lead, first.\n%s"),
+        ("<div class=title><h1>The Head</h1></div><div class=body>%s</div><div class=end><h2>Last</h2><p>Short end.</p></div>", "The Head\n%s\nLast\nShort end."),
+        ("\u0130<SCRIPT>x</SCRIPT><article>%s</article>", "%s"),
+        ("<article>%s<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>", "%s\nLet x=2 be."),
+        ("<article>%s<p>a <svg><title>t</title></svg>b <button>Press</button>c.</p></article>", "%s\na b c."),
+        ('<div class="sidebar-right">%s</div><div class="widget"><p>Small.</p></div>', "%s"),
+        ("<nav><p>x</nav><header><h1>Site</h1></header>%s<footer>y", "%s"),
+        ('%s<div class="comments"><p>I, a reader, with more to say than the article has, and much more than it should have, don\'t agree with this at all, never, and never.</p></div>', "%s"),
+        ("%s<p>cut <a href=", "%s\ncut"),
+    ],
+)
+def test_html_names_and_places(page, want):
+    assert html_text.main_text(page % RUNNING) == want % READ
+
+
+@pytest.mark.parametrize("page", ["<div><p>" * 50_000, "<div>" * 100_000 + "</p>" * 100_000, "<ul>" + "<div>" * 3000 + "<li></li>" * 30_000, "<span hidden>" * 100_000, '<div class="side">x' * 50_000, "<a" * 100_000, '<a "' * 50_000, "<script>" * 100_000])
+def test_html_in_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_html_table(spark, empty):
+    """Null ids and clashing columns."""
+    rows = spark.createDataFrame([(None, None, RUNNING, "a", 1, 2), (1, "u", None, None, 3, 4)], "page_id long, url string, html string, text string, n_chars int, n int")
+    out = html_text.extract(rows)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert {(r.page_id, r.text, r.n_chars) for r in out.collect()} == {(None, READ, len(READ)), (1, "", 0)}
+
+
 def test_pages_give_their_articles(spark):
     import html
 

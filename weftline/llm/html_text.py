@@ -7,22 +7,32 @@ and the like - is set aside with all it holds.  Every other block of text earns
 points for its length and its commas and passes them to its parent, and half of
 them to its grandparent.  An element's points are discounted by the share of its
 text that is in links.  The best element is kept, and of its siblings those that
-score a fifth as much, or are paragraphs of running text.
+aren't mostly links and are running text or headings; so is the headline, if it
+stands before the best element.
+
+Names: a class or id is read word by word.  ``sidebar``, ``site-footer`` and
+``ad-box`` name what they hold; ``no-sidebar``, ``page-with-side-menu`` and
+``has-banner`` say something about an element that holds more, and don't count.
+An element that is set aside for its name alone, and holds most of the page's
+text, comes back, unless its name says comments, advert, menu or the like.  Of
+paragraphs and headings only those go whose name says so in one word.
 
 Text: character references are decoded; white space within a block becomes one
 space; blocks are trimmed, empty ones dropped, and the rest joined by a newline
 in page order.  Line breaks within a block are white space.  Malformed pages are
 read as browsers would: a paragraph ends where the next block starts, an end tag
-closes what is open inside it, and one without a start is ignored.
+closes what is open inside it, one without a start is ignored, and elements are
+nested 512 deep at most.  A page is read in time proportional to its length.
 
 Rows: null html is an empty page; a page without text gives an empty string;
-repeated rows are rows like others; an empty table gives an empty table; other
-columns are ignored.
+null ids and urls stay null; repeated rows are rows like others; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,95 +42,149 @@ from pyspark.sql import functions as F
 from ._shared import utf8
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^>]*)>",
     re.S,
 )
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_ENDS_SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object xmp noembed noframes select button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split()
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html "
+    "legend li main menu nav ol optgroup option p pre search section summary table tbody td template tfoot th thead tr ul".split()
+)
+ASIDE = frozenset("nav footer aside form menu dialog fieldset head template search option".split())
+INLINE_ASIDE = frozenset("svg canvas object select button audio video datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section article main body #root".split())
+# words of a name that set aside: for good, and unless the element holds most of the text
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "footer cookie cookies consent newsletter comment comments disqus replies respond related recommended recommendations pagination pager hidden popup popups modal".split()
 )
-ASIDE = frozenset("nav footer aside form menu dialog fieldset head".split()) | RAW
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|nav(?:bar|igation)?|menus?|breadcrumbs?|"
-    r"sidebars?|side|footer|foot|masthead|header|topbar|cookies?|consent|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|"
-    r"login|search|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|widgets?|tags?|toolbar|legal|copyright|"
-    r"skip|hidden)(?:$|[\s_\d-])",
-    re.I,
+LIKELY = frozenset(
+    "banner banners sidebar sidebars side foot masthead header topbar notice notices alert alerts overlay subscribe subscription signup login search share sharing sharebar social "
+    "widget widgets tags toolbar legal copyright skip".split()
 )
+ABOUT = frozenset("no not non with without has have is layout".split())  # what follows doesn't name the element
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ()}
+DEEPEST = 512
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I | re.A) for tag in RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "aside", "score", "text", "link")
+    """An element: ``gone`` for good, or ``named`` as something to set aside unless it holds most of the text."""
+
+    __slots__ = ("tag", "parent", "depth", "gone", "named", "inside", "aside", "score", "text", "link", "kept", "last")
+
+    def __init__(self, tag: str, parent: _Node | None, gone: bool = False, named: bool = False):
+        self.tag, self.parent, self.named = tag, parent, named
+        self.depth = parent.depth + 1 if parent else 0
+        self.gone = gone or parent is not None and parent.gone
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.aside = self.kept = False
+        self.score, self.text, self.link, self.last = 0.0, 0, 0, ""
+
 
-    def __init__(self, tag: str, parent: _Node | None, aside: bool):
-        self.tag, self.parent, self.aside = tag, parent, aside
-        self.score, self.text, self.link = 0.0, 0, 0
+def named_aside(value: str, exact: bool = False) -> int:
+    """2 if a class or id names something that is never main text, 1 if likely, else 0; ``exact``: names of one word only."""
+    worst = 0
+    for name in value.split():
+        words = [w.lower() for w in _NAME_WORD.findall(name)]
+        words = [w for w in words if not w.isdigit()]
+        if not words or exact and len(words) > 1 or ABOUT.intersection(words):
+            continue
+        # a name says what it is by its first or last word
+        for word in (words[0], words[-1]):
+            worst = max(worst, 2 if word in SURE else 1 if word in LIKELY and not exact else 0)
+    return worst
 
 
-def _set_aside(tag: str, attributes: str, parent: _Node) -> bool:
-    if parent.aside or tag in ASIDE:
-        return True
-    inside = _within(parent, ("article", "main"))
-    if tag == "header" and not inside:
-        return True
+def _set_aside(tag: str, attributes: str, parent: _Node) -> int:
+    """2 for good, 1 by a likely name, 0 not at all."""
+    if parent.gone or tag in ASIDE or tag in INLINE_ASIDE or tag == "header" and not parent.inside:
+        return 2
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    worst = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and NAMES.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
-
+        if name in ("class", "id"):
+            worst = max(worst, named_aside(value, tag in HEADINGS or tag in ("p", "blockquote", "pre")))
+        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            worst = 2
+        elif name == "style" and "display:none" in value.replace(" ", "").lower():
+            worst = 2
+    return worst
 
-def _within(node: _Node | None, tags) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
 
-
-def read_blocks(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
-    """The root, and (element, text, characters in links) of each block outside of what is set aside."""
-    root = _Node("#root", None, False)
-    node, blocks, parts, links, open_links = root, [], [], 0, 0
-    at, end = 0, len(html)
+def read_blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All elements, each after its parent, and (element, text, characters in links) of each block that isn't gone for good."""
+    root = _Node("#root", None)
+    nodes, blocks, opened = [root], [], Counter()
+    node, parts, links, open_links = root, [], 0, 0
+    at, end, last_mark = 0, len(html), html.rfind(">")
 
     def flush():
         nonlocal parts, links
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text and not node.aside:
-                blocks.append((node, text, min(links, len(text))))
+            if text:
+                blocks.append((block_of(node), text, min(links, len(text))))
             parts, links = [], 0
 
+    def block_of(node: _Node) -> _Node:
+        while node.tag not in BLOCKS and node.parent is not None:
+            node = node.parent
+        return node
+
     def add(raw: str):
         nonlocal links
-        if raw and not node.aside:
+        if raw and not node.gone:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
             if open_links:
                 links += len(text.strip())
 
-    lower = None
+    def enter(tag: str, gone: bool, named: bool):
+        nonlocal node
+        while node.depth >= DEEPEST:
+            leave(node)
+        node = _Node(tag, node, gone, named)
+        nodes.append(node)
+        opened[tag] += 1
+
+    def leave(last: _Node):
+        """Close ``last`` and what is open inside it."""
+        nonlocal node
+        up = last.parent
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def nearest(tags, limits=()) -> _Node | None:
+        if not any(opened[t] for t in tags):
+            return None
+        up = node
+        while up is not root and up.tag not in tags and up.tag not in limits:
+            up = up.parent
+        return up if up.tag in tags else None
+
     while at < end:
-        found = _MARKUP.search(html, at)
+        found = _MARKUP.search(html, at) if at <= last_mark else None
         if not found:
-            add(html[at:])
+            # a tag that the page breaks off in isn't text
+            broken = _UNFINISHED.search(html, at)
+            add(html[at : broken.start() if broken else end])
             break
         add(html[at : found.start()])
         at = found.end()
@@ -134,103 +198,113 @@ def read_blocks(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
         tag = tag.lower()
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                lower = lower if lower is not None else html.lower() if len(html.lower()) == len(html) else html
-                close = lower.find(f"</{tag}", at)
-                over = html.find(">", close) if close >= 0 else -1
-                at = over + 1 if over >= 0 else end
+                close = _CLOSE[tag].search(html, at)
+                at = close.end() if close else end
             parts.append(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             open_links = 0 if closing else 1
-            continue
-        if tag in INLINE:
-            # only those that are set aside, as a hidden span, need a place in the tree
-            if not closing and attributes and _set_aside(tag, attributes, node):
-                inner = _Node(tag, node, True)
-                held = parts
-                parts = []
-                node = inner
-                parts = held
-            elif closing and node.tag == tag:
-                node = node.parent
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 flush()
             else:
                 parts.append(" ")
-            continue
-        flush()
-        if closing:
-            opened = node
-            while opened is not root and opened.tag != tag:
-                opened = opened.parent
-            if opened is not root:
-                node = opened.parent
-            continue
-        if tag in CLOSES_P:
-            opened = node
-            while opened.tag in INLINE:
-                opened = opened.parent
-            if opened.tag == "p":
-                node = opened.parent
-        if tag in SIBLINGS:
-            opened = node
-            while opened is not root and opened.tag not in SIBLINGS[tag] and opened.tag not in LIMITS[tag]:
-                opened = opened.parent
-            if opened.tag in SIBLINGS[tag] and opened is not root:
-                node = opened.parent
-        if not attributes.endswith("/"):
-            node = _Node(tag, node, _set_aside(tag, attributes, node))
+        elif tag not in BLOCKS:
+            # of these only those that are set aside, as a hidden span, need a place in the tree
+            if closing:
+                if node.tag == tag:
+                    leave(node)
+            elif not attributes.endswith("/") and (attributes or tag in INLINE_ASIDE or node.tag == tag) and (node.tag == tag or _set_aside(tag, attributes, node)):
+                enter(tag, True, False)
+        else:
+            flush()
+            if closing:
+                last = nearest((tag,))
+                if last is not None:
+                    leave(last)
+                continue
+            if tag in CLOSES_P:
+                last = block_of(node)
+                if last.tag == "p":
+                    leave(last)
+            if tag in SIBLINGS:
+                last = nearest(SIBLINGS[tag], LIMITS[tag])
+                if last is not None:
+                    leave(last)
+            if not attributes.endswith("/"):
+                why = _set_aside(tag, attributes, node)
+                enter(tag, why == 2, why == 1)
     flush()
-    return root, blocks
+    return nodes, blocks
+
+
+def _summed(nodes: list[_Node], blocks) -> None:
+    """Text and link lengths of every element, with all it holds."""
+    for node in nodes:
+        node.text = node.link = 0
+    for node, text, linked in blocks:
+        node.text += len(text)
+        node.link += linked
+        node.last = text
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.text += node.text
+            node.parent.link += node.link
+            node.parent.last = node.parent.last or node.last
+
+
+def _released(nodes: list[_Node], blocks) -> list[tuple[_Node, str, int]]:
+    """The blocks outside of what is set aside: named elements with most of the text aren't."""
+    _summed(nodes, blocks)
+    whole = nodes[0].text
+    for node in nodes:
+        node.aside = node.parent is not None and node.parent.aside or node.named and 2 * node.text <= whole
+    return [b for b in blocks if not b[0].aside]
+
+
+def _value(node: _Node) -> float:
+    return node.score * (1.0 - node.link / max(1, node.text))
+
+
+def _beside(node: _Node, best: _Node) -> bool:
+    """Whether a sibling of the best element goes with it."""
+    if node.link >= 0.3 * max(1, node.text):
+        return False
+    if node.tag == "article":
+        return _value(node) >= 0.2 * _value(best)
+    return node.tag in HEADINGS or bool(_ENDS_SENTENCE.search(node.last)) or node.text > 80
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    _, blocks = read_blocks(html or "")
+    nodes, blocks = read_blocks(html or "")
+    blocks = _released(nodes, blocks)
     if not blocks:
         return ""
-    scored: dict[int, _Node] = {}
-    for node, text, linked in blocks:
+    _summed(nodes, blocks)
+    for node, text, _ in blocks:
         points = 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
         # a block's own element is the paragraph; bare text in a container is its own paragraph
-        own = node.tag in ("div", "section", "article", "main", "body", "#root")
-        up, share = (node if own else node.parent), 1.0
-        for _ in range(2):
-            if up is None:
-                break
-            up.score += points * share
-            scored[id(up)] = up
-            up, share = up.parent, 0.5
-        up = node
-        while up is not None:
-            up.text += len(text)
-            up.link += linked
-            up = up.parent
-    value = lambda n: n.score * (1.0 - n.link / max(1, n.text))
-    best = max(scored.values(), key=value)
+        up = node if node.tag in CONTAINERS else node.parent
+        up.score += points
+        if up.parent is not None:
+            up.parent.score += 0.5 * points
+    best = max((node for node in nodes if node.score > 0), key=_value)
     # what an article element holds belongs together
     up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-            break
+    while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    least = 0.2 * value(best)
-
-    def kept(node: _Node, text: str, linked: int) -> bool:
-        up = node
-        while up is not None:
-            if up is best:
-                return True
-            if up.parent is best.parent and up is not best and best.parent is not None:
-                dense = up.link / max(1, up.text)
-                return value(up) >= max(least, 5.0) and dense < 0.3 or up.tag == "p" and up.text > 80 and dense < 0.25
-            up = up.parent
-        return False
-
-    return "\n".join(text for node, text, linked in blocks if kept(node, text, linked))
+    best = up or best
+    for node in nodes:
+        inherited = node.parent is not None and node.parent.kept
+        node.kept = inherited or node is best or node.parent is best.parent is not None and _beside(node, best)
+    chosen = [node.kept or node is best.parent and not linked and bool(_ENDS_SENTENCE.search(text)) for node, text, linked in blocks]
+    first = next((i for i, (node, _, _) in enumerate(blocks) if node.kept), 0)
+    for i in range(first - 1, -1, -1):
+        node, text, linked = blocks[i]
+        if node.tag == "h1":
+            chosen[i] = chosen[i] or 2 * linked < len(text)
+            break
+    return "\n".join(text for (_, text, _), keep in zip(blocks, chosen) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
