@@ -3,9 +3,14 @@
 Each tree splits the space along random directions.  A split's threshold is the
 median of a bounded sample of the vectors; vectors within ``margin`` of it go
 down both sides, so that near pairs are seldom parted, and several trees make
-it rarer still.  Every vector - not only the sample - is routed to its leaves,
-vectors that share a leaf are compared by cosine in double precision, and those
-that reach the threshold are linked.
+it rarer still.  Every vector - not only the sample - is routed to its leaves.
+Leaves that still have more than ``block_rows`` vectors are split further, level
+by level, at the median of their own vectors, all such leaves of a tree along
+one more random direction, until they have no more or a split no longer makes
+them smaller, as in a dense cluster.  So leaves don't grow with the table.
+Vectors that share a leaf are compared by cosine in double precision, and those
+that reach the threshold are linked.  Vectors of each length have a forest of
+their own, but where they are so few that they fit one leaf.
 
 Equal vectors are one class: classes are compared, and their sizes counted, so
 copies are never expanded into pairs.  A pair of classes that shares several
@@ -16,10 +21,12 @@ row for each linked class - links counted, and the least class reachable within
 the task - not the pairs.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing and are their own component; so do vectors of
-another length than their neighbours'; repeated rows are vectors like others,
-linked with one another; an empty table gives an empty table; other columns are
-ignored.  Recall against brute force is measured in the tests.
+components link with nothing and are their own component; components of any
+finite size are scaled before they are squared; vectors of different lengths
+don't link; a null id is its own component, and of equal vectors the least id
+names the class; repeated rows are vectors like others, linked with one another;
+an empty table gives an empty table; other columns are ignored.  Recall against
+brute force is measured in the tests.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import beside, counted, cut
 from .simhash import components
 
 SEED = 7
@@ -70,65 +77,112 @@ class Forest:
 
 
 def _unit(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
+    """Vectors of one length, each of length one; scaled first, so that no square overflows or vanishes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(cid, v, copies): the distinct usable vectors, named by their least id."""
+    """(cid, v, w, least, copies): the distinct usable vectors, named by a hash, with their length, least id and number."""
     usable = (
         F.col("v").isNotNull()
         & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    return vectors.filter(F.coalesce(usable, F.lit(False))).groupBy("v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
+    found = vectors.filter(F.coalesce(usable, F.lit(False))).groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    return found.select(F.xxhash64("v").alias("cid"), "v", F.size("v").alias("w"), "least", "copies")
 
 
-def _compare(ids, x, copies, leaf, leaves, side, least_cosine, block=512):
+def _compare(ids, x, copies, leaf, rows_of, leaves, side, least_cosine, block=512):
     """Links of each row and the least row reachable, over the pairs first met in ``leaf``.
 
-    ``side`` is 0 or 1 where two blocks are compared, None where one is with itself.
+    ``rows_of`` and ``leaves`` list all leaves of each row.  ``side`` is 0 or 1
+    where two blocks are compared, None where one is with itself.
     """
     n = len(ids)
-    smaller = [np.array([k for k in row if k < leaf]) for row in leaves]
-    names = {k: i for i, k in enumerate(sorted({int(k) for row in smaller for k in row}))}
-    member = np.zeros((n, len(names)), dtype=np.float32)
-    for i, row in enumerate(smaller):
-        member[i, [names[int(k)] for k in row]] = 1.0
+    earlier = leaves < leaf
+    rows_of, leaves = rows_of[earlier], leaves[earlier]
+    names, at = np.unique(leaves, return_inverse=True)
+    again = np.flatnonzero(np.bincount(at, minlength=len(names)) > 1)  # a leaf of one row is no pair's
+    member = np.zeros((n, len(again)), dtype=np.float32)
+    place = np.full(len(names), -1)
+    place[again] = np.arange(len(again))
+    shared = place[at] >= 0
+    member[rows_of[shared], place[at][shared]] = 1.0
 
     def near(a, b):
         close = x[a:b] @ x.T >= least_cosine
         close[np.arange(b - a), np.arange(a, b)] = False
         if side is not None:
             close &= side[a:b, None] != side[None, :]
-        if len(names) and close.any():
-            close &= member[a:b] @ member.T == 0
+        if len(again):
+            i, j = np.nonzero(close)
+            if len(i) > n:
+                close &= member[a:b] @ member.T == 0
+            elif len(i):
+                close[i, j] = np.einsum("ij,ij->i", member[a + i], member[j]) == 0
         return close
 
-    links, root = np.zeros(n, dtype=np.int64), np.arange(n)
+    links = np.zeros(n, dtype=np.int64)
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    label = rank.copy()
+    label = np.empty(n, dtype=np.int64)
+    label[order] = np.arange(n)
     touched = []
     for a in range(0, n, block):
         b = min(n, a + block)
         close = near(a, b)
         if close.any():
-            touched.append((a, b))
+            touched.append((a, b, close))  # at most (2 * block_rows) ** 2 bits of a byte each
             links[a:b] = close @ copies
-            label[a:b] = np.minimum(label[a:b], np.where(close, label[None, :], n).min(axis=1))
     while touched:
         before = label.copy()
-        for a, b in touched:
-            close = near(a, b)
+        for a, b, close in touched:
             label[a:b] = np.minimum(label[a:b], np.where(close, label[None, :], n).min(axis=1))
         label = np.minimum(label, label[order[label]])
         if (label == before).all():
             break
-    root = ids[order[label]]
-    return links, root
+    return links, ids[order[label]]
+
+
+def _split_further(routed: DataFrame, margin_of, block_rows: int, most_rounds: int = 40) -> DataFrame:
+    """``routed`` (cid, w, v, copies, tree, leaf), with leaves of at most ``block_rows`` rows but for dense clusters."""
+    routed = routed.withColumn("was", F.lit(0).cast("long"))
+    element = routed.schema["v"].dataType.simpleString()
+    for step in range(most_rounds):
+        sizes = routed.groupBy("w", "leaf", "was").agg(F.count("*").alias("n"))
+        # a split that leaves four fifths together isn't worth a further one
+        full, n_full = counted(sizes.filter((F.col("n") > block_rows) & ((F.col("was") == 0) | (F.col("n") < 0.8 * F.col("was")))).select("w", "leaf", "n"))
+        if not n_full:
+            return routed.drop("was")
+
+        def project(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                w, tree = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+                along, margin = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                for width in np.unique(w):
+                    for t in np.unique(tree[w == width]):
+                        rows = np.flatnonzero((w == width) & (tree == t))
+                        direction = np.random.default_rng([SEED, step, int(t), int(width)]).normal(size=int(width))
+                        along[rows] = _unit(batch.column(2).take(pa.array(rows))) @ (direction / np.linalg.norm(direction))
+                        margin[rows] = margin_of(int(width))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along), pa.array(margin)], [*batch.schema.names, "along", "margin"])
+
+        split = routed.drop("was").join(beside(full, n_full), ["w", "leaf"]).select("cid", "w", "v", "copies", "tree", "leaf", F.col("n").alias("was"))
+        split = cut(split.mapInArrow(project, f"cid long, w int, v {element}, copies long, tree int, leaf long, was long, along double, margin double"))
+        middle, n_middle = counted(split.groupBy("w", "leaf").agg(F.percentile_approx("along", 0.5, 1000).alias("t")))
+        low, high = F.col("along") <= F.col("t") + F.col("margin"), F.col("along") > F.col("t") - F.col("margin")
+        sides = F.filter(F.array(F.when(low, F.lit(0)), F.when(high, F.lit(1))), lambda s: s.isNotNull())
+        halves = split.join(beside(middle, n_middle), ["w", "leaf"]).withColumn("side", F.explode(sides))
+        halves = halves.select("cid", "w", "v", "copies", "tree", F.xxhash64("leaf", "side", F.lit(step)).alias("leaf"), "was")
+        rest = routed.join(beside(full.select("w", "leaf"), n_full), ["w", "leaf"], "left_anti").select(*halves.columns)
+        routed = cut(rest.unionByName(halves))
+    return routed.drop("was")
 
 
 def link_vectors(
@@ -144,66 +198,74 @@ def link_vectors(
     """(vec_id, n_links, component_id, kept) of every row."""
     vectors = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     classes = cut(_classes(vectors))
-    n = classes.count()
-    widths = {r.w: r.n for r in classes.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()}
-    if not widths:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = next(iter(widths))
-    usual = classes.filter(F.size("v") == width)
-    share = 1 << 20
-    chosen = usual.filter(F.pmod(F.xxhash64("cid"), F.lit(share)) < max(1, share * sample_rows // max(1, n))).select("cid", "v").toArrow().sort_by("cid")
-    sample = _unit(chosen.column(1)) if chosen.num_rows else np.zeros((0, width))
-    depth = 0
-    while n / (1 << depth) > leaf_rows and chosen.num_rows / (1 << (depth + 1)) >= 16:
-        depth += 1
-    # half of a usual difference along a direction, of a pair just at the threshold
-    margin = 0.5 * np.sqrt(2 * (1 - least_cosine)) / np.sqrt(width)
-    forest = table.sparkSession.sparkContext.broadcast(Forest(sample, depth, trees, margin))
+    # lengths with more vectors than a leaf holds: a forest each
+    many = {r.w: r.n for r in classes.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > leaf_rows).collect()}
+    share, forests = 1 << 20, {}
+
+    def margin_of(width: int) -> float:
+        """Half of a usual difference along a direction, of a pair just at the threshold."""
+        return 0.5 * float(np.sqrt(2 * (1 - least_cosine)) / np.sqrt(width))
+
+    for width, n in sorted(many.items()):
+        chosen = classes.filter((F.col("w") == width) & (F.pmod("cid", F.lit(share)) < max(1, share * sample_rows // n))).select("cid", "v").toArrow().sort_by("cid")
+        depth = 0
+        while n / (1 << depth) > leaf_rows and chosen.num_rows / (1 << (depth + 1)) >= 16:
+            depth += 1
+        sample = _unit(chosen.column(1)) if chosen.num_rows else np.zeros((0, width))
+        forests[width] = Forest(sample, depth, trees, margin_of(width))
+    forests = table.sparkSession.sparkContext.broadcast(forests)
 
     def route(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, leaves = forest.value.leaves(_unit(batch.column(1)))
-            order = np.lexsort((leaves, rows))
-            starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(leaves[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["cid", "v", "copies", "leaves"])
-
-    element = usual.schema["v"].dataType.elementType.simpleString()
-    routed = usual.select("cid", "v", "copies").mapInArrow(route, f"cid long, v array<{element}>, copies long, leaves array<int>")
-    routed = cut(routed.withColumn("leaf", F.explode("leaves")))
-    # at most trees * 2 ** depth rows, and 2 ** depth is at most sample_rows / 16
-    blocks = cut(routed.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb")))
-    own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
+            w = batch.column(2).to_numpy()
+            for width in np.unique(w):
+                which = np.flatnonzero(w == width)
+                forest = forests.value.get(int(width))
+                if forest is None:  # few: one leaf for all
+                    rows, leaves, tree = np.arange(len(which)), np.zeros(len(which), np.int64), np.zeros(len(which), np.int32)
+                else:
+                    rows, leaves = forest.leaves(_unit(batch.column(1).take(pa.array(which))))
+                    tree = (leaves >> forest.depth).astype(np.int32)
+                taken = pa.array(which[rows])
+                cid, v, copies = (batch.column(i).take(taken) for i in (0, 1, 3))
+                yield pa.RecordBatch.from_arrays([cid, pa.array(np.full(len(rows), width, np.int32)), v, copies, pa.array(tree), pa.array(leaves.astype(np.int64))], ["cid", "w", "v", "copies", "tree", "leaf"])
+
+    element = classes.schema["v"].dataType.simpleString()
+    routed = classes.select("cid", "v", "w", "copies").mapInArrow(route, f"cid long, w int, v {element}, copies long, tree int, leaf long")
+    routed = cut(_split_further(cut(routed), margin_of, block_rows))
+    # leaves of each class: as many as its trees and what spilled over
+    held = routed.groupBy("cid").agg(F.collect_list("leaf").alias("leaves"))
+    blocks, n_blocks = counted(routed.groupBy("w", "leaf").agg(F.count("*").alias("n")).filter("n > 1").select("w", "leaf", F.ceil(F.col("n") / block_rows).cast("int").alias("nb")))
     dealt = (
-        routed.join(F.broadcast(blocks), "leaf")
-        .withColumn("b", own)
+        routed.join(beside(blocks, n_blocks), ["w", "leaf"])
+        .withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("lo", F.least("b", "o"))
-        .withColumn("hi", F.greatest("b", "o"))
-        .select("leaf", "lo", "hi", "b", "cid", "v", "copies", "leaves")
+        .join(held, "cid")
+        .select("w", "leaf", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "cid", "v", "copies", "leaves")
     )
 
     def compare(group: pa.Table) -> pa.Table:
         leaf, lo, hi = (group.column(c)[0].as_py() for c in ("leaf", "lo", "hi"))
         ids = group.column("cid").to_numpy()
         side = None if lo == hi else group.column("b").to_numpy()
-        links, root = _compare(ids, _unit(group.column("v")), group.column("copies").to_numpy(), leaf, group.column("leaves").to_pylist(), side, least_cosine)
+        leaves = group.column("leaves").combine_chunks()
+        rows_of = np.repeat(np.arange(len(ids)), leaves.value_lengths().to_numpy())
+        links, root = _compare(ids, _unit(group.column("v")), group.column("copies").to_numpy(), leaf, rows_of, leaves.flatten().to_numpy(), side, least_cosine)
         found = (links > 0) | (root != ids)
         return pa.table({"cid": ids[found], "links": links[found], "root": root[found]})
 
-    met = cut(dealt.groupBy("leaf", "lo", "hi").applyInArrow(compare, "cid long, links long, root long"))
+    met = cut(dealt.groupBy("w", "leaf", "lo", "hi").applyInArrow(compare, "cid long, links long, root long"))
     counts = met.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("root").alias("a"), F.col("cid").alias("b")).filter("a <> b"))
-    about = (
+    linked = cut(
         classes.join(counts, "cid", "left")
         .join(roots, F.col("cid") == F.col("node"), "left")
         .filter("copies > 1 or links > 0")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "cid").alias("c"))
+        .select("cid", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "cid").alias("root"))
     )
+    smallest, n_smallest = counted(linked.groupBy("root").agg(F.min("least").alias("c")))
     # rows find their class by a hash of the vector, then the vector itself
-    about = about.select(F.xxhash64("v").alias("h_"), F.col("v").alias("v_"), "n", "c")
+    about = linked.join(beside(smallest, n_smallest), "root").select(F.col("cid").alias("h_"), F.col("v").alias("v_"), "n", "c")
     whole = vectors.withColumn("h", F.xxhash64("v")).join(about, (F.col("h") == F.col("h_")) & (F.col("v") == F.col("v_")), "left")
     component = F.coalesce("c", "vec_id")
     return whole.select(
