@@ -21,8 +21,9 @@ documents stay where they are, else shuffled, with skewed keys split at run time
 Tokens of a text are estimated at four bytes each, one at least.
 
 Rows: null text has one token; a null source is a source of its own; repeated
-rows are rows like others, ordered alike, so both are in or out; an empty table
-gives an empty table; columns of any other name are carried on.
+rows are rows like others, ordered alike, so both are in or out; null ids count
+as one id; an empty table gives an empty table; columns of any name are carried
+on.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import beside, counted, cut, utf8
+from ._shared import beside, counted, cut, fresh, masked, utf8
 
 SEED = 20240
 STEPS, POINTS = 4, 32  # the exponent is found to 32 ** -4
@@ -99,8 +100,12 @@ def mix(
     """A row for each time that a document is taken.
 
     Added columns: ``__tokens``, ``__epoch``, ``__block``, and ``__turn``, by
-    which the blocks of a source follow one another within an epoch.
+    which the blocks of a source follow one another within an epoch; with more
+    underscores in front where the table has a column of that name.
     """
+    names = docs.columns
+    docs, new, restore = masked(docs)
+    id_col, source_col, text_col = new[id_col], new[source_col], new[text_col]
     docs = _with_tokens(docs, source_col, text_col)
     totals = cut(docs.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n_docs")))
     blocks_of = F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(max_blocks)).cast("int")
@@ -141,11 +146,11 @@ def mix(
     )
     taken, n_blocks = counted(blocks.join(ends, ["__source", "__block"], "left").select("__source", "__block", F.lit(1).alias("__in"), "__end"))
     more = F.when(F.col("__in").isNotNull() & (F.col("__end").isNull() | (within <= F.col("__end"))), 1).otherwise(0)
-    return (
+    rows = (
         dealt.join(beside(taken, n_blocks), ["__source", "__block"], "left")
         .withColumn("__copies", F.col("__full") + more)
         .filter("__copies > 0")
         .withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
         .withColumn("__turn", turn(F.col("__epoch")))
-        .drop("__source", "__blocks", "__full", "__rest", "__in", "__end", "__copies")
     )
+    return restore(rows, *[F.col(c).alias(fresh(names, c)) for c in ("__tokens", "__epoch", "__block", "__turn")])
