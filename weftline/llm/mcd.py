@@ -1,52 +1,79 @@
 """Quality rules and robust outliers: minimum covariance determinant for each language and source.
 
-A document is described by counts over its whole text, and by four statistics
-that don't grow with its length: the logarithm of the mean word length, and the
-square roots of symbols per character, duplicate lines per word and repeated
-words per word.  For each language and source a mean and covariance are
-estimated from the ``coverage`` of its documents that lie closest together: the
-start is the median and interquartile range of each statistic, and each
-concentration step takes the documents nearest in Mahalanobis distance and
-estimates anew, which never raises the determinant.  The covariance is scaled to
-be consistent at the normal distribution, and a variance ``FLOORS`` is added,
-below which a statistic says nothing about quality.  Documents whose squared
-distance exceeds the chi-square quantile ``confidence`` are rejected.
+A document is described by counts over its whole text, and by three statistics
+that the estimates use: the logarithms of characters per word, of marks per
+character (a mark is neither letter nor numeral: punctuation and symbols), and of
+repeated words per word (words less distinct ones).  Each is first drawn towards
+the median document of its group as if ``shrink`` words of that were added, so
+that short texts, whose shares vary most, don't look like outliers; all three
+have a spread of their own in any group, none is constant.
+
+Estimate
+    For each language and source the ``coverage`` of the documents whose
+    covariance has the least determinant.  Concentration steps start from several
+    places: medians and interquartile ranges; the covariances of the hyperbolic
+    tangent and of the direction of the standardised rows; the half nearest to
+    the median; and ``FEW`` draws, by hash, of about ``DRAWN`` documents.  The
+    first two steps from each run over about ``start_rows`` documents of a group.  Each step takes the documents nearest in Mahalanobis
+    distance and estimates anew, which never raises the determinant.  After
+    these the start with the least determinant goes on until its determinant
+    settles.  The covariance is scaled to be consistent at the normal
+    distribution, and the estimate is made once more from all documents within
+    the ``reweight`` quantile.  A variance of ``TINY`` is added, only so that no
+    matrix is singular.  Documents whose squared distance exceeds the chi-square
+    quantile ``confidence`` are rejected.
 
 Groups with fewer than ``least`` documents are pooled by language, and what is
 still smaller in one pool.  Documents that fail the base rules take no part in
 the estimates.
 
 All of it is DataFrame code: the texts are read once, and the steps run over a
-written table of four numbers a document.  Quantiles come from counts over fixed
-bins, so no group is gathered anywhere and equal input gives equal results.
+written table of three numbers a document.  Quantiles come from counts over fixed
+bins, so no group is gathered anywhere.
 
 Rows: null text has no words and fails; null lang or source is a group of its
-own; repeated rows are rows like others; an empty table gives an empty table;
-columns of other names are ignored, or carried on by ``keep_good``.
+own; a null id is carried like any other; repeated rows are rows like others; an
+empty table gives an empty table; columns of other names are ignored, or carried
+on by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import beside, counted, cut, utf8
+from ._shared import beside, counted, cut, masked, utf8
 
 SPACE = " \\t\\n\\u000B\\u000C\\r"
-STATS = ("x0", "x1", "x2", "x3")
-FLOORS = (0.06, 0.06, 0.06, 0.10)
+STATS = ("x0", "x1", "x2")
 D = len(STATS)
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+TINY = 1e-8
+FEW, DRAWN = 6, 5
+STARTS = 4 + FEW
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-3
+QUANTILE_BIN, DISTANCE_BINS, FARTHEST = 1e-3, 128, 1e3
 
 
 def chi_square_share(x: float, freedom: int) -> float:
-    """P(chi-square <= x) for an even number of degrees of freedom."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(freedom // 2))
+    """P(chi-square <= x), by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, half = freedom / 2, x / 2
+    total = term = 1 / a
+    n = a
+    while term > 1e-16 * total:
+        n += 1
+        term *= half / n
+        total += term
+    return min(1.0, total * math.exp(a * math.log(half) - half - math.lgamma(a)))
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
-    low, high = 0.0, 1000.0
+    low, high = 0.0, 500.0
     for _ in range(80):
         middle = (low + high) / 2
         low, high = (middle, high) if chi_square_share(middle, freedom) < p else (low, middle)
@@ -54,7 +81,7 @@ def chi_square_quantile(p: float, freedom: int) -> float:
 
 
 def word_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row.
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_distinct, n_marks, n_repeat_words) of every row.
 
     ``n_repeat_words`` counts words that lie in a window of three words which
     the text has twice or more; windows are told apart by a 64-bit hash.
@@ -72,10 +99,13 @@ def word_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _word_statistics(rows: DataFrame) -> DataFrame:
     """The statistics of ``__text``, which goes; all other columns stay."""
     kept = [c for c in rows.columns if c != "__text"]
-    first = rows.select(
+    # what is left of a text without letters and numerals is short: white space and marks
+    rest = rows.select(*kept, "__text", F.expr("regexp_replace(__text, '[\\\\p{L}\\\\p{N}]+', '')").alias("__rest"))
+    first = rest.select(*kept, "__text", "__rest", F.expr(f"translate(__rest, '{SPACE}', '')").alias("__marks")).select(
         *kept,
-        F.expr(f"char_length(translate(__text, '{SPACE}', ''))").cast("long").alias("word_chars"),
-        F.expr("char_length(__text) - char_length(translate(__text, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
+        F.expr("char_length(__text) - char_length(__rest) + char_length(__marks)").cast("long").alias("word_chars"),
+        F.expr("char_length(__marks) - char_length(translate(__marks, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
+        F.expr("char_length(__marks)").cast("long").alias("n_marks"),
         F.expr(f"filter(split(__text, '\\n'), l -> btrim(l, '{SPACE}') <> '')").alias("__lines"),
         F.expr(f"split(btrim(__text, '{SPACE}'), '[{SPACE}]+')").alias("__w"),
     )
@@ -85,11 +115,13 @@ def _word_statistics(rows: DataFrame) -> DataFrame:
         "word_chars",
         "n_symbols",
         F.expr("size(__lines) - size(array_distinct(__lines))").cast("long").alias("n_dup_lines"),
+        F.when(F.col("word_chars") == 0, 0).otherwise(F.size(F.array_distinct("__w"))).cast("long").alias("n_distinct"),
+        "n_marks",
         F.expr(
             "IF(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))"
         ).alias("__h"),
     )
-    base = [*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    base = [*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_distinct", "n_marks"]
     # windows in order of their hashes, but only where some hash comes again
     ordered = counted.select(
         *base,
@@ -109,19 +141,6 @@ def _word_statistics(rows: DataFrame) -> DataFrame:
     return places.select(*base, covered.alias("n_repeat_words"))
 
 
-def _judged(stats: DataFrame) -> DataFrame:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        stats.withColumn("base_failed", failed)
-        .withColumn("x0", F.log(chars / words))
-        .withColumn("x1", F.sqrt(F.col("n_symbols") / chars))
-        .withColumn("x2", F.sqrt(F.col("n_dup_lines") / words))
-        .withColumn("x3", F.sqrt(F.col("n_repeat_words") / words))
-    )
-
-
 def _pools(rows: DataFrame, least: int) -> DataFrame:
     """(lang, source, pool): the pool in which each group is estimated."""
     groups = rows.groupBy("lang", "source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
@@ -135,41 +154,87 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
     return groups.join(of_lang, "lang").select("lang", "source", pool.alias("pool"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges, as means and a diagonal covariance."""
-    width = 1e-3
-    bins = rows.select("pool", F.posexplode(F.array(*[F.floor(F.col(x) / width) for x in STATS])).alias("i", "bin"))
+def _judged(stats: DataFrame) -> DataFrame:
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.withColumn("base_failed", failed).withColumn("n_again", F.col("n_words") - F.col("n_distinct"))
+
+
+def _quantiles(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(pool, i, q1, q2, q3) of each column, by counts over fixed bins."""
+    bins = rows.select("pool", F.posexplode(F.array(*[F.floor(F.col(c) / QUANTILE_BIN) for c in columns])).alias("i", "bin"))
     counts = bins.groupBy("pool", "i", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("pool", "i")
     counts = counts.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("t", F.sum("n").over(by))
-    at = lambda q, name: F.min(F.when(F.col("c") >= q * F.col("t"), F.col("bin"))).alias(name)
-    found = counts.groupBy("pool", "i").agg(at(0.25, "q1"), at(0.5, "q2"), at(0.75, "q3"))
-    one = lambda i, e: F.max(F.when(F.col("i") == i, e))
-    spread = ((F.col("q3") - F.col("q1")) * width) / 1.349
-    cells = [one(i, (F.col("q2") + 0.5) * width).alias(f"m{i}") for i in range(D)]
-    cells += [one(i, spread * spread).alias(f"c{i}{i}") for i in range(D)]
-    cells += [F.lit(0.0).alias(f"c{i}{j}") for i in range(D) for j in range(i)]
-    return found.groupBy("pool").agg(*cells)
-
-
-def _factored(params: DataFrame, scale: float) -> DataFrame:
-    """Means and the Cholesky factor of the scaled and floored covariance."""
-    out = params
-    for i in range(D):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") * scale
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            if i == j:
-                out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2))
-            else:
-                out = out.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return cut(out.select("pool", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]))
+    at = lambda q, name: (F.min(F.when(F.col("c") >= q * F.col("t"), F.col("bin"))) * QUANTILE_BIN + QUANTILE_BIN / 2).alias(name)
+    return counts.groupBy("pool", "i").agg(at(0.25, "q1"), at(0.5, "q2"), at(0.75, "q3"))
+
+
+def _one(i: int, e: str):
+    return F.max(F.when(F.col("i") == i, F.col(e)))
+
+
+def _shrunk(rows: DataFrame, pools: int, shrink: float) -> DataFrame:
+    """``rows`` with the statistics, drawn towards the median document of their pool."""
+    words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    raw = [F.log(chars / words), F.log((F.col("n_marks") + 0.5) / chars), F.log((F.col("n_again") + 0.5) / words)]
+    good = rows.filter("not base_failed").select("pool", *[r.alias(f"r{i}") for i, r in enumerate(raw)])
+    middle = _quantiles(good, [f"r{i}" for i in range(D)]).groupBy("pool").agg(*[F.exp(_one(i, "q2")).alias(f"t{i}") for i in range(D)])
+    added = shrink * F.col("t0")
+    return (
+        rows.join(beside(cut(middle), pools), "pool", "left")
+        .withColumn("x0", F.log((chars + added) / (words + shrink)))
+        .withColumn("x1", F.log((F.col("n_marks") + added * F.col("t1")) / (chars + added)))
+        .withColumn("x2", F.log((F.col("n_again") + shrink * F.col("t2")) / (words + shrink)))
+        .drop("t0", "t1", "t2")
+    )
+
+
+def _moments(values: list) -> list:
+    return [F.avg(x).alias(f"m{i}") for i, x in enumerate(values)] + [F.covar_pop(values[i], values[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+
+
+def _starts(rows: DataFrame, pools: int) -> DataFrame:
+    """(pool, start, means, covariances) of the places that the steps start from."""
+    found = _quantiles(rows, list(STATS)).groupBy("pool").agg(
+        *[_one(i, "q2").alias(f"q{i}") for i in range(D)], *[(F.greatest(_one(i, "q3") - _one(i, "q1"), F.lit(QUANTILE_BIN)) / 1.349).alias(f"s{i}") for i in range(D)]
+    )
+    found = cut(found.join(rows.groupBy("pool").agg(F.count("*").alias("n")), "pool"))
+    near = rows.join(beside(found, pools), "pool")
+    z = [(F.col(x) - F.col(f"q{i}")) / F.col(f"s{i}") for i, x in enumerate(STATS)]
+    length = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    near = near.select("pool", "n", *STATS, *[v.alias(f"z{i}") for i, v in enumerate(z)], length.alias("r"))
+    bent = [F.tanh(f"z{i}") for i in range(D)]
+    turned = [F.when(F.col("r") > 0, F.col(f"z{i}") / F.col("r")).otherwise(0.0) for i in range(D)]
+    both = near.groupBy("pool").agg(*[c.alias(f"{k}_{n}") for k, v in (("a", bent), ("b", turned)) for c, n in zip(_moments(v)[D:], [f"c{i}{j}" for i, j in PAIRS])])
+    half = _limits(near.select("pool", F.lit(3).alias("start"), (F.col("r") * F.col("r")).alias("d2"), F.lit(0.0).alias("logdet")), 0.5)
+    inner = near.withColumn("start", F.lit(3)).withColumn("bin", _bin(F.col("r") * F.col("r"))).join(beside(half, pools), ["pool", "start"]).filter("bin <= limit")
+    scaled = lambda c: [(F.col(f"{c}_c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS]
+    middle = [F.col(f"q{i}").alias(f"m{i}") for i in range(D)]
+    joined = found.join(both, "pool")
+    plain = [(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    parts = [joined.select("pool", F.lit(k).alias("start"), *middle, *cov) for k, cov in enumerate((plain, scaled("a"), scaled("b")))]
+    draw = lambda s: F.pmod(F.xxhash64(s, *STATS), F.col("n")) < DRAWN
+    drawn = near.select("pool", *STATS, F.explode(F.filter(F.sequence(F.lit(4), F.lit(STARTS - 1)), draw)).alias("start"))
+    for of in (inner, drawn):
+        parts.append(of.groupBy("pool", "start").agg(*_moments(list(STATS))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _factored(params: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(pool, start, means, Cholesky factor of the scaled covariance, logarithm of the determinant, and of that before)."""
+    out = params if "was" in params.columns else params.withColumn("was", F.lit(None).cast("double"))
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}{j}") * scale
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + TINY) if i == j else rest / F.col(f"l{j}{j}"))
+    logs = sum((2 * F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
+    return cut(out.select("pool", "start", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS], logs.alias("logdet"), "was"))
 
 
 def _distances(rows: DataFrame, factored: DataFrame, pools: int) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance in their pool."""
-    out = rows.join(beside(factored, pools), "pool", "left")
+    """``rows`` with ``start``, ``logdet`` and ``d2``, the squared Mahalanobis distance in their pool; a row for each start."""
+    out = rows.join(beside(factored, STARTS * pools), "pool", "left")
     total = F.lit(0.0)
     for i in range(D):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -177,40 +242,67 @@ def _distances(rows: DataFrame, factored: DataFrame, pools: int) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
         total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("d2", total).select(*rows.columns, "d2")
+    return out.withColumn("d2", total).select(*rows.columns, "start", "logdet", "d2")
+
+
+def _bin(d2):
+    return F.floor(F.log1p(F.least(d2, F.lit(FARTHEST))) * DISTANCE_BINS)
+
+
+def _limits(near: DataFrame, coverage: float) -> DataFrame:
+    """(pool, start, limit): the bin of distance within which ``coverage`` of the rows lie."""
+    counts = near.groupBy("pool", "start", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("pool", "start")
+    counts = counts.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("t", F.sum("n").over(by))
+    return counts.groupBy("pool", "start").agg(F.min(F.when(F.col("c") >= coverage * F.col("t"), F.col("bin"))).alias("limit"))
 
 
 def _concentrate(rows: DataFrame, factored: DataFrame, pools: int, coverage: float) -> DataFrame:
     """Means and covariances of the nearest ``coverage`` of each pool."""
-    near = _distances(rows, factored, pools).withColumn("bin", F.floor(F.log1p("d2") * 64))
-    counts = near.groupBy("pool", "bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("pool")
-    counts = counts.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("t", F.sum("n").over(by))
-    limits = counts.groupBy("pool").agg(F.min(F.when(F.col("c") >= coverage * F.col("t"), F.col("bin"))).alias("limit"))
-    inner = near.join(beside(limits, pools), "pool").filter("bin <= limit")
-    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
-    pairs = [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]
-    return inner.groupBy("pool").agg(*means, *pairs)
+    near = _distances(rows, factored, pools)
+    limits = beside(_limits(near, coverage), STARTS * pools)
+    inner = near.withColumn("bin", _bin(F.col("d2"))).join(limits, ["pool", "start"]).filter("bin <= limit")
+    return _factored(inner.groupBy("pool", "start").agg(*_moments(list(STATS)), F.max("logdet").alias("was")))
 
 
-def judge(stats: DataFrame, coverage: float = 0.75, steps: int = 3, confidence: float = 0.99999, least: int = 40) -> DataFrame:
+def estimate(good: DataFrame, pools: int, coverage: float = 0.75, reweight: float = 0.975, start_rows: int = 500) -> DataFrame:
+    """(pool, start, means, factor, logdet) of each pool of ``good`` (pool and statistics).
+
+    Only where the steps start is found on part of the rows; the estimates are of all.
+    """
+    sizes = beside(cut(good.groupBy("pool").agg(F.count("*").alias("n"))), pools)
+    few = cut(good.join(sizes, "pool").filter(F.pmod(F.xxhash64(F.lit("first"), *STATS), F.col("n")) < start_rows).select(*good.columns))
+    tried = _factored(_starts(few, pools))
+    for _ in range(FIRST_STEPS):
+        tried = _concentrate(few, tried, pools, coverage)
+    first = Window.partitionBy("pool").orderBy("logdet", "start")
+    best = cut(tried.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place"))
+    for _ in range(MOST_STEPS):
+        best = _concentrate(good, best, pools, coverage)
+        moved = best.agg(F.max(F.abs(F.col("was") - F.col("logdet")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
+    scaled = lambda params, p: params.select("pool", "start", "logdet", *[f"m{i}" for i in range(D)], *[(F.col(f"l{i}{j}") * math.sqrt(p / chi_square_share(chi_square_quantile(p, D), D + 2))).alias(f"l{i}{j}") for i, j in PAIRS])
+    within = _distances(good, scaled(best, coverage), pools).filter(F.col("d2") <= chi_square_quantile(reweight, D))
+    again = within.groupBy("pool", "start").agg(*_moments(list(STATS)))
+    return _factored(again, reweight / chi_square_share(chi_square_quantile(reweight, D), D + 2))
+
+
+def judge(
+    stats: DataFrame, coverage: float = 0.75, reweight: float = 0.975, confidence: float = 0.99999, least: int = 40, shrink: float = 100.0, start_rows: int = 500
+) -> DataFrame:
     """``stats`` with base_failed, distance2 and kept."""
     rows = cut(_judged(stats))
     pooled, pools = counted(_pools(rows, least))
-    rows = rows.join(beside(pooled, pools), ["lang", "source"])
-    good = rows.filter("not base_failed").select("pool", *STATS)
-    inner = chi_square_quantile(coverage, D)
-    scale = coverage / chi_square_share(inner, D + 2)
-    factored = _factored(_start(good), 1.0)
-    for _ in range(steps):
-        factored = _factored(_concentrate(good, factored, pools, coverage), scale)
+    rows = cut(_shrunk(rows.join(beside(pooled, pools), ["lang", "source"]), pools, shrink))
+    final = estimate(rows.filter("not base_failed").select("pool", *STATS), pools, coverage, reweight, start_rows)
     limit = chi_square_quantile(confidence, D)
     verdict = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
-    return _distances(rows, factored, pools).withColumn("kept", verdict).withColumnRenamed("d2", "distance2").drop("pool", *STATS)
+    return _distances(rows, final, pools).withColumn("kept", verdict).withColumnRenamed("d2", "distance2").drop("pool", "start", "logdet", *STATS)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Counts, base_failed, kept and distance2 of every row; ``how``: coverage, steps, confidence, least."""
+    """Counts, base_failed, kept and distance2 of every row; ``how``: coverage, reweight, confidence, least, shrink, start_rows."""
     return judge(word_statistics(docs, id_col, text_col), **how).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2")
     )
@@ -222,21 +314,13 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Rows with one id and one text stand or fall together with their language
     and source.
     """
-    narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.xxhash64(utf8(F.col(text_col).cast("string"))).alias("__th"),
-        utf8(F.col(text_col).cast("string")).alias("__text"),
-    )
+    plain, new, restore = masked(docs)
+    identifier, text = F.col(new[id_col]).cast("long"), utf8(F.col(new[text_col]).cast("string"))
+    lang, source = (F.coalesce(F.col(new[c]).cast("string"), F.lit("")) for c in ("lang", "source"))
+    narrow = plain.select(identifier.alias("doc_id"), lang.alias("lang"), source.alias("source"), F.xxhash64(text).alias("th"), text.alias("__text"))
     bad = judge(_word_statistics(narrow), **how).filter("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("__th").alias("__t"), F.col("lang").alias("__l"), F.col("source").alias("__s")
-    )
-    same = (
-        F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-        & (F.xxhash64(utf8(F.col(text_col).cast("string"))) == F.col("__t"))
-        & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("__l"))
-        & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s"))
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lang").alias("__lang"), F.col("source").alias("__source")
     )
+    same = identifier.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")) & (lang == F.col("__lang")) & (source == F.col("__source"))
     bad, n_bad = counted(bad.distinct())
-    return docs.join(beside(bad, n_bad), same, "left_anti")
+    return restore(plain.join(beside(bad, n_bad), same, "left_anti"))
