@@ -159,6 +159,62 @@ def test_mix_takes_every_document_and_meets_weights(spark, awkward, empty):
     assert temperature_mix.mix(empty).count() == 0
 
 
+def brute_mixture(rows, exponent):
+    """Weights and whole and partial repeats of each source, from (source, tokens) of documents; the budget takes each once at least."""
+    totals = Counter()
+    for source, tokens in rows:
+        totals[source] += tokens
+    powered = {s: t**exponent for s, t in totals.items()}
+    weights = {s: p / sum(powered.values()) for s, p in powered.items()}
+    budget = max(totals[s] / weights[s] for s in totals)
+    return totals, weights, {s: weights[s] * budget / totals[s] for s in totals}
+
+
+def test_mix_against_brute_force(spark):
+    """Every document's copies, every source's weight, and whole blocks in the order of their turns."""
+    i = F.col("doc_id")
+    source = F.when(i % 3 == 0, "hot").when(i % 7 == 1, None).otherwise(F.concat(F.lit("s"), i % 4))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", source)
+    rows = [(r.doc_id, r.source or "", max(1, -(-len((r.text or "").encode()) // 4))) for r in docs.collect()]
+    totals = temperature_mix.source_totals(docs)
+    exponent = temperature_mix.bisect_exponent(totals, 2.0, 0.97)
+    shares, weights, repeats = brute_mixture([r[1:] for r in rows], exponent)
+    widest = max(shares.values()) / min(shares.values())
+    entropy = -sum(w * np.log(w) for w in weights.values())
+    # the least exponent that keeps both bounds: a little less breaks one
+    less = {s: t ** (exponent - 2e-5) for s, t in shares.items()}
+    lower = [p / sum(less.values()) for p in less.values()]
+    assert widest ** (1 - exponent) <= 2.0 + 1e-9 and entropy <= 0.97 * np.log(len(shares)) + 1e-9
+    assert exponent == 0 or widest ** (1 - exponent + 2e-5) > 2.0 or -sum(w * np.log(w) for w in lower) > 0.97 * np.log(len(shares))
+    out = temperature_mix.mix(docs, block_tokens=2048).collect()
+    copies = Counter(r.doc_id for r in out)
+    tokens = dict((r[0], r[2]) for r in rows)
+    for source in shares:
+        ids = [r[0] for r in rows if r[1] == source]
+        full = int(np.floor(round(repeats[source], 9)))
+        assert {copies[i] for i in ids} <= {full, full + 1} and full >= 1
+        spent = sum(copies[i] * tokens[i] for i in ids)
+        assert abs(spent - repeats[source] * shares[source]) <= max(tokens[i] for i in ids)
+        mine = [r for r in out if (r.source or "") == source and r["__epoch"] == full]
+        whole = {}
+        for r in out:
+            if (r.source or "") == source and r["__epoch"] == 0:
+                whole.setdefault(r["__block"], set()).add(r.doc_id)
+        # the partial epoch takes the first blocks by turn, all but the last of them whole
+        taken = {}
+        for r in mine:
+            taken.setdefault((r["__turn"], r["__block"]), set()).add(r.doc_id)
+        for _, block in sorted(taken)[:-1]:
+            assert taken[[k for k in taken if k[1] == block][0]] == whole[block]
+
+
+def test_mix_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 5, 6, 7), (2, "d", None, 8, 9, 10)], "doc_id long, text string, source string, __source int, __tokens int, __c0 int")
+    out = temperature_mix.mix(df)
+    assert out.columns == [*df.columns, "___tokens", "__epoch", "__block", "__turn"]
+    assert {(r.doc_id, r["__source"], r["__tokens"], r["___tokens"]) for r in out.collect()} == {(1, 5, 6, 2), (2, 8, 9, 1)}
+
+
 def test_mix_order_is_a_permutation_of_blocks(spark):
     out = temperature_mix.mix(mixed_docs(spark), block_tokens=1000).filter("__epoch = 0 and source = 'big'")
     turns = out.groupBy("__block").agg(F.count_distinct("__turn").alias("n")).collect()
@@ -204,21 +260,50 @@ def test_simhash_against_brute_force(spark, docs):
         assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == want[r.doc_id]
 
 
-@pytest.mark.parametrize("crowd", [2, 24])
-def test_links_of_clusters(spark, crowd):
-    """Dense clusters, chains and strangers; small ``crowd`` sends them the exact way round."""
+def clustered_fingerprints():
     rng = random.Random(5)
     fps = set()
     for _ in range(6):
         centre = rng.getrandbits(64)
         fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(30)}
-    fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps | {rng.getrandbits(64) for _ in range(50)})
+    return sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps | {rng.getrandbits(64) for _ in range(50)})
+
+
+@pytest.mark.parametrize("crowd", [2, 24, 2048])
+def test_links_of_clusters(spark, crowd):
+    """Dense clusters, chains and strangers; small ``crowd`` sends them the exact way round."""
+    fps = clustered_fingerprints()
     want = brute_components(fps, fps)
     edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), crowd=crowd)
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     assert {f: found.get(f, f) for f in fps} == want
 
 
+def test_pivots_find_and_discard_pairs():
+    """Of 50 million pairs of strangers few meet, fewer survive; of planted pairs all are found."""
+    rng = np.random.default_rng(8)
+    fps = rng.integers(-(2**63), 2**63, 10_000)
+    flips = np.left_shift(np.int64(1), rng.integers(0, 64, (500, 2)))
+    near = fps[:500] ^ flips[:, 0] ^ np.where(rng.random(500) < 0.7, flips[:, 1], 0)
+    every = np.unique(np.concatenate([fps, near]))
+    table = simhash.pivot_table(every, range(64))
+    assert (np.bitwise_count(simhash.PIVOTS[:, None] ^ simhash.PIVOTS)[~np.eye(64, dtype=bool)] == 32).all()
+    cuts = simhash.Cuts(np.stack([np.bincount(table[:, p], minlength=65) for p in range(64)]), 256)
+    rows, cells = cuts.cells(every)
+    order = np.argsort(cells, kind="stable")
+    a, b, (met, survived, linked) = simhash.compare(every[rows[order]], cells[order], cuts.more, 2)
+    pairs = len(every) * (len(every) - 1) // 2
+    assert met < pairs / 20 and survived < met / 5 and linked >= 450
+    want = {(min(x, y), max(x, y)) for x, y in zip(fps[:500].tolist(), near.tolist()) if x != y}
+    assert set(zip(a.tolist(), b.tolist())) >= want
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(7000, 7000)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5201)}
+
+
 def test_simhash_awkward(spark, awkward, empty):
     out = simhash.near_duplicates(awkward).collect()
     assert len(out) == awkward.count() and simhash.near_duplicates(empty).count() == 0
@@ -266,13 +351,13 @@ def test_pivot_rows_discard_strangers_and_no_pair():
         for share in (0.95, 0.9, 0.85, 0.6):
             keep = rng.random(len(base)) < share
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**64, int((~keep).sum()), dtype=np.uint64)])))
-    table = np.stack([np.frombuffer(simhash_wide.pivot_row(s), np.uint8) for s in sets]).astype(int)
+    table = simhash_wide.PivotTable([simhash_wide.pivot_row(s) for s in sets])
     discarded = 0
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
             common = len(np.intersect1d(a, b))
-            out = np.abs(table[i] - table[j]).sum() > simhash_wide.most_apart(len(a), len(b), 0.8)
+            out = table.apart(np.array([i]), np.array([j]))[0] > simhash_wide.most_apart(len(a), len(b), 0.8)
             assert not (out and common >= 0.8 * (len(a) + len(b) - common))
             discarded += out
     assert discarded > 4700
@@ -317,7 +402,7 @@ def test_similar_variants_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i for i in root if find(i) == i}
     assert {r.doc_id for r in simhash_wide.drop_similar(df).collect()} == want
-    monkeypatch.setattr(simhash_wide, "_links", functools.partial(simhash_wide._links, leaders=1, block_rows=32))
+    monkeypatch.setattr(simhash_wide, "_links", functools.partial(simhash_wide._links, block_rows=32))
     assert {r.doc_id for r in simhash_wide.drop_similar(df).collect()} == want
 
 
@@ -347,6 +432,82 @@ def test_quality_counts_and_verdicts(spark, docs, awkward, empty):
     assert mcd.keep_good(docs).count() == mcd.quality_rules(docs).filter("kept").count()
 
 
+def plain_mcd(x, coverage=0.75, reweight=0.975):
+    """Squared distances by a minimum covariance determinant in numpy: exact subsets, many random starts."""
+    n, d = x.shape
+    h, rng = int(np.ceil(coverage * n)), np.random.default_rng(0)
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + mcd.TINY * np.eye(d)), x - m)
+    best = (np.inf, None, None)
+    for start in range(30):
+        rows = rng.choice(n, min(n, max(d + 2, n // 4)), replace=False)
+        for _ in range(100):
+            m, c = x[rows].mean(0), np.cov(x[rows].T, bias=True)
+            after = np.sort(np.argsort(distance(m, c), kind="stable")[:h])
+            if np.array_equal(after, rows):
+                break
+            rows = after
+        det = np.linalg.slogdet(c + mcd.TINY * np.eye(d))[1]
+        if det < best[0] - 1e-12:
+            best = (det, m, c)
+    factor = lambda p: p / mcd.chi_square_share(mcd.chi_square_quantile(p, d), d + 2)
+    near = x[distance(best[1], best[2] * factor(coverage)) <= mcd.chi_square_quantile(reweight, d)]
+    return distance(near.mean(0), np.cov(near.T, bias=True) * factor(reweight))
+
+
+def test_estimate_finds_the_least_determinant(spark):
+    """Correlated rows with a fifth of others near the long axis: only the covariance tells them."""
+    rng = np.random.default_rng(6)
+    x = rng.multivariate_normal([0, 0, 0], [[1, 0.95, 0], [0.95, 1, 0], [0, 0, 0.2]], 800)
+    x[:160] = rng.multivariate_normal([1.2, -1.2, 0.5], 0.02 * np.eye(3), 160)
+    rows = spark.createDataFrame([("p", *map(float, r)) for r in x], "pool string, x0 double, x1 double, x2 double")
+    got = mcd._distances(rows, mcd.estimate(rows, 1, 0.75, 0.975), 1).toPandas().d2.to_numpy()
+    want = plain_mcd(x)
+    limit = mcd.chi_square_quantile(0.99999, 3)
+    assert (got[:160] > limit).all() and (got[160:] <= limit).all()
+    assert np.mean((got > limit) == (want > limit)) > 0.995 and np.median(np.abs(got / want - 1)) < 0.05
+
+
+def test_verdicts_equal_a_plain_estimate(spark):
+    """The whole table of 10,000 documents, where groups reach the least size."""
+    import unicodedata
+
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = by_id(mcd.quality_rules(big))
+    groups, size = {}, Counter()
+    for r in big.collect():
+        g = got[r.doc_id]
+        key = (r.lang or "", r.source or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        marks = sum(unicodedata.category(c)[0] not in "LN" for w in words for c in w)
+        groups.setdefault(key, []).append((r.doc_id, g.n_words, g.word_chars, marks, len(words) - len(set(words)), g.base_failed))
+        size[key] += not g.base_failed
+    pools = {}
+    small = Counter()
+    for (lang, source), n in size.items():
+        small[lang] += n if n < 40 else 0
+    for (lang, source), rows in groups.items():
+        pool = (lang, source) if size[lang, source] >= 40 else (lang,) if small[lang] >= 40 else ()
+        pools.setdefault(pool, []).extend(r for r in rows if not r[5])
+    same = total = 0
+    limit = mcd.chi_square_quantile(0.99999, 3)
+    for rows in pools.values():
+        ids, n, c, m, a = (np.array([r[i] for r in rows], dtype=float) for i in range(5))
+        t = [np.exp(np.median(v)) for v in (np.log(c / n), np.log((m + 0.5) / c), np.log((a + 0.5) / n))]
+        x = np.log(np.stack([(c + 100 * t[0]) / (n + 100), (m + 100 * t[0] * t[1]) / (c + 100 * t[0]), (a + 100 * t[2]) / (n + 100)], axis=1))
+        same += sum((d <= limit) == got[int(i)].kept for i, d in zip(ids, plain_mcd(x)))
+        total += len(ids)
+    assert total > 8000 and same >= 0.999 * total
+
+
+def test_keep_good_with_clashing_columns_and_awkward_rows(spark, docs, awkward, empty):
+    named = docs.selectExpr("doc_id", "text", "lang", "source", "1 AS th", "2 AS pool", "3 AS x0", "4 AS kept", "5 AS __id", "6 AS start", "7 AS bin", "8 AS __c1")
+    kept = mcd.keep_good(named)
+    assert kept.columns == named.columns and kept.count() == mcd.keep_good(docs).count()
+    assert mcd.keep_good(empty).columns == empty.columns and mcd.keep_good(empty).count() == 0
+    assert mcd.keep_good(awkward).count() == 0  # none has fifty words that don't repeat
+    assert mcd.quality_rules(awkward).count() == awkward.count()
+
+
 def test_outliers_agree_with_labels(spark):
     big = "/root/testdata/sf0.01"
     out = mcd.quality_rules(spark.read.parquet(f"{big}/documents.parquet")).filter("not base_failed")
@@ -359,6 +520,7 @@ def test_outliers_agree_with_labels(spark):
 def test_chi_square():
     assert mcd.chi_square_share(9.487729, 4) == pytest.approx(0.95, abs=1e-6)
     assert mcd.chi_square_quantile(0.95, 4) == pytest.approx(9.487729, abs=1e-5)
+    assert mcd.chi_square_share(7.814728, 3) == pytest.approx(0.95, abs=1e-6)
 
 
 # 6 ---------------------------------------------------------------------------
@@ -458,22 +620,74 @@ def test_pages_give_their_articles(spark):
 # 8 ---------------------------------------------------------------------------
 
 
-def test_forest_recall_and_exactness(spark):
+def brute_links(x, least=0.95):
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= least
+    np.fill_diagonal(close, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(close, label[None, :], len(x)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return close, label
+        label = new
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.fixture(scope="module")
+def vectors():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(3000, 32))
     near = base[:400] + rng.normal(scale=0.18, size=(400, 32)) * np.abs(base[:400]).mean()
     dense = base[0] + rng.normal(scale=0.01, size=(150, 32))
-    x = np.concatenate([base, near, dense, base[:5], base[:5]]).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    close = unit @ unit.T >= 0.95
-    np.fill_diagonal(close, False)
-    out = sorted(rp_forest.link_vectors(df, leaf_rows=128, block_rows=64).collect())
+    # pairs spread over the cosines from just below the threshold on
+    away = rng.normal(size=(600, 32))
+    away -= (away * base[600:1200]).sum(1, keepdims=True) / (base[600:1200] ** 2).sum(1, keepdims=True) * base[600:1200]
+    c = rng.uniform(0.94, 0.98, (600, 1))
+    away = c * base[600:1200] + np.sqrt(1 - c * c) * away / np.linalg.norm(away, axis=1, keepdims=True) * np.linalg.norm(base[600:1200], axis=1, keepdims=True)
+    x = np.concatenate([base, near, dense, away, base[:5], base[:5]]).astype(np.float32)
+    return x, *brute_links(x.astype(float))
+
+
+@pytest.mark.parametrize("how", [{"leaf_rows": 32, "block_rows": 64}, {"leaf_rows": 128, "block_rows": 64, "sample_rows": 64}])
+def test_forest_recall_and_exactness(spark, vectors, how):
+    """Trees of depth 7, or cut short and split level by level; links at each distance from the threshold, and whole components."""
+    x, close, label = vectors
+    out = sorted(rp_forest.link_vectors(vector_table(spark, x), **how).collect())
     got = np.array([r.n_links for r in out])
     assert (got <= close.sum(1)).all()
-    assert got.sum() >= 0.97 * close.sum()
+    assert got.sum() >= 0.99 * close.sum()
+    alone = np.flatnonzero(close[3550:4150].sum(1) == 1) + 3550  # linked with one other, at 0.95 to 0.98
+    assert len(alone) > 300 and got[alone].sum() >= 0.95 * len(alone)
     assert all(r.kept == (r.vec_id == r.component_id) and r.component_id <= r.vec_id for r in out)
-    assert len({r.component_id for r in out}) >= 2500
+    found = np.array([r.component_id for r in out])
+    assert np.mean(found == label) > 0.99
+
+
+def test_forest_equals_brute_force_in_one_leaf(spark, vectors, monkeypatch):
+    """One leaf for all, compared block against block."""
+    x, close, label = vectors
+    monkeypatch.setattr(rp_forest, "_split_further", lambda routed, *_: routed)
+    out = sorted(rp_forest.link_vectors(vector_table(spark, x), leaf_rows=10_000, block_rows=500).collect())
+    assert [r.n_links for r in out] == close.sum(1).tolist() and [r.component_id for r in out] == label.tolist()
+
+
+def test_forest_on_odd_vectors(spark):
+    """Lengths of their own, components whose squares overflow, repeated and null ids, one very long vector, clashing columns."""
+    long = [float(i % 7) for i in range(50_000)]
+    rows = [
+        (1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1.0, 0.0, 0.01]), (4, [1.0, 0.0, 0.0]), (5, [1.0, -1.0]), (6, long), (7, [2 * v for v in long]),
+        (8, [5e-324, 5e-324]), (9, [0.0, 1.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0]), (None, [-3.0, 1.0]),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, v int, cid int, leaf int, n int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in rp_forest.link_vectors(df).collect()]
+    # 8 has the direction of the first two, and so has one without an id
+    want = [(1, 3, 1), (2, 3, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 1, 6), (7, 1, 6), (8, 3, 1), (9, 0, 9), (9, 0, 9), (None, 3, 1), (None, 0, None)]
+    assert Counter(got) == Counter(want)
 
 
 def test_forest_awkward(spark):
@@ -503,6 +717,15 @@ def test_forward_sums_all_segmentations():
         assert np.exp(langid.word_log_probabilities(lattice, p, [word]))[0, 0] == pytest.approx(total(word))
 
 
+def test_keep_known_with_clashing_columns_and_awkward_rows(spark, awkward, empty):
+    mid = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "1 AS th", "2 AS held_out", "3 AS lang_pred", "4 AS score", "5 AS __id", "6 AS __c1")
+    kept = langid.keep_known(mid, PIECES)
+    assert kept.columns == mid.columns and kept.count() >= 0.99 * mid.count()
+    assert langid.keep_known(empty, PIECES).count() == 0
+    assert {r.doc_id for r in langid.keep_known(awkward, PIECES).collect()} <= {3, 4, 5, None, 6, 8}
+    assert all(r.held_out is not None for r in langid.identify(awkward, PIECES).collect())
+
+
 def test_long_words_and_numerals():
     pieces = langid.vocabulary(PIECES)
     assert max(map(len, pieces)) == langid.LONGEST_PIECE

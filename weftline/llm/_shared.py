@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,8 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(1 + rows // FILE_ROWS)
+        # a shuffle of narrow rows: what makes them stays spread over its own tasks
+        df = df.repartition(1 + rows // FILE_ROWS)
     return df.checkpoint(eager=True)
 
 
@@ -69,6 +72,22 @@ def beside(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def masked(docs: DataFrame):
+    """``docs`` under names that clash with none, the new name of each old one, and the way back to the old names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    new = {name: f"__c{i}" for i, name in enumerate(names)}
+    return plain, new, lambda df, *more: df.select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(names)], *more)
+
+
+def fresh(names: list[str], wanted: str) -> str:
+    """``wanted``, with further underscores in front as long as a column is named so."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,6 +112,30 @@ def local_env() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def runs(batches, columns: int, most: int):
+    """Record batches cut and joined so that rows with equal first ``columns`` columns, which follow one another, are in one batch.
+
+    A batch has ``most`` bytes or a little more, unless one run has.
+    """
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = [table.column(i)[-1].as_py() for i in range(columns)]
+        same = np.logical_and.reduce([table.column(i).to_numpy() == last[i] for i in range(columns)])
+        start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if start:
+            yield table.slice(0, start)
+        rest = table.slice(start).combine_chunks()
+        held = rest.to_batches()
+        size = rest.nbytes * (len(rest) / max(1, len(table))) if start else 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over all rows that come before in ``order``.
 
