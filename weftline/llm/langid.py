@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import beside, counted, crc_mod, utf8
+from ._shared import beside, counted, crc_mod, masked, utf8
 
 LONGEST = 24
 LONGEST_PIECE = 16  # letters of the vocabulary's longest piece, mark included
@@ -333,10 +333,11 @@ def keep_known(docs: DataFrame, path: str, per_lang: int = 250, most_bytes: int
 
     Rows with one id and one text stand or fall together.
     """
-    text = utf8(F.col(text_col).cast("string"))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    bad = _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    bad, n_bad = counted(bad)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
-    return docs.join(beside(bad, n_bad), same, "left_anti")
+    plain, new, restore = masked(docs)
+    identifier, text = F.col(new[id_col]).cast("long"), utf8(F.col(new[text_col]).cast("string"))
+    narrow = plain.select(identifier.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    told = _identify(plain, narrow, path, per_lang, most_bytes, new[id_col], new[text_col], new[lang_col])
+    bad = told.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    bad, n_bad = counted(bad.distinct())
+    same = identifier.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    return restore(plain.join(beside(bad, n_bad), same, "left_anti"))
