@@ -94,9 +94,14 @@ def distinct_characters(value: Column) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
 
 
+def _all(text: Column, pattern: str, mark: Column) -> Column:
+    """All matches; texts that lack what every match has, ``mark``, aren't searched."""
+    return F.when(mark, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def emails(text: Column) -> Column:
     """Addresses that aren't placeholders."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda e: F.btrim(e, F.lit(".,;:)([]\"'")))
+    found = F.transform(_all(text, EMAIL, text.contains("@")), lambda e: F.btrim(e, F.lit(".,;:)([]\"'")))
     return F.filter(
         found,
         lambda e: (local_part(e) != "") & (domain_part(e) != "") & ~F.lower(domain_part(e)).isin(PLACEHOLDER_DOMAINS)
@@ -106,7 +111,7 @@ def emails(text: Column) -> Column:
 
 def cards(text: Column) -> Column:
     """Card numbers in normal form that aren't placeholders."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), normal_card)
+    found = F.transform(_all(text, CARD, text.rlike("[0-9]")), normal_card)
     block = lambda d, i: F.substring(d, 1 + 4 * i, 4)
 
     def good(n: Column) -> Column:
@@ -121,7 +126,7 @@ def cards(text: Column) -> Column:
 def phones(text: Column) -> Column:
     """Phone numbers in normal form, without placeholders and without the start of a card in the same text."""
     card = F.substring(digits(F.regexp_extract(text, CARD, 0)), 1, 10)
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), normal_phone)
+    found = F.transform(_all(text, PHONE, text.rlike("[0-9]")), normal_phone)
 
     def good(n: Column, c: Column) -> Column:
         d = digits(n)
@@ -161,7 +166,8 @@ def best_candidate(text: Column, kind: str) -> Column:
 
 def redact(text: Column, mark: str = "[REDACTED]") -> Column:
     """Every address, card and phone number replaced; doing it twice changes nothing more."""
-    for pattern in (EMAIL, CARD, PHONE):
+    text = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, mark)).otherwise(text)
+    for pattern in (CARD, PHONE):
         text = F.regexp_replace(text, pattern, mark)
     return text
 

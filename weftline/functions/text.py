@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 # fixed values: patterns that decide what counts as a word, a mark, a sentence end
 WORD = r"[\p{L}\p{N}_]+"
 PUNCTUATION = r"[.,;:!?\-—'\"()\[\]{}]"
@@ -52,22 +54,35 @@ def bigrams(w: Column) -> Column:
     )
 
 
-def entropy_by(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
-    """(key, name): base-2 Shannon entropy of the items of each row; rows without items have 0.
+def run_lengths(items: Column) -> Column:
+    """How often each distinct item of an array occurs, within the row: lengths of the runs of the sorted array."""
 
-    Items are counted by hash aggregation, partially before the shuffle.
-    """
-    counts = df.select(key, F.explode(items).alias("__x")).groupBy(key, "__x").agg(F.count("*").alias("__c"))
-    c = F.col("__c").cast("double")
-    summed = counts.groupBy(key).agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias(name))
-    return df.select(key).join(summed, key, "left").select(key, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)))
+        return let(ends, lambda e: F.transform(e, lambda x, k: x - F.coalesce(F.get(e, k - 1), F.lit(0))))
+
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(let(F.sort_array(items), of_sorted))
+
+
+def item_entropy(items: Column) -> Column:
+    """Base-2 Shannon entropy of the items of an array; 0 without items."""
+
+    def of_counts(c: Column) -> Column:
+        n = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        return F.log2(n) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x * F.log2(x)) / n
 
+    return F.when(F.size(items) == 0, 0.0).otherwise(let(run_lengths(items), of_counts))
 
-def repeat_rate_by(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
-    """(key, name): share of items that occur more than once within their row."""
-    counts = df.select(key, F.explode(items).alias("__x")).groupBy(key, "__x").agg(F.count("*").alias("__c"))
-    summed = counts.groupBy(key).agg((F.sum(F.when(F.col("__c") > 1, F.col("__c")).otherwise(0)).cast("double") / F.sum("__c")).alias(name))
-    return df.select(key).join(summed, key, "left").select(key, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
+
+def repeat_rate(items: Column) -> Column:
+    """Share of the items of an array that occur in it more than once; 0 without items."""
+    again = F.aggregate(run_lengths(items), F.lit(0).cast("long"), lambda a, x: a + F.when(x > 1, x).otherwise(0))
+    return ratio(again, F.size(items))
+
+
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def burstiness(text: Column) -> Column:
@@ -86,16 +101,16 @@ def burstiness(text: Column) -> Column:
 
 
 def stylometry(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The fifteen features, one row for each key.
+    """The fifteen features, one row for each row of ``df``.
 
-    Null text counts as empty.  Words are found once; the three features that
-    need counts of items share one pass over exploded items each.
+    Null text counts as empty.  Words are found once, and items are counted
+    within the row: nothing is shuffled.
     """
     base = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     t = F.col("__t")
     wide = base.withColumn("__w", words(t))
     w, n = F.col("__w"), F.length(t)
-    flat = wide.select(
+    return wide.select(
         key,
         n.cast("long").alias("stat_n_chars"),
         F.size(w).cast("long").alias("stat_n_words"),
@@ -109,11 +124,16 @@ def stylometry(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         ratio(matches(t, r"\p{Nd}"), n).alias("stat_digit_rate"),
         F.size(sentences(t)).cast("long").alias("stat_n_sentences"),
         burstiness(t).alias("stat_sent_burstiness"),
+        item_entropy(characters(t)).alias("stat_char_entropy"),
+        item_entropy(w).alias("stat_word_entropy"),
+        repeat_rate(bigrams(w)).alias("stat_bigram_repeat_rate"),
     )
-    chars = entropy_by(base, key, F.filter(F.split(t, ""), lambda c: c != ""), "stat_char_entropy")
-    word = entropy_by(wide.select(key, "__w"), key, w, "stat_word_entropy")
-    repeat = repeat_rate_by(wide.select(key, "__w"), key, bigrams(w), "stat_bigram_repeat_rate")
-    return flat.join(chars, key).join(word, key).join(repeat, key)
+
+
+STYLOMETRY = [
+    "stat_n_chars", "stat_n_words", "stat_n_unique_words", "stat_ttr", "stat_avg_word_len", "stat_std_word_len", "stat_char_entropy", "stat_word_entropy",
+    "stat_bigram_repeat_rate", "stat_punct_rate", "stat_newline_rate", "stat_uppercase_rate", "stat_digit_rate", "stat_n_sentences", "stat_sent_burstiness",
+]
 
 
 # --- other scalars ---------------------------------------------------------

@@ -9,15 +9,15 @@ from ..functions import pii as p
 from ..functions.text import digits, domain_part
 
 
-def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pii_type, cand): every candidate of every type, in long form."""
+def candidates(df: DataFrame, key: str, text: str, *more) -> DataFrame:
+    """(key, pii_type, cand): every candidate of every type, in long form; ``more``: columns to carry."""
     kinds = {"EMAIL": p.emails, "CREDIT": p.cards, "PHONE": p.phones}
 
     def typed(kind: str, found: Column) -> Column:
         return F.transform(found, lambda c: F.struct(F.lit(kind).alias("pii_type"), c.alias("cand")))
 
     parts = [typed(k, f(F.col(text))) for k, f in kinds.items()]
-    return df.select(key, F.explode(F.concat(*parts)).alias("c")).select(key, "c.pii_type", "c.cand")
+    return df.select(key, *more, F.explode(F.concat(*parts)).alias("c")).select(key, "c.pii_type", "c.cand", *more)
 
 
 def profile(values: DataFrame, kind: str = "pii_type", value: str = "gt") -> DataFrame:

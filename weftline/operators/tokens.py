@@ -1,4 +1,9 @@
-"""Summaries of per-token arrays in long form (id, pos, logp, entropy, rank)."""
+"""Summaries of per-token values: arrays in rows (id, logp, entropy, rank), or a row for each token (id, pos, logp, entropy, rank).
+
+The values are those of any language model, or of ``unigram_tokens``, a stand-in
+that needs none.  Summaries work within the row, on arrays in the order of the
+tokens; ``token_arrays`` makes these from rows, in one shuffle.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 WINDOW = 16
 PERCENTS = (0.10, 0.25, 0.50, 0.75, 0.90)
+HEAD_WORDS = 100_000  # words of a vocabulary that are broadcast
 
 
 def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
@@ -16,7 +24,9 @@ def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataF
 
     A stand-in for a language model's output that needs no model.  The entropy
     is the word's own term -p ln p.  Ranks come from a window over the
-    vocabulary's counts, of which equal ones share a row.
+    vocabulary's counts, of which equal ones share a row.  The commonest words,
+    ``HEAD_WORDS`` of them at most, meet their tokens by broadcast, so no common
+    word is a hot key; only tokens of rarer words are shuffled by word.
     """
     long = docs.select(key, F.posexplode(words).alias("pos", "word"))
     counts = long.groupBy("word").agg(F.count("*").alias("c"))
@@ -24,50 +34,116 @@ def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataF
     above = F.coalesce(F.sum("m").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(F.col("c") * F.col("m")).over(Window.partitionBy())
     levels = levels.select("c", (above + 1).alias("rank"), (F.log(F.col("c") / total)).alias("logp"), (-(F.col("c") / total) * F.log(F.col("c") / total)).alias("entropy"))
-    return long.join(counts.join(levels, "c").select("word", "logp", "entropy", "rank"), "word").select(key, "pos", "word", "logp", "entropy", "rank")
+    known = counts.join(levels, "c").select("word", "logp", "entropy", "rank")
+    columns = [key, "pos", "word", "logp", "entropy", "rank"]
+    if counts.count() <= HEAD_WORDS:
+        return long.join(F.broadcast(known), "word").select(*columns)
+    head = known.orderBy("rank", "word").limit(HEAD_WORDS)
+    met = long.join(F.broadcast(head), "word", "left")
+    rare = met.filter(F.col("rank").isNull()).select(key, "pos", "word").join(known, "word")
+    return met.filter(F.col("rank").isNotNull()).select(*columns).unionByName(rare.select(*columns))
+
+
+def token_arrays(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, logp, entropy, rank) as arrays in the order of ``pos``."""
+    held = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "logp", "entropy", "rank"))).alias("t"))
+    return held.select(key, *[F.col(f"t.{c}").alias(c) for c in ("logp", "entropy", "rank")])
 
 
 def rate(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def summary(tokens: DataFrame, key: str) -> DataFrame:
-    """Count, moments, extremes and perplexity of logp, and of entropy (mean, std, quartiles), in one aggregation."""
-    return tokens.groupBy(key).agg(
-        F.count("*").cast("double").alias("lp_n_tokens"), F.avg("logp").alias("lp_mean"), F.stddev_pop("logp").alias("lp_std"),
-        F.min("logp").alias("lp_min"), F.max("logp").alias("lp_max"), F.exp(-F.avg("logp")).alias("lp_ppl"), (-F.avg("logp")).alias("lp_log_ppl"),
-        F.avg("entropy").alias("lp_ent_mean"), F.stddev_pop("entropy").alias("lp_ent_std"),
-        F.percentile("entropy", 0.25).alias("lp_ent_p25"), F.percentile("entropy", 0.75).alias("lp_ent_p75"),
-    )
+# --- of one array --------------------------------------------------------------
+
+
+def mean(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(array), F.lit(0))
+
+
+def std(array: Column) -> Column:
+    """Population deviation, in two passes."""
+    return let(mean(array), lambda m: F.sqrt(F.aggregate(array, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(array)))
+
+
+def percentile(ordered: Column, share: float) -> Column:
+    """Of a sorted array, by linear interpolation."""
+    place = share * (F.size(ordered) - 1)
+    low = F.floor(place).cast("int")
+    at = F.get(ordered, low)
+    return at + (place - low) * (F.coalesce(F.get(ordered, low + 1), at) - at)
+
+
+def percentiles_of(array: Column, shares) -> Column:
+    return let(F.sort_array(array), lambda s: F.array(*[percentile(s, q) for q in shares]))
 
 
-def percentiles(tokens: DataFrame, key: str) -> DataFrame:
-    found = tokens.groupBy(key).agg(F.percentile("logp", F.array(*map(F.lit, PERCENTS))).alias("p"))
+def share_of(array: Column, good) -> Column:
+    return F.size(F.filter(array, good)) / F.nullif(F.size(array), F.lit(0))
+
+
+def rolling_deviation(array: Column, width: int = WINDOW) -> Column:
+    """Population deviation of the full-window means; 0 where there are fewer than ``width`` values."""
+    windows = F.sequence(F.lit(1), F.greatest(F.size(array) - width + 1, F.lit(1)))
+    means = F.transform(windows, lambda i: F.aggregate(F.slice(array, i, width), F.lit(0.0), lambda a, x: a + x) / width)
+    return F.when(F.size(array) < width, 0.0).otherwise(let(means, std))
+
+
+# --- of rows with arrays -------------------------------------------------------
+
+
+def summary(arrays: DataFrame, key: str) -> DataFrame:
+    """Count, moments, extremes and perplexity of logp, and of entropy (mean, std, quartiles)."""
+    logp, entropy = F.col("logp"), F.col("entropy")
+    out = arrays.select(
+        key, F.size(logp).cast("double").alias("lp_n_tokens"), mean(logp).alias("lp_mean"), std(logp).alias("lp_std"), F.array_min(logp).alias("lp_min"), F.array_max(logp).alias("lp_max"),
+        mean(entropy).alias("lp_ent_mean"), std(entropy).alias("lp_ent_std"), percentiles_of(entropy, (0.25, 0.75)).alias("__q"),
+    )
+    quarters = [F.get("__q", F.lit(i)).alias(c) for i, c in enumerate(("lp_ent_p25", "lp_ent_p75"))]
+    return out.select("*", F.exp(-F.col("lp_mean")).alias("lp_ppl"), (-F.col("lp_mean")).alias("lp_log_ppl"), *quarters).drop("__q")
+
+
+def percentiles(arrays: DataFrame, key: str) -> DataFrame:
+    found = arrays.select(key, percentiles_of(F.col("logp"), PERCENTS).alias("p"))
     return found.select(key, *[F.get("p", F.lit(i)).alias(f"lp_p{round(100 * q)}") for i, q in enumerate(PERCENTS)])
 
 
-def rank_buckets(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.groupBy(key).agg(
-        *[rate(F.col("rank") <= k).alias(f"lp_rank_top{k}") for k in (10, 100, 1000)],
-        F.avg("rank").alias("lp_rank_mean"), F.median("rank").alias("lp_rank_median"),
-        rate(F.col("logp") < -10).alias("lp_spike_rate"), rate(F.col("logp") > math.log(0.5)).alias("lp_high_conf_rate"),
-    )
+def _buckets() -> list[Column]:
+    rank, logp = F.col("rank"), F.col("logp")
+    within = lambda k: share_of(rank, lambda x: x <= k).alias(f"lp_rank_top{k}")
+    return [
+        within(10), within(100), within(1000),
+        mean(rank).alias("lp_rank_mean"), F.get(percentiles_of(rank, (0.5,)), F.lit(0)).alias("lp_rank_median"),
+        share_of(logp, lambda x: x < -10).alias("lp_spike_rate"), share_of(logp, lambda x: x > math.log(0.5)).alias("lp_high_conf_rate"),
+    ]
+
 
+def rank_buckets(arrays: DataFrame, key: str) -> DataFrame:
+    return arrays.select(key, *_buckets())
 
-def rolling_std(tokens: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """Population deviation of the full-window rolling means; 0 where there are fewer than ``width`` tokens."""
-    by = Window.partitionBy(key).orderBy("pos")
-    means = tokens.select(key, F.avg("logp").over(by.rowsBetween(1 - width, 0)).alias("m"), F.row_number().over(by).alias("n"))
-    return means.groupBy(key).agg(F.coalesce(F.stddev_pop(F.when(F.col("n") >= width, F.col("m"))), F.lit(0.0)).alias("lp_burstiness"))
 
+def rolling_std(arrays: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
+    return arrays.select(key, rolling_deviation(F.col("logp"), width).alias("lp_burstiness"))
 
-def full_summary(tokens: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """All features, a row for every id; ids with fewer than two tokens have zeros."""
-    joined = summary(tokens, key).join(percentiles(tokens, key), key).join(rank_buckets(tokens, key), key).join(rolling_std(tokens, key), key)
-    kept = joined.filter("lp_n_tokens >= 2")
+
+def full_summary(arrays: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """All 24 features, a row for every id; ids with fewer than two tokens have zeros."""
+    whole = arrays.select(key, "logp", "entropy", *_buckets(), rolling_deviation(F.col("logp")).alias("lp_burstiness"), percentiles_of(F.col("logp"), PERCENTS).alias("__p"))
+    extra = [c for c in whole.columns if c not in (key, "logp", "entropy", "__p")]
+    logp, entropy = F.col("logp"), F.col("entropy")
+    whole = whole.select(
+        key, F.size(logp).cast("double").alias("lp_n_tokens"), mean(logp).alias("lp_mean"), std(logp).alias("lp_std"), F.array_min(logp).alias("lp_min"), F.array_max(logp).alias("lp_max"),
+        mean(entropy).alias("lp_ent_mean"), std(entropy).alias("lp_ent_std"), percentiles_of(entropy, (0.25, 0.75)).alias("__q"), *extra,
+        *[F.get("__p", F.lit(i)).alias(f"lp_p{round(100 * q)}") for i, q in enumerate(PERCENTS)],
+    )
+    quarters = [F.get("__q", F.lit(i)).alias(c) for i, c in enumerate(("lp_ent_p25", "lp_ent_p75"))]
+    kept = whole.select("*", F.exp(-F.col("lp_mean")).alias("lp_ppl"), (-F.col("lp_mean")).alias("lp_log_ppl"), *quarters).drop("__q").filter("lp_n_tokens >= 2")
     return ids.select(key).distinct().join(kept, key, "left").fillna(0.0)
 
 
+# --- of rows for each token ----------------------------------------------------
+
+
 def shifted_loss(tokens: DataFrame, key: str, label: str, ignore: int = -100) -> DataFrame:
     """Rows whose next token is labelled, with ``target``: the label one position on."""
     ahead = F.lead(label).over(Window.partitionBy(key).orderBy("pos"))

@@ -124,10 +124,9 @@ def pii_medoid(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    cand = op.candidates(docs, "doc_id", "text")
-    lang = docs.select("doc_id", F.concat(F.lit("the email is on profile "), "lang", F.when(F.col("doc_id") % 3 == 0, ", as an AI").otherwise("")).alias("raw"))
-    return op.score_candidates(cand.join(lang, "doc_id"), op.profile(cand, value="cand"))
+    raw = F.concat(F.lit("the email is on profile "), "lang", F.when(F.col("doc_id") % 3 == 0, ", as an AI").otherwise(""))
+    cand = op.candidates(_docs(spark, sf_dir).withColumn("raw", raw), "doc_id", "text", "raw")
+    return op.score_candidates(cand, op.profile(cand, value="cand"))
 
 
 SCORED_SQL = f"""p AS ({PROFILE_SQL}), t AS (SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS rn FROM p),
@@ -183,17 +182,18 @@ def leakage_report(spark, sf_dir):
     return op.leakage_report(both).withColumn("avg_sim", F.round("avg_sim", 6))
 
 
-@query("""WITH b AS (SELECT item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 60) AS a, lead(left(regexp_replace(text, '[^ -~]', '', 'g'), 60)) OVER (ORDER BY item_id) AS b FROM benchmark)
+@query("""WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS a, lead(regexp_replace(text, '[^ -~]', '', 'g')) OVER (ORDER BY item_id) AS b FROM benchmark)
 SELECT item_id, round(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS sim FROM b WHERE b IS NOT NULL""")
 def benchmark_similarity(spark, sf_dir):
-    b = load(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("a"))
+    """Whole texts, their ASCII characters: DuckDB's levenshtein counts bytes."""
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("a"))
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
     return pairs.select("item_id", F.round(p.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
 @query()
 def benchmark_similarity_whole(spark, sf_dir):
-    """``benchmark_similarity`` over whole texts, all characters; DuckDB's levenshtein counts bytes, so it has no SQL."""
+    """``benchmark_similarity`` over all characters."""
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
     return pairs.select("item_id", F.round(p.similarity(F.col("a"), F.col("b")), 6).alias("sim"))

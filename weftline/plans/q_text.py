@@ -50,15 +50,12 @@ SELECT doc_id, round(coalesce(e, 0.0::DOUBLE), 6) AS {name} FROM documents LEFT
 
 @query(_entropy_sql("string_split(text, '')", "stat_char_entropy"))
 def stylometry_char_entropy(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    out = tx.entropy_by(d, "doc_id", F.filter(F.split("text", ""), lambda c: c != ""), "e")
-    return out.select("doc_id", F.round("e", 6).alias("stat_char_entropy"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.round(tx.item_entropy(tx.characters(F.col("text"))), 6).alias("stat_char_entropy"))
 
 
 @query(_entropy_sql(W, "stat_word_entropy"))
 def stylometry_word_entropy(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return tx.entropy_by(d, "doc_id", tx.words(F.col("text")), "e").select("doc_id", F.round("e", 6).alias("stat_word_entropy"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.round(tx.item_entropy(tx.words(F.col("text"))), 6).alias("stat_word_entropy"))
 
 
 @query(f"""
@@ -69,7 +66,7 @@ r AS (SELECT doc_id, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::DOUBLE / sum(c)::DO
 SELECT doc_id, round(coalesce(r, 0.0::DOUBLE), 6) AS stat_bigram_repeat_rate FROM documents LEFT JOIN r USING (doc_id)""")
 def stylometry_bigram_repeat(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    return tx.repeat_rate_by(d, "doc_id", tx.bigrams(F.col("w")), "r").select("doc_id", F.round("r", 6).alias("stat_bigram_repeat_rate"))
+    return d.select("doc_id", F.round(tx.repeat_rate(tx.bigrams(F.col("w"))), 6).alias("stat_bigram_repeat_rate"))
 
 
 def _rate(pattern: str) -> str:

@@ -20,6 +20,10 @@ def _tokens(spark, sf_dir):
     return tk.unigram_tokens(load(spark, sf_dir, "documents"), tx.words(F.col("text")))
 
 
+def _arrays(spark, sf_dir):
+    return tk.token_arrays(_tokens(spark, sf_dir), "doc_id")
+
+
 def _rounded(df, key="doc_id"):
     return df.select(key, *[F.round(c, 6).alias(c) for c in df.columns if c != key])
 
@@ -32,19 +36,19 @@ SUMMARY_COLS = ["lp_mean", "lp_std", "lp_min", "lp_max", "lp_log_ppl", "lp_ent_m
 @query(f"""WITH {TOK}, s AS (SELECT doc_id, count(*)::DOUBLE AS lp_n_tokens, {SUMMARY} FROM t GROUP BY 1)
 SELECT doc_id, lp_n_tokens, {', '.join(f'round({c}, 6) AS {c}' for c in SUMMARY_COLS)}, round(lp_ppl, 3) AS lp_ppl FROM s""")
 def token_summary(spark, sf_dir):
-    s = tk.summary(_tokens(spark, sf_dir), "doc_id")
+    s = tk.summary(_arrays(spark, sf_dir), "doc_id")
     return s.select("doc_id", "lp_n_tokens", *[F.round(c, 6).alias(c) for c in SUMMARY_COLS], F.round("lp_ppl", 3).alias("lp_ppl"))
 
 
 @query(f"""WITH {TOK} SELECT doc_id, {', '.join(f'round(quantile_cont(logp, {q}), 6) AS lp_p{round(100 * q)}' for q in tk.PERCENTS)} FROM t GROUP BY 1""")
 def token_percentiles(spark, sf_dir):
-    return _rounded(tk.percentiles(_tokens(spark, sf_dir), "doc_id"))
+    return _rounded(tk.percentiles(_arrays(spark, sf_dir), "doc_id"))
 
 
 @query(f"""WITH {TOK}, r AS (SELECT doc_id, avg(logp) OVER (PARTITION BY doc_id ORDER BY pos ROWS 15 PRECEDING) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM t)
 SELECT doc_id, round(coalesce(stddev_pop(CASE WHEN n >= 16 THEN m END), 0.0::DOUBLE), 6) AS lp_burstiness FROM r GROUP BY 1""")
 def token_burstiness(spark, sf_dir):
-    return _rounded(tk.rolling_std(_tokens(spark, sf_dir), "doc_id"))
+    return _rounded(tk.rolling_std(_arrays(spark, sf_dir), "doc_id"))
 
 
 BUCKETS = """avg((rank <= 10)::INT::DOUBLE) AS lp_rank_top10, avg((rank <= 100)::INT::DOUBLE) AS lp_rank_top100, avg((rank <= 1000)::INT::DOUBLE) AS lp_rank_top1000,
@@ -54,7 +58,7 @@ BUCKET_COLS = ["lp_rank_top10", "lp_rank_top100", "lp_rank_top1000", "lp_rank_me
 
 @query(f"WITH {TOK}, b AS (SELECT doc_id, {BUCKETS} FROM t GROUP BY 1) SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in BUCKET_COLS)} FROM b")
 def token_rank_buckets(spark, sf_dir):
-    return _rounded(tk.rank_buckets(_tokens(spark, sf_dir), "doc_id"))
+    return _rounded(tk.rank_buckets(_arrays(spark, sf_dir), "doc_id"))
 
 
 LOSS = f"""{TOK}, l AS (SELECT *, CASE WHEN rank % 5 = 0 THEN -100 ELSE rank END AS label FROM t),
