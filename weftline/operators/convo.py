@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chat_prompt
+from ..functions.vectors import let
+from .evaluate import hash_order, hash_positions
 
 # fixed values: names under which instruction and output come, and roles
 ASKED = ["instruction", "question", "prompt", "input", "user"]
@@ -156,3 +158,64 @@ def clip_scale(df: DataFrame, norm: str, group: str) -> DataFrame:
     """``scale``: how far each gradient norm is above the least of its group, at most 1."""
     least = F.min(norm).over(Window.partitionBy(group))
     return df.withColumn("scale", F.least(F.lit(1.0), least / (F.col(norm) + 1e-6)))
+
+
+# --- segments at special tokens ---------------------------------------------
+
+
+def segments(ids: Column, labels: Column, starts: dict[str, int], ends: dict[str, int]) -> Column:
+    """An array of (modality, ids, labels): a sequence cut at its special tokens.
+
+    What stands between a modality's start and end token is a segment of that
+    modality, without labels (-100); the tokens themselves and all else are text.
+    A start without an end runs to the end of the sequence.
+    """
+    n = F.size(ids)
+    opens = F.create_map(*[x for name, token in starts.items() for x in (F.lit(token), F.lit(name))])
+    closes = F.create_map(*[x for name, token in ends.items() for x in (F.lit(token), F.lit(name))])
+    special = F.array(*[F.lit(t) for t in (*starts.values(), *ends.values())])
+    places = F.filter(F.transform(ids, lambda x, i: F.struct(x.alias("token"), (i + 1).alias("at"))), lambda p: F.array_contains(special, p["token"]))
+    piece = lambda at, kind: F.struct(at.cast("int").alias("at"), kind.alias("kind"))
+    state = F.struct(F.lit("text").alias("inside"), F.array(piece(F.lit(1), F.lit("text"))).alias("cuts"))
+
+    def step(a: Column, p: Column) -> Column:
+        begin = (a["inside"] == "text") & F.element_at(opens, p["token"]).isNotNull()
+        over = F.coalesce(F.element_at(closes, p["token"]) == a["inside"], F.lit(False))
+        kind = F.when(begin, F.element_at(opens, p["token"])).when(over, "text").otherwise(a["inside"])
+        # both marks are text: a segment begins after its start and the text after it with its end
+        cuts = F.when(begin, F.concat(a["cuts"], F.array(piece(p["at"] + 1, kind)))).when(over, F.concat(a["cuts"], F.array(piece(p["at"], kind)))).otherwise(a["cuts"])
+        return F.struct(kind.alias("inside"), cuts.alias("cuts"))
+
+    def cut(c: Column) -> Column:
+        sized = F.transform(c, lambda p, k: F.struct(p["at"].alias("at"), p["kind"].alias("kind"), (F.coalesce(F.get(c, k + 1)["at"], n + 1) - p["at"]).alias("size")))
+        return F.transform(
+            F.filter(sized, lambda p: p["size"] > 0),
+            lambda p: F.struct(
+                p["kind"].alias("modality"),
+                F.slice(ids, p["at"], p["size"]).alias("ids"),
+                F.when(p["kind"] == "text", F.slice(labels, p["at"], p["size"])).otherwise(F.array_repeat(F.lit(-100), p["size"])).alias("labels"),
+            ),
+        )
+
+    return F.when(n > 0, let(F.aggregate(places, state, step, lambda a: a["cuts"]), cut))
+
+
+def modality_mask(parts: Column, modality: str) -> Column:
+    """One for each token of a modality, zero elsewhere, over all segments."""
+    return F.flatten(F.transform(parts, lambda p: F.array_repeat(F.when(p["modality"] == modality, 1).otherwise(0), F.size(p["ids"]))))
+
+
+def shard_rows(df: DataFrame, key: str, shards: int, index: int, contiguous: bool = False, seed: str = "shard") -> DataFrame:
+    """One of ``shards`` equal parts of the rows, in the order of a hash of the key: every n-th row, or a run of them."""
+    placed = hash_positions(df, [], hash_order(seed, key), key, "__place")
+    if not contiguous:
+        return placed.filter(F.col("__place") % shards == index).drop("__place")
+    n = df.count()
+    first, last = (n * index) // shards, (n * (index + 1)) // shards
+    return placed.filter((F.col("__place") >= first) & (F.col("__place") < last)).drop("__place")
+
+
+def first_users(df: DataFrame, user: str, order: str, n: int) -> DataFrame:
+    """All rows of the ``n`` users that appear first; a limit that is the operator's purpose."""
+    first = df.groupBy(user).agg(F.min(order).alias("__first")).orderBy("__first", user).limit(n)
+    return df.join(F.broadcast(first.select(user)) if n <= 100_000 else first.select(user), user, "left_semi")

@@ -8,11 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hash_order(seed: str, key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+
+
+def hash_positions(df: DataFrame, keys: list[str], order: Column, key: str, name: str) -> DataFrame:
+    """Add ``name``: the place of each row, from 0, within ``keys``, in the order of a hash in hex, then of ``key``.
+
+    Rows are numbered within 4,096 ranges of the hash; the ranges' sizes say
+    where each begins.  So no task has to order all rows of a key.
+    """
+    part = F.substring(order, 1, 3)
+    sizes = df.groupBy(*keys, part.alias("__part")).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    marked = df.withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 3))
+    within = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__order", key)) - 1
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    numbered = marked.withColumn("__within", within).join(starts, same)
+    return numbered.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold``: rows of each label dealt in turn, in the order of a hash of seed and key."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
-    return df.withColumn("fold", ((place - 1) % k).cast("int"))
+    placed = hash_positions(df, [label], hash_order(str(seed), key), key, "__place")
+    return placed.withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place")
 
 
 def hash_bucket(key: Column, n: int = 100) -> Column:
@@ -97,6 +119,22 @@ def validate_scores(df: DataFrame, expected: DataFrame, id_col: str = "id", scor
     return reduce(DataFrame.unionByName, parts)
 
 
+MOST_BYTES = 10 << 20
+
+
+def validate_score_file(spark, path: str, expected: DataFrame, id_col: str = "id", score_col: str = "score") -> DataFrame:
+    """``validate_scores`` of a CSV file, with the rules that look at the file: its ending, and its size of 10 MiB at most."""
+    about = spark.read.format("binaryFile").load(path).select(F.lower("path").alias("p"), "length")
+    files = about.agg(F.count_if(~F.col("p").endswith(".csv")).alias("extension"), F.count_if(F.col("length") > MOST_BYTES).alias("size"))
+    of_file = files.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n_violations")) for r in ("extension", "size")])).alias("r")).select("r.*")
+    table = spark.read.option("header", True).csv(path)
+    if table.columns != [id_col, score_col]:
+        header = spark.range(1).select(F.lit("header").alias("rule"), F.lit(1).cast("long").alias("n_violations"))
+        return of_file.unionByName(header)
+    typed = table.select(F.col(id_col).try_cast("long").alias(id_col), F.coalesce(F.col(score_col).try_cast("double"), F.lit(float("nan"))).alias(score_col))
+    return of_file.unionByName(validate_scores(typed, expected, id_col, score_col))
+
+
 def validate_predictions(df: DataFrame, id_col: str = "id", kind: str = "pii_type", pred: str = "pred", rows: int | None = None, kinds=("CREDIT", "EMAIL", "PHONE")) -> DataFrame:
     """(rule, n_violations) of a table of predictions by id and type."""
     p = F.col(pred)

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import pickle
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import stratified_folds
+from .boosting import BoostedTrees
+from .evaluate import hash_order, hash_positions, stratified_folds
 
 
-def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 3, trees: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 42):
-    """Out-of-fold scores, scores of ``test`` averaged over folds, and mean feature importances.
+def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
+    return np.nan_to_num(frame[features].to_numpy(dtype=float), posinf=1e300, neginf=-1e300)
 
-    Each fold's model stops early on the fold it leaves out.
+
+def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 5, seed: int = 42, most_rows: int = 50_000, **how):
+    """Out-of-fold scores, scores of ``test`` averaged over folds, and mean feature importances (gain).
+
+    Each fold's model is learned in a task of its own, on the other folds, and
+    stops early on the fold it leaves out.  Learned from are about ``most_rows``
+    rows, chosen by hash of the key; every row is scored, where it lies, by the
+    model of its fold.  ``how``: parameters of ``BoostedTrees``.
     """
-    vector = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="keep")
-    folds = vector.transform(stratified_folds(df, label, key, k, seed)).withColumn("__y", F.col(label).cast("double")).persist()
-    held = vector.transform(test) if test is not None else None
-    oof, tests, weights = [], [], []
-    for fold in range(k):
-        learner = GBTClassifier(
-            featuresCol="__f", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed, validationIndicatorCol="__v"
-        )
-        model = learner.fit(folds.withColumn("__v", F.col("fold") == fold))
-        score = vector_to_array("probability")[1]
-        oof.append(model.transform(folds.filter(F.col("fold") == fold)).select(key, label, "fold", score.alias("score")))
-        if held is not None:
-            tests.append(model.transform(held).select(key, score.alias("score")))
-        weights.append(model.featureImportances.toArray())
-    scores = reduce(DataFrame.unionByName, oof)
-    averaged = reduce(DataFrame.unionByName, tests).groupBy(key).agg(F.avg("score").alias("score")) if tests else None
-    mean = sum(weights) / k
-    importances = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, mean)], "feature string, importance double")
+    folds = stratified_folds(df, label, key, k, seed).select(key, F.col(label).cast("double").alias("__y"), F.col(label).alias("__label"), "fold", *[F.col(f).cast("double") for f in features])
+    n = df.count()
+    share = F.pmod(F.xxhash64(F.lit("learn"), F.col(key).cast("string")), F.lit(1 << 20))
+    some = folds.filter(share < max(1, (1 << 20) * most_rows // n)) if n > most_rows else folds
+
+    def fit(group, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(key, kind="stable")
+        out = frame["fold"] == group[0]
+        y = frame["__y"].to_numpy()
+        model = BoostedTrees(seed=seed, **how).fit(_matrix(frame[~out], features), y[~out], _matrix(frame[out], features), y[out])
+        return pd.DataFrame({"model": [group[0]], "held": [model.dump()], "gains": [model.gains.tolist()]})
+
+    dealt = some.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    # k rows, of a size that rounds and leaves bound
+    models = {r.model: r for r in dealt.groupBy("model").applyInPandas(fit, "model int, held binary, gains array<double>").collect()}
+    shared = df.sparkSession.sparkContext.broadcast({m: bytes(r.held) for m, r in models.items()})
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def score(frames):
+        held = {m: pickle.loads(x) for m, x in shared.value.items()}
+        for frame in frames:
+            found = np.zeros(len(frame))
+            for m in frame["fold"].unique():
+                rows = (frame["fold"] == m).to_numpy()
+                found[rows] = held[m].score(_matrix(frame[rows], features)) if m in held else 0.5
+            yield pd.DataFrame({key: frame[key], label: frame["__label"], "fold": frame["fold"], "score": found})
+
+    def score_all(frames):
+        held = [pickle.loads(x) for x in shared.value.values()]
+        for frame in frames:
+            x = _matrix(frame, features)
+            yield pd.DataFrame({key: frame[key], "score": np.mean([m.score(x) for m in held], axis=0) if held else np.full(len(x), 0.5)})
+
+    scores = folds.mapInPandas(score, f"`{key}` {kind[key]}, `{label}` {kind[label]}, fold int, score double")
+    averaged = test.select(key, *features).mapInPandas(score_all, f"`{key}` {kind[key]}, score double") if test is not None else None
+    gains = np.mean([r.gains for r in models.values()], axis=0) if models else np.zeros(len(features))
+    importances = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, gains)], "feature string, importance double")
     return scores, averaged, importances
 
 
@@ -45,7 +72,7 @@ def top_features(importances: DataFrame, k: int = 15) -> DataFrame:
     return importances.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, alpha: float = 1.0, trees: int = 20, depth: int = 7, least: int = 2, prior: float | None = None, seed: int = 42) -> DataFrame:
+def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, alpha: float = 1.0, trees: int = 400, depth: int = 7, least: int = 2, prior: float | None = None, seed: int = 42) -> DataFrame:
     """(key, ridge, forest, proportion): mean of a standardised ridge regression and a forest, drawn to a prior, clipped."""
     assembler = VectorAssembler(inputCols=features, outputCol="__f")
     n = max(1, train.count())
@@ -59,17 +86,17 @@ def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], tar
 
 def mixture_sample(df: DataFrame, side: str, key: str, n: int, share: float, draw: int = 0) -> DataFrame:
     """``n`` rows without replacement, ``share`` of them from the mixed side, by hash order of draw and key."""
-    order = F.md5(F.concat_ws(":", F.lit(str(draw)), F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy(side).orderBy(order, key))
+    placed = hash_positions(df, [side], hash_order(str(draw), key), key, "__n")
     wanted = F.when(F.col(side) == "mix", round(n * share)).otherwise(n - round(n * share))
-    return df.withColumn("__n", place).filter(F.col("__n") <= wanted).drop("__n").withColumn("draw", F.lit(draw))
+    return placed.filter(F.col("__n") < wanted).drop("__n").withColumn("draw", F.lit(draw))
 
 
 def resample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``k`` draws with replacement: each picks a place by hash among rows numbered by key."""
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(F.md5(F.col(key).cast("string")), key)) - 1)
+    """``k`` draws with replacement: each picks a place by hash among rows in the order of a hash of their key."""
+    numbered = hash_positions(df, [], F.md5(F.col(key).cast("string")), key, "__i")
     n = df.count()
-    draws = df.sparkSession.range(k).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n))).cast("int").alias("__i"), F.col("id").alias("draw"))
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % F.lit(max(1, n))
+    draws = df.sparkSession.range(k).select(at.alias("__i"), F.col("id").alias("draw"))
     return draws.join(numbered, "__i").drop("__i")
 
 

@@ -23,6 +23,11 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from . import q_convo, q_evaluate, q_pii, q_relational, q_sources, q_text, q_tokens, q_twosample, q_vectors  # noqa: F401
 

@@ -81,11 +81,11 @@ def conv_label_mask(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "pair", ids.alias("input_ids"), labels.alias("labels"))
 
 
-@query("""SELECT item_id, list_filter(list_zip(['q1', 'q2', 'q3'], ['Yes', left(text, 5), ' no ']), lambda z: lower(trim(z[2])) NOT IN ('yes', 'no'))[1][2] AS answer,
+@query("""SELECT item_id, list_filter(list_zip(['q1', 'q2', 'q3'], ['Yes', text, ' no ']), lambda z: lower(trim(z[2])) NOT IN ('yes', 'no'))[1][2] AS answer,
  CASE item_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM benchmark""")
 def qa_filters(spark, sf_dir):
     q = F.array(*map(F.lit, ("q1", "q2", "q3")))
-    a = F.array(F.lit("Yes"), F.substring("text", 1, 5), F.lit(" no "))
+    a = F.array(F.lit("Yes"), F.col("text"), F.lit(" no "))
     b = load(spark, sf_dir, "benchmark").select("item_id", q.alias("q"), a.alias("a"))
     kept = F.get(cv.drop_yes_no(F.col("q"), F.col("a")), F.lit(0))
     return b.select("item_id", kept["a"].alias("answer"), cv.split_name((F.col("item_id") % 3 + 1).cast("int")).alias("split"))
@@ -99,3 +99,27 @@ def length_grouped_batches(spark, sf_dir):
 @query("WITH m AS (SELECT *, min(value) OVER (PARTITION BY event_type) AS g FROM events) SELECT event_id, round(least(1.0::DOUBLE, g / (value + 1e-6::DOUBLE)), 6) AS scale FROM m")
 def clip_scale(spark, sf_dir):
     return cv.clip_scale(load(spark, sf_dir, "events"), "value", "event_type").select("event_id", F.round("scale", 6).alias("scale"))
+
+
+@query()
+def token_segments(spark, sf_dir):
+    """Texts as word lengths, in which a length of 9 opens and 10 closes an image, 11 and 12 a sound."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
+    parts = cv.segments(F.col("ids"), F.col("ids"), {"image": 9, "audio": 11}, {"image": 10, "audio": 12})
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids")).withColumn("parts", parts)
+    return c.select("conv_id", "turn", "parts", cv.modality_mask(F.col("parts"), "image").alias("image_mask"))
+
+
+SHARDED = "SELECT doc_id, source, row_number() OVER (ORDER BY md5('shard:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents"
+
+
+@query(f"SELECT doc_id, source, 'strided' AS how FROM ({SHARDED}) WHERE i % 7 = 3 UNION ALL SELECT doc_id, source, 'run' FROM ({SHARDED}) WHERE i >= n * 3 // 7 AND i < n * 4 // 7")
+def rank_shards(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "source")
+    one = lambda how, run: cv.shard_rows(d, "doc_id", 7, 3, run).withColumn("how", F.lit(how))
+    return one("strided", False).unionByName(one("run", True))
+
+
+@query("WITH f AS (SELECT user_id, min(event_id) AS e FROM events GROUP BY 1 ORDER BY e, user_id LIMIT 20) SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM f)")
+def first_users(spark, sf_dir):
+    return cv.first_users(load(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", 20)

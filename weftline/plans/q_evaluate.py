@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -108,7 +107,7 @@ def validate_scores(spark, sf_dir):
 
 
 GRID = """g AS (SELECT doc_id AS id, CASE WHEN doc_id % 90 = 5 AND k = 'PHONE' THEN 'EMAIL' WHEN doc_id % 90 = 6 AND k = 'EMAIL' THEN 'NAME' ELSE k END AS pii_type,
- CASE WHEN doc_id % 30 = 1 THEN NULL WHEN doc_id % 30 = 2 THEN '' WHEN doc_id % 30 = 3 THEN 'short' ELSE left(text || '----------', 20) END AS pred FROM documents CROSS JOIN (VALUES ('EMAIL'), ('CREDIT'), ('PHONE')) t(k))"""
+ CASE WHEN doc_id % 30 = 1 THEN NULL WHEN doc_id % 30 = 2 THEN '' WHEN doc_id % 30 = 3 THEN 'short' ELSE text END AS pred FROM documents CROSS JOIN (VALUES ('EMAIL'), ('CREDIT'), ('PHONE')) t(k))"""
 
 
 @query(f"""WITH {GRID} SELECT 'null' AS rule, count(*) AS n_violations FROM g WHERE pred IS NULL UNION ALL SELECT 'empty', count(*) FROM g WHERE trim(pred) = '' UNION ALL SELECT 'length', count(*) FROM g WHERE length(pred) NOT BETWEEN 10 AND 100
@@ -118,7 +117,7 @@ def validate_grid(spark, sf_dir):
     i = F.col("doc_id")
     g = load(spark, sf_dir, "documents").withColumn("k", F.explode(F.array(F.lit("EMAIL"), F.lit("CREDIT"), F.lit("PHONE"))))
     kind = F.when((i % 90 == 5) & (F.col("k") == "PHONE"), "EMAIL").when((i % 90 == 6) & (F.col("k") == "EMAIL"), "NAME").otherwise(F.col("k"))
-    pred = F.when(i % 30 == 1, None).when(i % 30 == 2, "").when(i % 30 == 3, "short").otherwise(F.substring(F.concat("text", F.lit("----------")), 1, 20))
+    pred = F.when(i % 30 == 1, None).when(i % 30 == 2, "").when(i % 30 == 3, "short").otherwise(F.col("text"))
     return ev.validate_predictions(g.select(i.alias("id"), kind.alias("pii_type"), pred.alias("pred")), rows=2999)
 
 
@@ -139,51 +138,53 @@ def repeat_rows(spark, sf_dir):
     return ln.repeat_rows(load(spark, sf_dir, "region").select("r_regionkey", "r_name"), 3)
 
 
-@query()
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS i FROM labels), d AS (SELECT range AS draw, ('0x' || substr(md5('42:' || range), 1, 12))::BIGINT % (SELECT count(*) FROM labels) AS i FROM range(100))
+SELECT draw, doc_id, quality, toxic FROM d JOIN o USING (i)""")
 def resample_rows(spark, sf_dir):
-    return ln.resample(load(spark, sf_dir, "labels"), "doc_id", 100)
-
-
-FEATURES = ["n", "w", "u", "p"]
+    return ln.resample(load(spark, sf_dir, "labels"), "doc_id", 100).select("draw", "doc_id", "quality", "toxic")
 
 
 def _features(spark, sf_dir):
-    t = F.col("text")
-    d = load(spark, sf_dir, "documents").withColumn("ws", tx.words(t))
-    return d.select(
-        "doc_id", F.log1p(F.length(t)).alias("n"), tx.mean_length(F.col("ws")).alias("w"), tx.ratio(tx.matches(t, r"\p{Lu}"), F.length(t)).alias("u"), tx.ratio(tx.matches(t, tx.PUNCTUATION), F.length(t)).alias("p")
-    )
+    """The fifteen text statistics of labelled documents, and their labels."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    return tx.stylometry(load(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")).join(labels, "doc_id")
 
 
 @query()
 def gbt_cv_oof(spark, sf_dir):
-    f = _features(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
-    return ln.boosted_oof(f, FEATURES, "quality", "doc_id")[0]
+    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id")[0]
+
+
+@query()
+def gbt_test_scores(spark, sf_dir):
+    """Documents without a label, scored by the mean of the folds' models."""
+    rest = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id", tx.stylometry(rest))[1]
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    f = _features(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
-    return ln.top_features(ln.boosted_oof(f, FEATURES, "quality", "doc_id")[2])
+    return ln.top_features(ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id")[2])
 
 
 @query()
 def ridge_rf_blend(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    l = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
-    return ln.ridge_and_forest(f.join(l, "doc_id"), f, FEATURES, "y", "doc_id", prior=0.5)
+    f = _features(spark, sf_dir).withColumn("y", F.col("quality").cast("double"))
+    return ln.ridge_and_forest(f, f.drop("y", "quality"), tx.STYLOMETRY, "y", "doc_id", prior=0.5)
 
 
-@query()
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events), g AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg((value > 100)::INT::DOUBLE), 6) AS high_rate FROM events GROUP BY ALL)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, total, high_rate FROM g, m WHERE h + INTERVAL 1 HOUR <= w""")
 def stream_rates(spark, sf_dir):
     """Streaming counts and rates by hour; windows behind the watermark, as append mode gives them."""
-    top = tempfile.mkdtemp(prefix="weftline-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir") + "/stream-" + os.urandom(8).hex()
+    top = f"{st.shared_folder(spark)}/stream-{os.urandom(8).hex()}"
     schema = load(spark, sf_dir, "events").schema
     stream = st.windowed_rates(st.file_stream(spark, sf_dir, schema, "events.parquet"), "ts", "event_type", "value")
     st.run_once(stream, f"{top}/out", f"{top}/checkpoint")
-    return spark.read.parquet(f"{top}/out")
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return spark.read.parquet(f"{top}/out").select(start, "event_type", "n", F.round("total", 4).alias("total"), F.round("high_rate", 6).alias("high_rate"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
 def table_profile(spark, sf_dir):
     return describe(load(spark, sf_dir, "events"))

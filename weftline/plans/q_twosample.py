@@ -8,7 +8,7 @@ from ..functions import vectors as v
 from ..operators import ranking as rk
 from ..operators import twosample as ts
 from ..sources.tables import load
-from .catalog import query
+from .catalog import oracle, query
 
 X = """x AS (SELECT event_type AS model_id, left(event_type, 1) AS arch, CASE WHEN user_id % 2 = 0 THEN 'mix' ELSE 'pop' END AS side, event_id,
   CAST(user_id % 7 AS INT) AS label, value + CASE WHEN user_id % 6 = 0 THEN -20 ELSE 0 END AS loss FROM events)"""
@@ -239,3 +239,15 @@ def monotone_check(spark, sf_dir):
 def median_available(spark, sf_dir):
     n = _n(spark, sf_dir).withColumn("half", F.when(F.col("model_id") % 2 == 0, F.col("raw") * 0.5)).withColumn("third", F.lit(0.3))
     return _out(ts.median_of(n, "model_id", ["raw", "half", "third"]))
+
+
+STRONG = f"""WITH {X}, a AS ({oracle('proportion_class_cdf')}), b AS ({oracle('proportion_ks_grid')})
+SELECT model_id, greatest(a.proportion, b.proportion) AS strongest, round(least(greatest(0.5::DOUBLE * a.proportion + 0.5::DOUBLE * b.proportion, 0.0), 1.0), 6) AS blended FROM a JOIN b USING (model_id)"""
+
+
+@query(STRONG)
+def proportion_strongest(spark, sf_dir):
+    """The greater of two estimates, and their mean."""
+    a, b = proportion_class_cdf(spark, sf_dir), proportion_ks_grid(spark, sf_dir).select("model_id", "proportion")
+    strong = ts.strongest(a, b).withColumnRenamed("proportion", "strongest")
+    return strong.join(ts.blend(a, b).select("model_id", F.round("proportion", 6).alias("blended")), "model_id")

@@ -12,8 +12,8 @@ def score_rows(df: DataFrame, id_col: str = "id", score_col: str = "score") -> D
     return df.select(F.col(id_col), F.format_string("%.6f", clipped).alias(score_col)).orderBy(id_col)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A submission is small by its contract (a row for each id asked for), so one file is right for it."""
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """``single`` makes one file of rows that are few by contract, as a submission's are."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -38,10 +38,11 @@ def latest_file(spark: SparkSession, pattern: str, without: str = "") -> str | N
     return files.agg(F.max("path")).first()[0]
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """Rows, nulls and distinct values of every column, in one pass."""
+def describe(df: DataFrame, about: bool = False) -> DataFrame:
+    """Rows, nulls and distinct values of every column, in one pass; ``about``: distinct values by a sketch."""
+    distinct = F.approx_count_distinct if about else F.count_distinct
     cells = [
-        F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), F.approx_count_distinct(c).alias("distinct"))
+        F.struct(F.lit(c).alias("field"), F.count(c).alias("n"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), distinct(F.col(c)).alias("n_distinct"))
         for c in df.columns
         if not df.schema[c].dataType.simpleString().startswith("map")
     ]

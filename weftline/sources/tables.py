@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,10 @@ def labelled_union(parts: list[tuple[DataFrame, int, str]], id_col: str = "id")
     sources before it, so that no task has to order the whole union.
     """
     united = reduce(DataFrame.unionByName, [df.withColumn("label", F.lit(label)).withColumn("source", F.lit(source)) for df, label, source in parts])
-    from pyspark.sql import Window
-
     sizes = united.groupBy("source").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     row = F.row_number().over(Window.partitionBy("source").orderBy(id_col)) - 1
-    return united.withColumn("__r", row).join(before, "source").withColumn("row_id", F.col("__r") + F.col("__before")).drop("__r", "__n", "__before")
+    return united.withColumn("__r", row).join(F.broadcast(before), "source").withColumn("row_id", F.col("__r") + F.col("__before")).drop("__r", "__n", "__before")
 
 
 def read_parquet_with_origin(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +96,12 @@ def pick_column(columns: list[str], names: list[str], parts: list[str] = ()) ->
     return next(exact, next(loose, None))
 
 
+def feature_columns(columns: list[str], without: list[str] = (), starts: list[str] = ()) -> list[str]:
+    """The columns that aren't named in ``without`` and, if ``starts`` is given, begin with one of it, in order."""
+    left = set(without)
+    return [c for c in columns if c not in left and (not starts or c.startswith(tuple(starts)))]
+
+
 def normalise_channels(array: Column, means: list[float], stds: list[float], scale: float = 1.0) -> Column:
     """Scale an interleaved array and standardise it by channel."""
     k = len(means)

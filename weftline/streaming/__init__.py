@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of this machine only where all of Spark is one process and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="weftline-")
+
+
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str, files_per_batch: int = 16) -> DataFrame:
     """New Parquet files of a folder, a bounded number a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
@@ -21,7 +32,7 @@ def windowed_rates(events: DataFrame, time: str, key: str, value: str, width: st
     return out.select(F.col("window.start").alias("window_start"), key, "n", "total", "high_rate")
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str | None = None) -> None:
+def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process what there is and stop; a restart with the same checkpoint goes on after it."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or tempfile.mkdtemp(prefix="weftline-")).outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
