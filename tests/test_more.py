@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import pii as p
 from weftline.functions import text as tx
-from weftline.operators import boosting, geometry
+from weftline.operators import boosting, geometry, ordered
 from weftline.operators import convo as cv
 from weftline.operators import evaluate as ev
 from weftline.operators import learn as ln
@@ -259,3 +259,23 @@ def test_best_candidate_by_plain_patterns(spark):
             valid = [m for m in found if low <= len(re.sub(r"\D", "", m)) <= high]
             want = "" if not t or "REDACTED" in t.upper() else max(valid, key=len) if valid else t if 10 <= len(t) <= 100 else ""
             assert r.b == want, (kind, texts[r.i])
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(x)) for k, n in (("a", 500), ("b", 33), ("c", 1), ("d", 2)) for x in np.round(rng.normal(size=n) * 10.0 ** rng.integers(-4, 5, n), 3)]
+    rows += [("a", None), ("e", None), ("f", float("inf")), ("f", 1.0), ("f", -float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = {"lo": 0.05, "mid": 0.5, "hi": 0.77, "top": 1.0}
+    got = {r.k: r for r in ordered.quantiles(df.filter("k <> 'f'"), ["k"], "x", shares).collect()}
+    for k in "abcd":
+        x = np.array([v for g, v in rows if g == k and v is not None])
+        assert [got[k][n] for n in shares] == pytest.approx([np.quantile(x, q) for q in shares.values()], abs=1e-9)
+    assert "e" not in got
+    counts = df.groupBy("k", "x").agg(F.count("x").alias("n"))
+    for down in (False, True):
+        for r in ordered.running_sums(counts, ["k"], "x", ["n"], down).collect():
+            known = [v for g, v in rows if g == r.k and v is not None]
+            if r.x is not None:
+                assert r.run_n == sum(v >= r.x if down else v <= r.x for v in known)
+            assert r.all_n == len(known)

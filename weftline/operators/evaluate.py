@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def hash_order(seed: str, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
@@ -42,42 +44,46 @@ def hash_bucket(key: Column, n: int = 100) -> Column:
 
 
 def roc_points(df: DataFrame, label: str, score: str, group: str | None = None) -> DataFrame:
-    """(group, score, fp, tp): counts at or above each distinct score.
+    """(group, score, fp, tp, f, t): counts at or above each distinct score, and those at it.
 
-    Ties are grouped first; the running sum is over distinct scores only.
+    Ties are grouped first; the running sums are over distinct scores, spread over slots of them.
     """
     keys = [group] if group else []
     y = F.col(label).cast("int")
     steps = df.groupBy(*keys, score).agg(F.sum(1 - y).alias("f"), F.sum(y).alias("t"))
-    run = Window.partitionBy(*keys).orderBy(F.desc(score))
-    return steps.select(*keys, score, F.sum("f").over(run).alias("fp"), F.sum("t").over(run).alias("tp"))
+    run = running_sums(steps, keys, score, ["f", "t"], descending=True)
+    return run.select(*keys, score, F.col("run_f").alias("fp"), F.col("run_t").alias("tp"), "f", "t")
+
+
+def _totals(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` beside the counts of all rows, as nf and nt."""
+    ends = points.groupBy(*keys).agg(F.max("fp").alias("nf"), F.max("tp").alias("nt"))
+    return points.join(ends, keys) if keys else points.crossJoin(F.broadcast(ends))
 
 
 def tpr_at_fpr(points: DataFrame, target: float = 0.01, drop_intermediate: bool = False, group: str | None = None) -> DataFrame:
     """(group, tpr): the highest rate of true positives while that of false ones is at most ``target``; 0 with one class.
 
     ``drop_intermediate`` leaves out points on a straight run, whose removal can
-    lower the result where tied scores hold both classes.
+    lower the result where tied scores hold both classes; it needs the points of
+    a group in one task.
     """
     keys = [group] if group else []
-    by = Window.partitionBy(*keys)
-    run = by.orderBy("fp", "tp")
-    p = points.select(*keys, "fp", "tp", F.max("fp").over(by).alias("nf"), F.max("tp").over(by).alias("nt"))
+    p = _totals(points.select(*keys, "fp", "tp"), keys)
     if drop_intermediate:
+        run = Window.partitionBy(*keys).orderBy("fp", "tp")
         bend = lambda c: (F.lead(c).over(run) - F.col(c)) - (F.col(c) - F.lag(c).over(run))
         p = p.withColumn("__a", bend("fp")).withColumn("__b", bend("tp"))
         p = p.filter(F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") != 0) | (F.col("__b") != 0))
-    rate = F.when((F.col("nf") == 0) | (F.col("nt") == 0), 0.0).otherwise(F.when(F.col("fp") / F.col("nf") <= target, F.col("tp") / F.col("nt")))
+    rate = F.when((F.col("nf") == 0) | (F.col("nt") == 0), 0.0).otherwise(F.when(F.col("fp") / F.nullif(F.col("nf"), F.lit(0)) <= target, F.col("tp") / F.nullif(F.col("nt"), F.lit(0))))
     return p.groupBy(*keys).agg(F.coalesce(F.max(rate), F.lit(0.0)).alias("tpr"))
 
 
 def auc(points: DataFrame, group: str | None = None) -> DataFrame:
     """(group, auc): area under the points by trapezoids, which gives ties half."""
     keys = [group] if group else []
-    run = Window.partitionBy(*keys).orderBy("fp", "tp")
-    step = (F.col("fp") - F.coalesce(F.lag("fp").over(run), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(run), F.lit(0))) / 2.0
-    p = points.withColumn("__s", step)
-    return p.groupBy(*keys).agg((F.sum("__s") / (F.max("fp") * F.max("tp"))).alias("auc"))
+    step = F.col("f") * (F.col("tp") - F.col("t") / 2.0)
+    return points.groupBy(*keys).agg((F.sum(step) / (F.max("fp") * F.max("tp"))).alias("auc"))
 
 
 def log_loss_and_accuracy(df: DataFrame, label: str, prob: str, group: str | None = None, eps: float = 1e-15) -> DataFrame:

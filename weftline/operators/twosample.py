@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from .ordered import quantiles, running_sums
 
 MIX, POP = "mix", "pop"
 
@@ -18,8 +19,9 @@ def on(side: str, value: Column, column: str = "side") -> Column:
     return F.when(F.col(column) == side, value)
 
 
-def iqr(value: str | Column) -> Column:
-    return F.percentile(value, 0.75) - F.percentile(value, 0.25)
+def median_and_iqr(df: DataFrame, keys: list[str], value: str, median: str = "med", spread: str = "iqr") -> DataFrame:
+    found = quantiles(df, keys, value, {"__q25": 0.25, "__q50": 0.5, "__q75": 0.75})
+    return found.select(*keys, F.col("__q50").alias(median), (F.col("__q75") - F.col("__q25")).alias(spread))
 
 
 def class_z(df: DataFrame, value: str, label: str, least: int = 2, low_is_member: bool = True, model: str = "model_id") -> DataFrame:
@@ -77,8 +79,7 @@ def reference_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     the inequality join.
     """
     counts = df.groupBy(*keys, value).agg(F.count(on(POP, F.lit(1))).alias("c"))
-    by = Window.partitionBy(*keys)
-    ranked = counts.select(*keys, value, F.sum("c").over(by.orderBy(value)).alias("r"), F.sum("c").over(by).alias("m"))
+    ranked = running_sums(counts, keys, value, ["c"]).select(*keys, value, F.col("run_c").alias("r"), F.col("all_c").alias("m"))
     return df.filter(F.col("side") == MIX).join(ranked, [*keys, value])
 
 
@@ -90,10 +91,9 @@ def reference_quantile(df: DataFrame, value: str, keys: list[str], low_is_member
 
 def rank_fraction(df: DataFrame, value: str, keys: list[str], name: str, higher_is_member: bool = True) -> DataFrame:
     """Every row, of both sides, with ``name``: the share of the population at or below it, flipped if lower is better."""
-    counts = df.groupBy(*keys, value).agg(F.count(on(POP, F.lit(1))).alias("__c"))
-    by = Window.partitionBy(*keys)
-    share = F.sum("__c").over(by.orderBy(value)) / F.sum("__c").over(by)
-    ranked = counts.select(*keys, value, (share if higher_is_member else 1.0 - share).alias(name))
+    counts = df.groupBy(*keys, value).agg(F.count(on(POP, F.lit(1))).alias("c"))
+    share = F.col("run_c") / F.col("all_c")
+    ranked = running_sums(counts, keys, value, ["c"]).select(*keys, value, (share if higher_is_member else 1.0 - share).alias(name))
     return df.join(ranked, [*keys, value])
 
 
@@ -135,9 +135,8 @@ def proportion_cross_null(df: DataFrame, value: str, arch: str, null_of: DataFra
     """
     mix = df.filter(F.col("side") == MIX)
     named = null_of.select(F.col(arch).alias("__arch"), "null_id")
-    null = mix.join(named, F.col(model) == F.col("null_id")).groupBy("__arch", "null_id").agg(
-        F.percentile(value, 0.05).alias("__q05"), F.median(value).alias("__med"), (iqr(value) + 1e-8).alias("__iqr")
-    )
+    null = quantiles(mix.join(named, F.col(model) == F.col("null_id")), ["__arch", "null_id"], value, {"__q05": 0.05, "__q25": 0.25, "__med": 0.5, "__q75": 0.75})
+    null = null.withColumn("__iqr", F.col("__q75") - F.col("__q25") + 1e-8).drop("__q25", "__q75")
     joined = mix.join(null, F.col(arch) == F.col("__arch"))
     low = F.avg((F.col(value) < F.col("__q05")).cast("double"))
     shift = v.saturate(F.greatest(-(F.col(value) - F.col("__med")) / F.col("__iqr"), F.lit(0.0)))
@@ -148,9 +147,9 @@ def proportion_cross_null(df: DataFrame, value: str, arch: str, null_of: DataFra
 def proportion_augmented(df: DataFrame, value: str, sample: str, model: str = "model_id") -> DataFrame:
     """Stability under augmentation: samples whose loss is low and steady count as members."""
     each = df.groupBy(model, "side", sample).agg(F.avg(value).alias("a"), F.stddev_pop(value).alias("s"))
-    pop = each.filter(F.col("side") == POP).groupBy(model).agg(
-        F.median("a").alias("ma"), (iqr("a") + 1e-8).alias("ia"), F.median("s").alias("ms"), (iqr("s") + 1e-8).alias("is_")
-    )
+    side = each.filter(F.col("side") == POP)
+    pop = median_and_iqr(side, [model], "a", "ma", "ia").join(median_and_iqr(side, [model], "s", "ms", "is_"), model)
+    pop = pop.withColumn("ia", F.col("ia") + 1e-8).withColumn("is_", F.col("is_") + 1e-8)
     score = -((F.col("a") - F.col("ma")) / F.col("ia") + (F.col("s") - F.col("ms")) / F.col("is_")) / 2.0
     return each.filter(F.col("side") == MIX).join(pop, model).groupBy(model).agg(F.avg(v.sigmoid((score - 0.5) / 0.5)).alias("proportion"))
 
@@ -183,9 +182,9 @@ def gap_score(df: DataFrame, predicted: str, classes: int, model: str = "model_i
 def robust_z(df: DataFrame, value: str, model: str = "model_id") -> DataFrame:
     """``df`` with ``z``: the distance to the population's median in scaled median absolute deviations."""
     pop = df.filter(F.col("side") == POP)
-    med = pop.groupBy(model).agg(F.median(value).alias("__med"))
-    mad = pop.join(med, model).groupBy(model).agg(F.first("__med").alias("__med"), F.median(F.abs(F.col(value) - F.col("__med"))).alias("__mad"))
-    return df.join(mad, model).withColumn("z", (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad") + 1e-8)).drop("__med", "__mad")
+    med = quantiles(pop, [model], value, {"__med": 0.5})
+    mad = quantiles(pop.join(med, model).withColumn("__off", F.abs(F.col(value) - F.col("__med"))), [model], "__off", {"__mad": 0.5})
+    return df.join(med.join(mad, model), model).withColumn("z", (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad") + 1e-8)).drop("__med", "__mad")
 
 
 def rank_ensemble(df: DataFrame, key: str, model: str = "model_id") -> DataFrame:
@@ -204,7 +203,8 @@ def proportion_tail_excess(df: DataFrame, score: str = "score", model: str = "mo
     """Trimmed median, over upper quantiles of the population, of the mixed side's excess beyond them."""
     grid = thresholds(0.70, 0.95, 25)
     qs = [0.70 + 0.25 * i / 24 for i in range(25)]
-    taus = df.filter(F.col("side") == POP).groupBy(model).agg(F.percentile(score, F.array(*map(F.lit, qs))).alias("taus"))
+    found = quantiles(df.filter(F.col("side") == POP), [model], score, {f"q{i}": q for i, q in enumerate(qs)})
+    taus = found.select(model, F.array(*[f"q{i}" for i in range(len(qs))]).alias("taus"))
     # a row counts for every threshold it reaches: the taus ascend, so that is a prefix
     slots = df.join(taus, model).select(model, "side", "taus", F.size(F.filter("taus", lambda t: t <= F.col(score))).alias("k"))
     counts = slots.groupBy(model, "k").agg(F.count(on(MIX, F.lit(1))).alias("m"), F.count(on(POP, F.lit(1))).alias("p"))

@@ -36,7 +36,7 @@ def hash_split(spark, sf_dir):
 
 @query(f"WITH {PTS} SELECT p, CAST(fp AS BIGINT) AS fp, CAST(tp AS BIGINT) AS tp FROM r")
 def roc_curve(spark, sf_dir):
-    return ev.roc_points(_s(spark, sf_dir), "y", "p")
+    return ev.roc_points(_s(spark, sf_dir), "y", "p").select("p", "fp", "tp")
 
 
 @query(f"WITH {PTS}, n AS (SELECT max(fp) AS nf, max(tp) AS nt FROM r) SELECT " + ", ".join(f"round(coalesce(max(CASE WHEN fp / nf::DOUBLE <= {t} THEN tp / nt::DOUBLE END), 0.0::DOUBLE), 6) AS {n}" for t, n in ((0.01, "tpr_01"), (0.05, "tpr_05"), (0.25, "tpr_25"))) + " FROM r, n")

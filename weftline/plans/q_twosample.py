@@ -33,7 +33,8 @@ def _out(df, places=6):
 
 @query("SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1")
 def iqr_scale(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("med"), F.round(ts.iqr("value"), 6).alias("iqr"))
+    out = ts.median_and_iqr(load(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.select("event_type", F.round("med", 6).alias("med"), F.round("iqr", 6).alias("iqr"))
 
 
 @query(f"""WITH {X}, m AS (SELECT model_id, median(loss) AS med FROM x WHERE side = 'pop' GROUP BY 1), a AS (SELECT model_id, any_value(med) AS med, median(abs(loss - med)) AS mad FROM x JOIN m USING (model_id) WHERE side = 'pop' GROUP BY 1)
