@@ -549,6 +549,35 @@ def test_pair_tables_learn_what_single_ones_cannot():
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    """Each score anew from the model's tables, by bisection and one addition at a time; the model anew from the same rows."""
+    import bisect
+    import math
+
+    mid = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{mid}/documents.parquet"), spark.read.parquet(f"{mid}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learned = sorted((r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    model = gam.AdditiveModel().fit(np.array([gam.features(texts[i]) for i, _ in learned]), np.array([q for _, q in learned], dtype=float))
+    for r in gam.score_quality(docs, labels).collect():
+        x = gam.features(texts[r.doc_id])
+        at = [bisect.bisect_right(list(c), v) for c, v in zip(model.cuts, x)]
+        raw = model.intercept
+        for table, k in zip(model.tables, at):
+            raw += float(table[k])
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            raw += float(table[at[i]][at[j]])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
+def test_quality_with_clashing_columns(spark):
+    mid = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{mid}/labels.parquet").selectExpr("*", "1 AS x", "2 AS y", "3 AS __id")
+    docs = spark.createDataFrame([(1, "a b c", 1.0, 2, 3), (None, None, 1.0, 2, 3)], "doc_id long, text string, x double, y int, score int")
+    out = {r.doc_id: r for r in gam.score_quality(docs, labels).collect()}
+    assert set(out) == {1, None} and out[None].held_out is False
+
+
 # 7 ---------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ whole again; ``StreamDecoder`` holds an incomplete character back until the rest
 of it arrives, for ids that come in runs.
 
 Rows: null text is empty text; empty text has no ids, and the digests of
-nothing; repeated rows are encoded like any other; an empty table gives an empty
+nothing; a null id stays null; repeated rows are encoded like any other; an empty table gives an empty
 table; other columns are left alone.
 """
 

@@ -15,7 +15,8 @@ of the id outside the held-out third, are learned from; the texts are read
 once, for their features.
 
 Rows: null and empty texts have features like any other (zero words) and a
-score; rows without a label, or with a null one, aren't learned from; repeated
+score; a null id isn't held out and has no label; rows without a label, or with
+a null one, aren't learned from; repeated
 rows are rows like others, and an id with several labels counts for each; with
 no labelled rows every score is 0.5; an empty table gives an empty table; other
 columns are ignored.

@@ -15,7 +15,8 @@ are numbered.  So no task sees more than a bucket, however common its values
 are, and no text is shuffled.
 
 Rows: null text has size 1 and the checksum of no bytes; a null in a dimension
-is a value of its own, before the others; repeated rows are rows like others;
+is a value of its own, before the others; a null id is an id like others;
+repeated rows are rows like others;
 rows that are equal in everything used here are numbered in any order, which
 can't be seen; an empty table gives an empty table; other columns are ignored.
 """
