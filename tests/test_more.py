@@ -16,6 +16,7 @@ from weftline.operators import boosting, geometry, ordered
 from weftline.operators import convo as cv
 from weftline.operators import evaluate as ev
 from weftline.operators import learn as ln
+from weftline.operators import pii as op
 from weftline.operators import tokens as tk
 from weftline.sources import annotations, archives, sinks, tables
 
@@ -279,3 +280,10 @@ def test_running_sums_and_quantiles(spark):
             if r.x is not None:
                 assert r.run_n == sum(v >= r.x if down else v <= r.x for v in known)
             assert r.all_n == len(known)
+
+
+def test_best_or_default(spark):
+    rows = [(1, "EMAIL", "b", 2.0), (1, "EMAIL", "a", 2.0), (1, "EMAIL", "c", 1.0), (1, "PHONE", "x", -5.0), (2, "CREDIT", "y", 0.5)]
+    scored = spark.createDataFrame(rows, "id int, pii_type string, cand string, score double")
+    out = {(r.id, r.pii_type): r.pred for r in op.best_or_default(scored, spark.createDataFrame([(1,), (2,)], "id int"), "id", "none").collect()}
+    assert out == {(i, k): {(1, "EMAIL"): "a", (2, "CREDIT"): "y"}.get((i, k), "none") for i in (1, 2) for k in ("EMAIL", "CREDIT", "PHONE")}

@@ -199,6 +199,12 @@ def local_style(address: Column, name: Column) -> Column:
     return F.when(F.size(parts) >= 2, found)
 
 
+def domain_is_surname(address: Column, name: Column) -> Column:
+    """Whether the first part of an address' domain is the last word of a name."""
+    root = F.get(F.split(domain_part(address), r"\."), F.lit(0))
+    return F.lower(root) == F.lower(F.element_at(F.split(F.trim(name), r"\s+"), -1))
+
+
 def fit_length(value: Column, low: int = 10, high: int = 100) -> Column:
     """Trimmed, padded with x to ``low``, cut at ``high``."""
     t = F.trim(value)

@@ -91,6 +91,12 @@ def alt_scores(df: DataFrame, key: str) -> DataFrame:
     return votes.withColumn("score", base + by_kind + 2.0 * F.col("votes"))
 
 
+def best_or_default(scored: DataFrame, ids: DataFrame, key: str, default: str = "", kinds=("EMAIL", "CREDIT", "PHONE")) -> DataFrame:
+    """A row for each id and type: the candidate of highest positive score, the least of equals, else the default."""
+    best = scored.filter("score > 0").groupBy(key, "pii_type").agg(F.min(F.struct((-F.col("score")).alias("s"), "cand"))["cand"].alias("pred"))
+    return type_grid(ids, best, key, default, kinds)
+
+
 def consensus(df: DataFrame, key: str, order: str = "cand") -> DataFrame:
     """The candidate of highest summed score for each (key, type), 0.3 more for each repetition; ties go to the least."""
     plain = F.when(F.col("pii_type") == "EMAIL", F.lower("cand")).otherwise(F.col("cand"))

@@ -101,13 +101,36 @@ def pii_profile(spark, sf_dir):
     return op.profile(op.candidates(_docs(spark, sf_dir), "doc_id", "text"), value="cand")
 
 
-STYLES = {"jane.doe": "first.last", "janedoe": "firstlast", "jane_doe": "first_last", "doe": "last", "jane": "first", "jdoe": "flast", "j.doe": "f.last", "jd77": "other"}
+# an owner's name is the first two words of a text, and the address is made from it in one of eight ways
+OWNERS = """o AS (SELECT doc_id, w[1] AS a, w[2] AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE len(w) > 1),
+s AS (SELECT *, CASE doc_id % 8 WHEN 0 THEN a || '.' || b WHEN 1 THEN a || b WHEN 2 THEN a || '_' || b WHEN 3 THEN b WHEN 4 THEN a WHEN 5 THEN a[1:1] || b WHEN 6 THEN a[1:1] || '.' || b ELSE a || '77' END AS l FROM o)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}@mailer.net', '{v}')" for k, v in STYLES.items()) + ") t(address, style)")
+def _owners(spark, sf_dir):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    o = _docs(spark, sf_dir).select("doc_id", w.alias("w")).filter(F.size("w") > 1).select("doc_id", F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
+    m, a, b, i = F.col("doc_id") % 8, F.col("a"), F.col("b"), F.substring("a", 1, 1)
+    made = [F.concat(a, F.lit("."), b), F.concat(a, b), F.concat(a, F.lit("_"), b), b, a, F.concat(i, b), F.concat(i, F.lit("."), b)]
+    local = F.concat(a, F.lit("77"))
+    for k, x in enumerate(made):
+        local = F.when(m == k, x).otherwise(local)
+    return o.withColumn("local", local).withColumn("name", F.initcap(F.concat_ws(" ", "a", "b")))
+
+
+@query(f"""WITH {OWNERS} SELECT doc_id, l || '@mailer.net' AS address, CASE WHEN l = a || '.' || b THEN 'first.last' WHEN l = a || b THEN 'firstlast' WHEN l = a || '_' || b THEN 'first_last' WHEN l = b THEN 'last' WHEN l = a THEN 'first'
+ WHEN l = a[1:1] || b THEN 'flast' WHEN l = a[1:1] || '.' || b THEN 'f.last' ELSE 'other' END AS style FROM s""")
 def pii_local_style(spark, sf_dir):
-    rows = spark.createDataFrame([(f"{k}@mailer.net",) for k in STYLES], "address string")
-    return rows.select("address", p.local_style(F.col("address"), F.lit("Jane Doe")).alias("style"))
+    address = F.concat("local", F.lit("@mailer.net"))
+    return _owners(spark, sf_dir).select("doc_id", address.alias("address"), p.local_style(address, F.col("name")).alias("style"))
+
+
+@query(f"WITH {OWNERS} SELECT doc_id % 8 AS way, round(avg((split_part(CASE WHEN length(a) > 4 THEN b || '.net' ELSE a || '.org' END, '.', 1) = b)::INT::DOUBLE), 6) AS rate FROM s GROUP BY 1")
+def domain_surname_rate(spark, sf_dir):
+    """How often an address' domain is its owner's surname, by the way addresses are made."""
+    domain = F.when(F.length("a") > 4, F.concat("b", F.lit(".net"))).otherwise(F.concat("a", F.lit(".org")))
+    o = _owners(spark, sf_dir).withColumn("address", F.concat("local", F.lit("@"), domain))
+    same = p.domain_is_surname(F.col("address"), F.col("name"))
+    return o.groupBy((F.col("doc_id") % 8).alias("way")).agg(F.round(F.avg(same.cast("double")), 6).alias("rate"))
 
 
 @query(f"""WITH c AS ({CARD_SQL}), x AS (SELECT unnest(string_split(cand, '')) AS c, generate_subscripts(string_split(cand, ''), 1) AS i FROM c WHERE length(cand) = 19),
@@ -166,6 +189,12 @@ def pii_alt_candidate(spark, sf_dir):
     return op.alt_scores(found, "doc_id")
 
 
+@query()
+def pii_alt_choice(spark, sf_dir):
+    """The best of the alternative candidates by id and type, or a default."""
+    return op.best_or_default(pii_alt_candidate(spark, sf_dir), _docs(spark, sf_dir), "doc_id", "none")
+
+
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{p.EMAIL}', '[REDACTED]', 'g'), '{p.CARD}', '[REDACTED]', 'g'), '{p.PHONE}', '[REDACTED]', 'g') AS redacted, replace(text, lang, '[REDACTED]') AS scrubbed FROM documents")
 def pii_redact(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", p.redact(F.col("text")).alias("redacted"), p.scrub(F.col("text"), F.col("lang")).alias("scrubbed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import Registry, load
+from ..sources.tables import Registry, load, key_union
 from .catalog import query
 
 
@@ -74,3 +74,12 @@ def json_props(spark, sf_dir):
 def filter_project(spark, sf_dir):
     d = load(spark, sf_dir, "documents").filter(F.col("n_chars").between(100, 900))
     return d.select("lang", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "source").alias("shown"), "doc_id")
+
+
+@query("""WITH e AS (SELECT event_type, '{"' || event_type || '": 1, "k": 2}' AS o FROM events UNION ALL SELECT event_type, props FROM events WHERE value > 50 UNION ALL SELECT event_type, '{"u' || user_id % 3 || '": 0}' FROM events)
+SELECT event_type, list_sort(list_distinct(flatten(list(json_keys(o))))) AS names FROM e GROUP BY 1""")
+def json_key_union(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    own = e.select("event_type", F.concat(F.lit('{"'), "event_type", F.lit('": 1, "k": 2}')).alias("o"))
+    user = e.select("event_type", F.concat(F.lit('{"u'), F.col("user_id") % 3, F.lit('": 0}')).alias("o"))
+    return key_union(own.unionByName(e.filter("value > 50").select("event_type", F.col("props").alias("o"))).unionByName(user), "o", "event_type")

@@ -43,15 +43,6 @@ def adapter_question_answers(spark, sf_dir):
     return an.question_answers(b, "item_id", "item_id", "q", "a").select("key", F.explode("conversation").alias("t")).select("key", "t.*")
 
 
-@query("SELECT round(avg(CASE WHEN doc_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM documents")
-def domain_surname_rate(spark, sf_dir):
-    """How often an address' domain is its owner's surname."""
-    d = load(spark, sf_dir, "documents").select("doc_id")
-    address = F.concat(F.lit("jane@"), F.when(F.col("doc_id") % 5 == 0, "doe").otherwise("mailer"), F.lit(".net"))
-    root = F.get(F.split(tx.domain_part(address), r"\."), F.lit(0))
-    return d.agg(F.round(F.avg((F.lower(root) == F.lower(F.element_at(F.split(F.lit("Jane Doe"), " "), -1))).cast("double")), 6).alias("rate"))
-
-
 FULL = [f"lp_p{round(100 * q)}" for q in tk.PERCENTS]
 
 

@@ -102,6 +102,12 @@ def feature_columns(columns: list[str], without: list[str] = (), starts: list[st
     return [c for c in columns if c not in left and (not starts or c.startswith(tuple(starts)))]
 
 
+def key_union(df: DataFrame, objects: str, *keys: str) -> DataFrame:
+    """(keys, names): all field names of the JSON objects of a column, in order."""
+    names = df.select(*keys, F.explode(F.json_object_keys(objects)).alias("__name")).distinct()
+    return names.groupBy(*keys).agg(F.sort_array(F.collect_list("__name")).alias("names"))
+
+
 def normalise_channels(array: Column, means: list[float], stds: list[float], scale: float = 1.0) -> Column:
     """Scale an interleaved array and standardise it by channel."""
     k = len(means)
