@@ -43,3 +43,28 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, th int, i int, t string, cid int, k int, x0 double, __source string, __c0 int, v int"
+
+
+def run_on(spark, tmp_path, rows):
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert run_on(spark, tmp_path, []).count() == 0
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """Nulls everywhere, an id and text twice, a text of very many words, names that clash with the stages' own."""
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text.split()) > 60][:60]
+    more = (1, 2, "t", 3, 4, 5.0, "s", 6, 7)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *more) for r in docs]
+    first = rows[0]
+    long = " ".join(f"{w} {i % 977}" for i, w in enumerate(" ".join(r.text for r in docs).split() * 4))
+    rows += [first, (None, first[1], *first[2:]), (None,) * len(first), (10**6, None, *first[2:]), (10**6 + 1, "", None, None, None, *[None] * 9), (10**6 + 2, long, "en", None, 1, *more), (10**6 + 3, "\u00bd \u00b2 " * 80, "en", "a", 1, *more)]
+    out = run_on(spark, tmp_path, rows).collect()
+    # what has no words, or no letters, goes; of the same text one row stays, but as often as its source is repeated
+    assert out and {r.doc_id for r in out} <= {r[0] for r in rows} - {10**6, 10**6 + 1, 10**6 + 3, None}
