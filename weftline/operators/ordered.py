@@ -71,3 +71,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     cell = lambda name, up: F.max(F.when((F.col("__h.name") == name) & (F.col("__h.up") == F.lit(up)), F.col("__v")))
     part = lambda name: F.max(F.when(F.col("__h.name") == name, F.col("__h.part")))
     return found.groupBy(*keys).agg(*[(cell(n, False) + part(n) * (cell(n, True) - cell(n, False))).alias(n) for n in shares])
+
+
+def positions(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Add ``name``: the place of each row, from 0, in the order of a number within ``keys``."""
+    marked = df.withColumn("__slot", slot(F.col(order)))
+    sizes = marked.groupBy(*keys, "__slot").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    same = F.col("__slot") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(order)) - 1
+    return marked.join(starts, same).select(*df.columns, (F.col("__start") + within).alias(name))

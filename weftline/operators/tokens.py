@@ -2,7 +2,8 @@
 
 The values are those of any language model, or of ``unigram_tokens``, a stand-in
 that needs none.  Summaries work within the row, on arrays in the order of the
-tokens; ``token_arrays`` makes these from rows, in one shuffle.
+tokens; ``token_arrays`` makes these from rows for each token, in one
+shuffle, and the summaries take either.
 """
 
 from __future__ import annotations
@@ -45,9 +46,12 @@ def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataF
 
 
 def token_arrays(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, logp, entropy, rank) as arrays in the order of ``pos``."""
-    held = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "logp", "entropy", "rank"))).alias("t"))
-    return held.select(key, *[F.col(f"t.{c}").alias(c) for c in ("logp", "entropy", "rank")])
+    """(key, logp, entropy, rank), what there is of them, as arrays in the order of ``pos``; rows with arrays stay as they are."""
+    if "pos" not in tokens.columns:
+        return tokens
+    there = [c for c in ("logp", "entropy", "rank") if c in tokens.columns]
+    held = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *there))).alias("t"))
+    return held.select(key, *[F.col(f"t.{c}").alias(c) for c in there])
 
 
 def rate(condition: Column) -> Column:
@@ -95,7 +99,7 @@ def rolling_deviation(array: Column, width: int = WINDOW) -> Column:
 def summary(arrays: DataFrame, key: str) -> DataFrame:
     """Count, moments, extremes and perplexity of logp, and of entropy (mean, std, quartiles)."""
     logp, entropy = F.col("logp"), F.col("entropy")
-    out = arrays.select(
+    out = token_arrays(arrays, key).select(
         key, F.size(logp).cast("double").alias("lp_n_tokens"), mean(logp).alias("lp_mean"), std(logp).alias("lp_std"), F.array_min(logp).alias("lp_min"), F.array_max(logp).alias("lp_max"),
         mean(entropy).alias("lp_ent_mean"), std(entropy).alias("lp_ent_std"), percentiles_of(entropy, (0.25, 0.75)).alias("__q"),
     )
@@ -104,7 +108,7 @@ def summary(arrays: DataFrame, key: str) -> DataFrame:
 
 
 def percentiles(arrays: DataFrame, key: str) -> DataFrame:
-    found = arrays.select(key, percentiles_of(F.col("logp"), PERCENTS).alias("p"))
+    found = token_arrays(arrays, key).select(key, percentiles_of(F.col("logp"), PERCENTS).alias("p"))
     return found.select(key, *[F.get("p", F.lit(i)).alias(f"lp_p{round(100 * q)}") for i, q in enumerate(PERCENTS)])
 
 
@@ -119,16 +123,16 @@ def _buckets() -> list[Column]:
 
 
 def rank_buckets(arrays: DataFrame, key: str) -> DataFrame:
-    return arrays.select(key, *_buckets())
+    return token_arrays(arrays, key).select(key, *_buckets())
 
 
 def rolling_std(arrays: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    return arrays.select(key, rolling_deviation(F.col("logp"), width).alias("lp_burstiness"))
+    return token_arrays(arrays, key).select(key, rolling_deviation(F.col("logp"), width).alias("lp_burstiness"))
 
 
 def full_summary(arrays: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """All 24 features, a row for every id; ids with fewer than two tokens have zeros."""
-    whole = arrays.select(key, "logp", "entropy", *_buckets(), rolling_deviation(F.col("logp")).alias("lp_burstiness"), percentiles_of(F.col("logp"), PERCENTS).alias("__p"))
+    whole = token_arrays(arrays, key).select(key, "logp", "entropy", *_buckets(), rolling_deviation(F.col("logp")).alias("lp_burstiness"), percentiles_of(F.col("logp"), PERCENTS).alias("__p"))
     extra = [c for c in whole.columns if c not in (key, "logp", "entropy", "__p")]
     logp, entropy = F.col("logp"), F.col("entropy")
     whole = whole.select(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import positions
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,16 +32,16 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD,
 
 
 def labelled_union(parts: list[tuple[DataFrame, int, str]], id_col: str = "id") -> DataFrame:
-    """Parts with their label and source, and ``row_id``, the position by source and id.
+    """Parts with their label and source, and ``row_id``, the position by source and id, a number.
 
-    The position is computed within each source and shifted by the sizes of the
-    sources before it, so that no task has to order the whole union.
+    The position is computed within slots of each source and shifted by the
+    sizes of what is before, so that no task has to order a source.
     """
     united = reduce(DataFrame.unionByName, [df.withColumn("label", F.lit(label)).withColumn("source", F.lit(source)) for df, label, source in parts])
-    sizes = united.groupBy("source").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    row = F.row_number().over(Window.partitionBy("source").orderBy(id_col)) - 1
-    return united.withColumn("__r", row).join(F.broadcast(before), "source").withColumn("row_id", F.col("__r") + F.col("__before")).drop("__r", "__n", "__before")
+    sizes = united.groupBy("source").agg(F.count("*").alias("__n"))  # a row for each part
+    before = sizes.select("source", F.coalesce(F.sum("__n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = positions(united, ["source"], id_col, "__r")
+    return placed.join(F.broadcast(before), "source").withColumn("row_id", F.col("__r") + F.col("__before")).drop("__r", "__before")
 
 
 def read_parquet_with_origin(spark: SparkSession, path: str) -> DataFrame:
