@@ -149,15 +149,15 @@ def _compare(ids, x, copies, leaf, rows_of, leaves, side, least_cosine, block=51
 
 
 def _split_further(routed: DataFrame, margin_of, block_rows: int, most_rounds: int = 40) -> DataFrame:
-    """``routed`` (cid, w, v, copies, tree, leaf), with leaves of at most ``block_rows`` rows but for dense clusters."""
-    routed = routed.withColumn("was", F.lit(0).cast("long"))
+    """``routed`` (cid, w, v, copies, tree, leaf, leaves), with leaves of at most ``block_rows`` rows but for dense clusters."""
+    given, routed = routed, routed.drop("leaves").withColumn("was", F.lit(0).cast("long"))
     element = routed.schema["v"].dataType.simpleString()
     for step in range(most_rounds):
         sizes = routed.groupBy("w", "leaf", "was").agg(F.count("*").alias("n"))
         # a split that leaves four fifths together isn't worth a further one
         full, n_full = counted(sizes.filter((F.col("n") > block_rows) & ((F.col("was") == 0) | (F.col("n") < 0.8 * F.col("was")))).select("w", "leaf", "n"))
         if not n_full:
-            return routed.drop("was")
+            break
 
         def project(batches):
             for batch in batches:
@@ -182,7 +182,11 @@ def _split_further(routed: DataFrame, margin_of, block_rows: int, most_rounds: i
         halves = halves.select("cid", "w", "v", "copies", "tree", F.xxhash64("leaf", "side", F.lit(step)).alias("leaf"), "was")
         rest = routed.join(beside(full.select("w", "leaf"), n_full), ["w", "leaf"], "left_anti").select(*halves.columns)
         routed = cut(rest.unionByName(halves))
-    return routed.drop("was")
+    if not step:
+        return given
+    # leaves of each class anew: as many as its trees and what spilled over
+    held = routed.groupBy("cid").agg(F.collect_list("leaf").alias("leaves"))
+    return cut(routed.drop("was").join(held, "cid"))
 
 
 def link_vectors(
@@ -228,19 +232,19 @@ def link_vectors(
                     tree = (leaves >> forest.depth).astype(np.int32)
                 taken = pa.array(which[rows])
                 cid, v, copies = (batch.column(i).take(taken) for i in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays([cid, pa.array(np.full(len(rows), width, np.int32)), v, copies, pa.array(tree), pa.array(leaves.astype(np.int64))], ["cid", "w", "v", "copies", "tree", "leaf"])
+                leaves = leaves.astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(which)))]).astype(np.int32)
+                every = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaves[np.argsort(rows, kind="stable")])).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([cid, pa.array(np.full(len(rows), width, np.int32)), v, copies, pa.array(tree), pa.array(leaves), every], ["cid", "w", "v", "copies", "tree", "leaf", "leaves"])
 
     element = classes.schema["v"].dataType.simpleString()
-    routed = classes.select("cid", "v", "w", "copies").mapInArrow(route, f"cid long, w int, v {element}, copies long, tree int, leaf long")
-    routed = cut(_split_further(cut(routed), margin_of, block_rows))
-    # leaves of each class: as many as its trees and what spilled over
-    held = routed.groupBy("cid").agg(F.collect_list("leaf").alias("leaves"))
+    routed = classes.select("cid", "v", "w", "copies").mapInArrow(route, f"cid long, w int, v {element}, copies long, tree int, leaf long, leaves array<bigint>")
+    routed = _split_further(cut(routed), margin_of, block_rows)
     blocks, n_blocks = counted(routed.groupBy("w", "leaf").agg(F.count("*").alias("n")).filter("n > 1").select("w", "leaf", F.ceil(F.col("n") / block_rows).cast("int").alias("nb")))
     dealt = (
         routed.join(beside(blocks, n_blocks), ["w", "leaf"])
         .withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .join(held, "cid")
         .select("w", "leaf", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "cid", "v", "copies", "leaves")
     )
 
