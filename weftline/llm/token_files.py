@@ -61,7 +61,7 @@ class WordEncoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self._model = self.tokenizer.model
         self._pieces = _Memory(self._encode_piece)
-        self._words = _Memory(self._encode_word, 2 * REMEMBERED)
+        self._words = _Memory(self._encode_word, 3 * REMEMBERED)
         self._table = dict(enumerate(byte_characters()))
         self._lower = self._is_plain()
         added = self.tokenizer.get_added_tokens_decoder()
