@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators import learn as ln
 from ..sources.sinks import describe, pending, score_rows
-from ..sources.tables import labelled_union, load
+from ..sources.tables import labelled_union, load, spread
 from .catalog import query
 
 S = "s AS (SELECT doc_id, quality AS y, round(length(text)::DOUBLE % 97 / 97, 6) AS p, lang FROM documents JOIN labels USING (doc_id))"
@@ -147,7 +147,7 @@ def resample_rows(spark, sf_dir):
 def _features(spark, sf_dir):
     """The fifteen text statistics of labelled documents, and their labels."""
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    return tx.stylometry(load(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")).join(labels, "doc_id")
+    return tx.stylometry(spread(load(spark, sf_dir, "documents")).join(labels.select("doc_id"), "doc_id", "left_semi")).join(labels, "doc_id")
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pii as p
 from ..functions import text as tx
 from ..operators import pii as op
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .catalog import query
 
 
@@ -32,7 +32,7 @@ ALL_SQL = f"SELECT doc_id, 'EMAIL' AS pii_type, cand FROM ({EMAIL_SQL}) UNION AL
 
 
 def _docs(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _one(spark, sf_dir, f):

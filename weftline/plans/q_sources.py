@@ -10,7 +10,7 @@ from ..functions import vectors as v
 from ..operators import pii as op
 from ..operators import tokens as tk
 from ..sources import annotations as an
-from ..sources.tables import load, normalise_channels, read_parquet_with_origin
+from ..sources.tables import load, normalise_channels, read_parquet_with_origin, spread
 from .catalog import query
 from .q_pii import PHONE_SQL, SCORED_SQL
 from .q_tokens import BUCKET_COLS, BUCKETS, SUMMARY, TOK
@@ -50,7 +50,7 @@ FULL = [f"lp_p{round(100 * q)}" for q in tk.PERCENTS]
 SELECT doc_id, {', '.join(f'round(CASE WHEN n >= 2 THEN {c} ELSE 0 END, 6) AS {c}' for c in ['lp_mean', 'lp_std', *FULL, *BUCKET_COLS])} FROM documents JOIN s USING (doc_id)
 UNION ALL SELECT doc_id, {', '.join('0.0' for _ in ['lp_mean', 'lp_std', *FULL, *BUCKET_COLS])} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s)""")
 def token_features(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     out = tk.full_summary(tk.token_arrays(tk.unigram_tokens(d, tx.words(F.col("text"))), "doc_id"), d, "doc_id")
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ["lp_mean", "lp_std", *FULL, *BUCKET_COLS]])
 

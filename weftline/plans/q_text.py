@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .catalog import query
 
 W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -19,7 +19,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS stat_n_chars, CAST(len(w) AS BIGINT) AS stat
        round(CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_distinct(w))::DOUBLE / len(w) END, 6) AS stat_ttr
 FROM w""")
 def stylometry_counts(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").withColumn("w", tx.words(F.col("text")))
+    d = spread(load(spark, sf_dir, "documents")).withColumn("w", tx.words(F.col("text")))
     return d.select(
         "doc_id",
         F.length("text").cast("long").alias("stat_n_chars"),
@@ -34,7 +34,7 @@ WITH w AS (SELECT doc_id, list_transform({W}, lambda x: length(x)::DOUBLE) AS l
 SELECT doc_id, round(coalesce(list_avg(l), 0.0::DOUBLE), 6) AS stat_avg_word_len,
        round(coalesce(list_stddev_pop(l), 0.0::DOUBLE), 6) AS stat_std_word_len FROM w""")
 def stylometry_wordlen(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").withColumn("w", tx.words(F.col("text")))
+    d = spread(load(spark, sf_dir, "documents")).withColumn("w", tx.words(F.col("text")))
     return d.select(
         "doc_id", F.round(tx.mean_length(F.col("w")), 6).alias("stat_avg_word_len"), F.round(tx.std_length(F.col("w")), 6).alias("stat_std_word_len")
     )
@@ -50,12 +50,12 @@ SELECT doc_id, round(coalesce(e, 0.0::DOUBLE), 6) AS {name} FROM documents LEFT
 
 @query(_entropy_sql("string_split(text, '')", "stat_char_entropy"))
 def stylometry_char_entropy(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.round(tx.item_entropy(tx.characters(F.col("text"))), 6).alias("stat_char_entropy"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", F.round(tx.item_entropy(tx.characters(F.col("text"))), 6).alias("stat_char_entropy"))
 
 
 @query(_entropy_sql(W, "stat_word_entropy"))
 def stylometry_word_entropy(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.round(tx.item_entropy(tx.words(F.col("text"))), 6).alias("stat_word_entropy"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", F.round(tx.item_entropy(tx.words(F.col("text"))), 6).alias("stat_word_entropy"))
 
 
 @query(f"""
@@ -65,7 +65,7 @@ c AS (SELECT doc_id, b, count(*) AS c FROM b GROUP BY ALL),
 r AS (SELECT doc_id, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::DOUBLE / sum(c)::DOUBLE AS r FROM c GROUP BY doc_id)
 SELECT doc_id, round(coalesce(r, 0.0::DOUBLE), 6) AS stat_bigram_repeat_rate FROM documents LEFT JOIN r USING (doc_id)""")
 def stylometry_bigram_repeat(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = spread(load(spark, sf_dir, "documents")).select("doc_id", tx.words(F.col("text")).alias("w"))
     return d.select("doc_id", F.round(tx.repeat_rate(tx.bigrams(F.col("w"))), 6).alias("stat_bigram_repeat_rate"))
 
 
@@ -81,7 +81,7 @@ PUNCT_SQL = "[.,;:!?\\-—''\"()\\[\\]{}]"
 def stylometry_char_rates(spark, sf_dir):
     t, n = F.col("text"), F.length("text")
     rate = lambda p, name: F.round(tx.ratio(tx.matches(t, p), n), 6).alias(name)
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents")).select(
         "doc_id", rate(tx.PUNCTUATION, "stat_punct_rate"), rate(r"\n", "stat_newline_rate"), rate(r"\p{Lu}", "stat_uppercase_rate"), rate(r"\p{Nd}", "stat_digit_rate")
     )
 
@@ -96,7 +96,7 @@ FROM (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(lower
 @query(SENTENCE_SQL)
 def stylometry_sentences(spark, sf_dir):
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents")).select(
         "doc_id", F.size(tx.sentences(t)).cast("long").alias("stat_n_sentences"), F.round(tx.burstiness(t), 6).alias("stat_sent_burstiness")
     )
 
@@ -126,7 +126,7 @@ FROM w JOIN labels USING (doc_id) JOIN st USING (doc_id) LEFT JOIN che USING (do
 @query(FULL_SQL)
 def stylometry_full(spark, sf_dir):
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = load(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = spread(load(spark, sf_dir, "documents")).join(labels.select("doc_id"), "doc_id", "left_semi")
     wide = tx.stylometry(docs)
     rounded = [F.round(c, 6).alias(c) if dict(wide.dtypes)[c] == "double" else F.col(c) for c in wide.columns]
     return wide.select(*rounded).join(labels, "doc_id")

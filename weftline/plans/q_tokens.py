@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import tokens as tk
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .catalog import query
 
 TOK = """
@@ -17,7 +17,7 @@ t AS (SELECT doc_id, pos, logp, -p * logp AS entropy, rank FROM x JOIN v USING (
 
 
 def _tokens(spark, sf_dir):
-    return tk.unigram_tokens(load(spark, sf_dir, "documents"), tx.words(F.col("text")))
+    return tk.unigram_tokens(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), tx.words(F.col("text")))
 
 
 def _arrays(spark, sf_dir):

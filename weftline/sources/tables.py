@@ -16,6 +16,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer splits than there are cores, dealt to all of them; a larger one as it is.
+
+    For work within the row that takes long: a file of one row group is one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
