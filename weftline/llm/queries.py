@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, gam, hilbert, html_text, langid, mcd, rp_forest, simhash, temperature_mix, token_files
+from ..sources.tables import spread
 from ._shared import read_table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(spread(read_table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN)
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +30,15 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mcd.quality_rules(read_table(spark, sf_dir, "documents"))
+    return mcd.quality_rules(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op6_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gam.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return gam.score_quality(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels"))
 
 
 def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(read_table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(read_table(spark, sf_dir, "pages")))
 
 
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(spread(read_table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
