@@ -121,7 +121,7 @@ def importance(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
 def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The drawn documents, with all their columns; ids should tell documents apart."""
     drawn = importance(docs, target, key, **how).filter("rank is not null").select(key)
-    return docs.join(drawn, key, "left_semi")
+    return docs.join(drawn, key, "left_semi").select(*docs.columns)
 
 
 # --- the same in SQL -----------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, gam, hilbert, html_text, importance, langid, lloyd, mcd, rp_forest, simhash, temperature_mix, token_files
+from . import byte_bpe, gam, hilbert, html_text, importance, langid, licences, lloyd, mcd, rp_forest, simhash, temperature_mix, token_files
 from ..sources.tables import spread
 from ._shared import read_table
 
@@ -63,6 +63,10 @@ def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES = {
         op10_arrow_sequences,
         op11_weighted_lloyd,
         op12_importance_draw,
+        op13_licence_index,
     )
 }
 # The first ten have no oracle: checksums, seeded hashes, learned models and
