@@ -47,7 +47,7 @@ def first_centroids(kept: DataFrame, key: str, clusters: int, seed: int) -> np.n
     """The vectors whose ids have the smallest hashes, in the order of these; rows that share an id, in the order of their vectors."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
     rows = kept.select("__q", order.alias("__h")).orderBy("__h", "__q").limit(clusters).collect()
-    return np.array([r["__q"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["__q"] for r in rows], dtype=np.int64)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def cluster(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     centroids = first_centroids(kept, key, clusters, seed)
     out = "__name string, cluster int, distance bigint, __n bigint"
     if not len(centroids):
-        empty = vectors.sparkSession.createDataFrame([], f"cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+        empty = vectors.sparkSession.createDataFrame([], "cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
         return kept.filter(F.lit(False)).select(key).join(empty, F.lit(True))
     for _ in range(rounds):
         centroids = one_round(groups, centroids)
