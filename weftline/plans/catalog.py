@@ -29,7 +29,7 @@ def oracle(name: str) -> str:
 
 
 def _load() -> None:
-    from . import q_convo, q_evaluate, q_pii, q_relational, q_sources, q_text, q_tokens, q_twosample, q_vectors  # noqa: F401
+    from . import q_convo, q_evaluate, q_images, q_pii, q_relational, q_sources, q_streams, q_text, q_tokens, q_twosample, q_vectors  # noqa: F401
 
 
 def queries() -> dict:
