@@ -262,7 +262,9 @@ def test_best_candidate_by_plain_patterns(spark):
             assert r.b == want, (kind, texts[r.i])
 
 
-def test_running_sums_and_quantiles(spark):
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_running_sums_and_quantiles(spark, whole, monkeypatch):
+    monkeypatch.setattr(ordered, "WHOLE", whole)
     rng = np.random.default_rng(9)
     rows = [(k, float(x)) for k, n in (("a", 500), ("b", 33), ("c", 1), ("d", 2)) for x in np.round(rng.normal(size=n) * 10.0 ** rng.integers(-4, 5, n), 3)]
     rows += [("a", None), ("e", None), ("f", float("inf")), ("f", 1.0), ("f", -float("inf"))]
@@ -287,3 +289,33 @@ def test_best_or_default(spark):
     scored = spark.createDataFrame(rows, "id int, pii_type string, cand string, score double")
     out = {(r.id, r.pii_type): r.pred for r in op.best_or_default(scored, spark.createDataFrame([(1,), (2,)], "id int"), "id", "none").collect()}
     assert out == {(i, k): {(1, "EMAIL"): "a", (2, "CREDIT"): "y"}.get((i, k), "none") for i in (1, 2) for k in ("EMAIL", "CREDIT", "PHONE")}
+
+
+@pytest.mark.parametrize("kind", ["times", "far", "narrow", "ties"])
+def test_slots_follow_the_data(spark, kind, monkeypatch):
+    monkeypatch.setattr(ordered, "WHOLE", 1000)
+    n = 100_000
+    value = {"times": F.lit(1.7e9) + F.rand(1) * 30 * 86400, "far": F.lit(1e12) + F.col("id"), "narrow": F.lit(-5.0) + F.rand(2) / 100, "ties": F.floor(F.rand(3) * 200).cast("double")}[kind]
+    df = spark.range(n).select("id", value.alias("x")).persist()
+    cuts = ordered.splitters(df, "x")
+    sizes = [r["count"] for r in ordered.slotted(df, "x", "s", cuts).groupBy("s").count().collect()]
+    assert len(sizes) >= 64 and max(sizes) <= 4 * n / len(sizes)
+    order = ordered.slotted(df, "x", "s", cuts).groupBy("s").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("s").collect()
+    assert all(a.hi < b.lo for a, b in zip(order, order[1:]))
+    known = np.sort([r.x for r in df.select("x").collect()])
+    shares = {"a": 0.001, "b": 0.05, "c": 0.5, "d": 0.9999}
+    got = ordered.quantiles(df.withColumn("k", F.lit(None).cast("string")), ["k"], "x", shares).first()
+    assert [got[c] for c in shares] == pytest.approx([np.quantile(known, q) for q in shares.values()], rel=1e-12)
+    assert tuple(ordered.quantiles(df, [], "x", {"m": 0.5}).first()) == (pytest.approx(np.quantile(known, 0.5), rel=1e-12),)
+    placed = ordered.positions(df.withColumn("k", F.lit(1)), ["k"], "x", "p").select("x", "p").orderBy("p").collect()
+    assert [r.p for r in placed] == list(range(n)) and all(a.x <= b.x for a, b in zip(placed, placed[1:]))
+    df.unpersist()
+
+
+def test_slots_of_odd_values(spark):
+    rows = [(None,), (float("nan"),), (float("inf"),), (-float("inf"),), (0.0,), (-0.0,), (1.0,), (1.0,)]
+    df = spark.createDataFrame(rows, "x double")
+    for frame in (df, df.filter("x is null or isnan(x)"), df.limit(0)):
+        at = ordered.slotted(frame, "x", "s", ordered.splitters(frame, "x")).collect()
+        top = max((r.s for r in at if r.x is not None and r.x == r.x), default=-1)
+        assert all((r.s == -1) == (r.x is None) for r in at) and all(r.s > top for r in at if r.x is not None and r.x != r.x)

@@ -1,26 +1,40 @@
-"""Running sums and exact quantiles over an order, without one task that sees all of a group.
+"""Running sums, positions and exact quantiles over an order, without one task that sees all of a group.
 
-Values fall into slots by a fixed function that never decreases: the logarithm
-of the magnitude, in steps of 0.4 per cent.  Slots are summed up first; only
-within a slot rows are ordered, so a group is spread over as many tasks as it
-has slots, and equal values are one row of a count.
+Rows fall into slots between splitters that a mergeable sketch of the values
+gives, so slots hold about as many rows each wherever the values lie; equal
+values share a slot.  Slots are summed up first; only within a slot rows are
+ordered.  Quantiles of groups too large for one aggregation need no order of all
+rows: the same sketch, by group, gives bounds between which each quantile must
+lie; what is below is counted, and only what is between is ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_FAR = 1 << 40
+SLOTS = 512
+ACCURACY = 10_000  # ranks of the sketch are right to this share of the rows
+GROUPS = 100_000  # what has a row for each of so many groups is held by the driver and broadcast
+WHOLE = 200_000  # rows of a group that one aggregation may hold
 
 
-def slot(value: Column) -> Column:
-    """A whole number that grows with the value: nulls first, NaN last."""
-    v = value.cast("double")
-    size = F.floor(F.log1p(F.abs(v) * 1e6) * 256)
-    return (
-        F.when(v.isNull(), -_FAR - 1).when(F.isnan(v), _FAR + 1).when(F.abs(v) == float("inf"), F.signum(v) * _FAR).when(v < 0, -size - 1).otherwise(size).cast("long")
-    )
+def splitters(df: DataFrame, value: str, slots: int = SLOTS) -> list[float]:
+    """Increasing numbers that cut the values of a column into about equal parts."""
+    found = df.select(F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)")
+    cuts = found.agg(F.percentile_approx("__v", [i / slots for i in range(1, slots)], 4 * slots)).first()[0]
+    return sorted({x for x in cuts or [] if abs(x) != float("inf")})
+
+
+def slotted(df: DataFrame, value: str, name: str, cuts: list[float]) -> DataFrame:
+    """Add ``name``, a whole number that doesn't fall where the value grows: nulls first, NaN last."""
+    if not cuts:
+        at = F.when(F.isnan("__v"), 1).otherwise(0)
+        return df.withColumn("__v", F.col(value).cast("double")).withColumn(name, F.when(F.col("__v").isNull(), -1).otherwise(at)).drop("__v")
+    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__v", outputCol="__b", handleInvalid="keep")
+    marked = placed.transform(df.withColumn("__v", F.col(value).cast("double")))
+    return marked.withColumn(name, F.when(F.col("__v").isNull(), -1).otherwise(F.col("__b").cast("int"))).drop("__v", "__b")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
@@ -29,7 +43,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], de
     Rows of one order value should be one row, as after an aggregation.
     """
     toward = F.desc if descending else F.asc
-    marked = df.withColumn("__slot", slot(F.col(order)))
+    marked = slotted(df, order, "__slot", splitters(df, order))
     totals = marked.groupBy(*keys, "__slot").agg(*[F.sum(c).alias(c) for c in sums])
     by = Window.partitionBy(*keys)
     before = by.orderBy(toward("__slot")).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,35 +61,61 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], de
     return marked.join(starts, same).select(*df.columns, *runs, *[f"all_{c}" for c in sums])
 
 
+def few(df: DataFrame) -> DataFrame | None:
+    """The rows of a table of groups, computed once and marked for broadcast; None if there are more than ``GROUPS``."""
+    rows = df.limit(GROUPS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= GROUPS else None
+
+
+def _bounds(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, n, bounds): an array of (low, high) that holds both neighbours of each quantile; nulls where a group is small enough to take all of it."""
+    margin = 4 / ACCURACY
+    asked = [x for q in shares for x in (max(0.0, q - margin), min(1.0, q + margin))]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", asked, ACCURACY).alias("__p"))
+    pairs = F.array(*[F.struct(*[F.when(F.col("__n") > ACCURACY, F.get("__p", F.lit(2 * i + j))).alias(side) for j, side in enumerate(("low", "high"))]) for i in range(len(shares))])
+    bounds = found.select(*keys, "__n", pairs.alias("__bounds"))
+    held = few(bounds)
+    return bounds if held is None else held
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """(keys, a column for each share): exact quantiles with linear interpolation; nulls are left out.
+    """(keys, a column for each share): exact quantiles with linear interpolation; nulls are left out, NaN is the greatest.
 
-    Only the slots that hold a quantile are looked into.
+    Which way is taken depends on the largest group; the result doesn't.
     """
-    marked = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null").withColumn("__slot", slot(F.col("__v")))
-    sizes = marked.groupBy(*keys, "__slot").agg(F.count("*").alias("__n"))
-    by = Window.partitionBy(*keys)
-    sizes = sizes.withColumn("__first", F.sum("__n").over(by.orderBy("__slot")) - F.col("__n")).withColumn("__all", F.sum("__n").over(by))
-    place = lambda q: (F.col("__all") - 1) * F.lit(float(q))
-    one = lambda name, q, up: F.struct(
-        F.lit(name).alias("name"), F.lit(up).alias("up"), (F.ceil(place(q)) if up else F.floor(place(q))).alias("at"), (place(q) - F.floor(place(q))).alias("part")
-    )
-    asked = F.array(*[one(name, q, up) for name, q in shares.items() for up in (False, True)])
-    inside = lambda a: (a["at"] >= F.col("__first")) & (a["at"] < F.col("__first") + F.col("__n"))
-    targets = sizes.withColumn("__asked", F.filter(asked, inside)).filter(F.size("__asked") > 0).select(*keys, "__slot", "__first", "__asked")
-    counts = marked.join(targets.select(*keys, "__slot"), [*keys, "__slot"], "left_semi").groupBy(*keys, "__slot", "__v").agg(F.count("*").alias("__c"))
-    run = Window.partitionBy(*keys, "__slot").orderBy("__v")
-    held = counts.withColumn("__to", F.sum("__c").over(run)).join(targets, [*keys, "__slot"])
-    end = F.col("__first") + F.col("__to")
-    found = held.withColumn("__hit", F.filter("__asked", lambda a: (a["at"] < end) & (a["at"] >= end - F.col("__c")))).select(*keys, "__v", F.explode("__hit").alias("__h"))
-    cell = lambda name, up: F.max(F.when((F.col("__h.name") == name) & (F.col("__h.up") == F.lit(up)), F.col("__v")))
-    part = lambda name: F.max(F.when(F.col("__h.name") == name, F.col("__h.part")))
-    return found.groupBy(*keys).agg(*[(cell(n, False) + part(n) * (cell(n, True) - cell(n, False))).alias(n) for n in shares])
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    names = list(shares)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if sizes <= WHOLE:
+        found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile("__v", [float(shares[n]) for n in names]).alias("__q"))
+        return found.filter("__n > 0").select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    bounds = _bounds(rows, keys, [float(shares[n]) for n in names])
+    other = bounds.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", "__bounds")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+
+    def cell(i: int):
+        low, high = F.get("__bounds", F.lit(i))["low"], F.get("__bounds", F.lit(i))["high"]
+        under = F.coalesce(F.col("__v") < low, F.lit(False))
+        inside = ~under & F.coalesce(F.col("__v") <= high, F.lit(True))
+        return F.when(under | inside, F.struct(F.lit(i).alias("i"), inside.alias("inside"), F.when(inside, F.col("__v")).alias("v")))
+
+    cells = F.filter(F.array(*[cell(i) for i in range(len(names))]), lambda c: c.isNotNull())
+    counts = rows.join(other, same).select(*keys, "__n", F.explode(cells).alias("__c")).groupBy(*keys, "__n", "__c.i", "__c.inside", "__c.v").agg(F.count("*").alias("__m"))
+    up_to = F.sum("__m").over(Window.partitionBy(*keys, "i").orderBy("inside", "v"))
+    place = F.get(F.array(*[F.lit(float(shares[n])) for n in names]), F.col("i")) * (F.col("__n") - 1)
+    at = lambda x: (x >= F.col("__to") - F.col("__m")) & (x < F.col("__to"))
+    held = counts.withColumn("__to", up_to).filter("inside").select(*keys, "i", "v", at(F.floor(place)).alias("__low"), at(F.ceil(place)).alias("__high"), (place - F.floor(place)).alias("__part"))
+    side = lambda i, c: F.max(F.when((F.col("i") == i) & F.col(c), F.col("v")))
+    part = lambda i: F.max(F.when(F.col("i") == i, F.col("__part")))
+    value_of = lambda i: side(i, "__low") + F.when(part(i) == 0, 0.0).otherwise(part(i) * (side(i, "__high") - side(i, "__low")))
+    return held.filter("__low or __high").groupBy(*keys).agg(*[value_of(i).alias(n) for i, n in enumerate(names)])
 
 
 def positions(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """Add ``name``: the place of each row, from 0, in the order of a number within ``keys``."""
-    marked = df.withColumn("__slot", slot(F.col(order)))
+    marked = slotted(df, order, "__slot", splitters(df, order))
     sizes = marked.groupBy(*keys, "__slot").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from .ordered import quantiles, running_sums
+from .ordered import few, quantiles, running_sums
 
 MIX, POP = "mix", "pop"
 
@@ -183,7 +183,9 @@ def robust_z(df: DataFrame, value: str, model: str = "model_id") -> DataFrame:
     """``df`` with ``z``: the distance to the population's median in scaled median absolute deviations."""
     pop = df.filter(F.col("side") == POP)
     med = quantiles(pop, [model], value, {"__med": 0.5})
+    med = few(med) or med
     mad = quantiles(pop.join(med, model).withColumn("__off", F.abs(F.col(value) - F.col("__med"))), [model], "__off", {"__mad": 0.5})
+    mad = few(mad) or mad
     return df.join(med.join(mad, model), model).withColumn("z", (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad") + 1e-8)).drop("__med", "__mad")
 
 
