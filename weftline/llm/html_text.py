@@ -1,21 +1,27 @@
 """Main text of web pages by scoring the document tree.
 
 A page is read into a tree of its block elements.  What is never main text -
-menus, headers and footers of pages, asides, forms, scripts, styles, reader
-comments, and elements whose class, id or role says advert, notice, share box
-and the like - is set aside with all it holds.  Every other block of text earns
+menus, headers and footers of pages, asides, scripts, styles, hidden elements -
+goes with all it holds; forms, reader comments, and elements whose class, id or
+role says advert, notice, share box and the like, are set aside.  Every other block of text earns
 points for its length and its commas and passes them to its parent, and half of
 them to its grandparent.  An element's points are discounted by the share of its
 text that is in links.  The best element is kept, and of its siblings those that
 aren't mostly links and are running text or headings; so is the headline, if it
-stands before the best element.
+stands before the best element.  Where several elements are about as good as the
+best one, as the sections of an article, their nearest common ancestor takes its
+place, and of its children those that hold one of them are kept.
 
 Names: a class or id is read word by word.  ``sidebar``, ``site-footer`` and
 ``ad-box`` name what they hold; ``no-sidebar``, ``page-with-side-menu`` and
-``has-banner`` say something about an element that holds more, and don't count.
-An element that is set aside for its name alone, and holds most of the page's
-text, comes back, unless its name says comments, advert, menu or the like.  Of
-paragraphs and headings only those go whose name says so in one word.
+``has-banner`` say something about an element that holds more, and don't count;
+nor do names of states and uses, as ``menu-open``, ``hidden-print``, ``ad-free``.
+An element that is set aside and holds most of the page's text comes back; one
+whose name says advert, menu or the like, and a form, only if it holds several
+paragraphs and there is no article element and next to no running text outside of
+such elements - less than a tenth of its own, or, for comments, less than a short
+paragraph.  Of paragraphs and headings only those go
+whose name says so in one word.
 
 Text: character references are decoded; white space within a block becomes one
 space; blocks are trimmed, empty ones dropped, and the rest joined by a newline
@@ -57,11 +63,12 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html "
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td template tfoot th thead tr ul".split()
 )
-ASIDE = frozenset("nav footer aside form menu dialog fieldset head template search option".split())
+ASIDE = frozenset("nav footer aside menu dialog fieldset head template search option".split())
 INLINE_ASIDE = frozenset("svg canvas object select button audio video datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("div section article main body #root".split())
-# words of a name that set aside: for good, and unless the element holds most of the text
+CONTAINERS = frozenset("div section article main body form #root".split())
+LISTS = frozenset("ul ol dl table pre blockquote".split())
+# words of a name that set aside: unless there is no other text, and unless the element holds most of the text
 SURE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs "
     "footer cookie cookies consent newsletter comment comments disqus replies respond related recommended recommendations pagination pager hidden popup popups modal".split()
@@ -71,6 +78,9 @@ LIKELY = frozenset(
     "widget widgets tags toolbar legal copyright skip".split()
 )
 ABOUT = frozenset("no not non with without has have is layout".split())  # what follows doesn't name the element
+STATES = frozenset("overflow open opened enabled disabled print xs sm md lg xl free js active visible given".split())  # nor does a name with one of these
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+SHORT = 140  # characters of a short paragraph
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -82,36 +92,39 @@ _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I | re.A) for tag in
 
 
 class _Node:
-    """An element: ``gone`` for good, or ``named`` as something to set aside unless it holds most of the text."""
+    """An element: ``gone`` for good, or ``named`` as something to set aside: 1 likely, 2 surely, 3 as comments."""
 
-    __slots__ = ("tag", "parent", "depth", "gone", "named", "inside", "aside", "score", "text", "link", "kept", "last")
+    __slots__ = ("tag", "parent", "depth", "gone", "named", "sure", "inside", "aside", "score", "text", "link", "prose", "good", "kept", "last")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: _Node | None, gone: bool = False, named: int = 0):
         self.tag, self.parent, self.named = tag, parent, named
+        self.sure = (parent.sure if parent else 0) + (named > 1)  # surely named elements from here up
         self.depth = parent.depth + 1 if parent else 0
         self.gone = gone or parent is not None and parent.gone
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.aside = self.kept = False
-        self.score, self.text, self.link, self.last = 0.0, 0, 0, ""
+        self.score, self.text, self.link, self.prose, self.good, self.last = 0.0, 0, 0, 0, 0, ""
 
 
 def named_aside(value: str, exact: bool = False) -> int:
-    """2 if a class or id names something that is never main text, 1 if likely, else 0; ``exact``: names of one word only."""
+    """3 if a class or id names comments, 2 if something else that is hardly main text, 1 if likely, else 0; ``exact``: names of one word only."""
     worst = 0
     for name in value.split():
         words = [w.lower() for w in _NAME_WORD.findall(name)]
         words = [w for w in words if not w.isdigit()]
-        if not words or exact and len(words) > 1 or ABOUT.intersection(words):
+        if not words or exact and len(words) > 1 or ABOUT.intersection(words) or STATES.intersection(words):
             continue
         # a name says what it is by its first or last word
         for word in (words[0], words[-1]):
-            worst = max(worst, 2 if word in SURE else 1 if word in LIKELY and not exact else 0)
+            worst = max(worst, 3 if word in COMMENTS else 2 if word in SURE else 1 if word in LIKELY and not exact else 0)
     return worst
 
 
 def _set_aside(tag: str, attributes: str, parent: _Node) -> int:
-    """2 for good, 1 by a likely name, 0 not at all."""
+    """9 for good, 1 to 3 by what it is named, 0 not at all."""
     if parent.gone or tag in ASIDE or tag in INLINE_ASIDE or tag == "header" and not parent.inside:
+        return 9
+    if tag == "form":
         return 2
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
@@ -121,9 +134,9 @@ def _set_aside(tag: str, attributes: str, parent: _Node) -> int:
         if name in ("class", "id"):
             worst = max(worst, named_aside(value, tag in HEADINGS or tag in ("p", "blockquote", "pre")))
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            worst = 2
+            worst = 9
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            worst = 2
+            worst = 9
     return worst
 
 
@@ -155,7 +168,7 @@ def read_blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             if open_links:
                 links += len(text.strip())
 
-    def enter(tag: str, gone: bool, named: bool):
+    def enter(tag: str, gone: bool, named: int):
         nonlocal node
         while node.depth >= DEEPEST:
             leave(node)
@@ -214,7 +227,7 @@ def read_blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 if node.tag == tag:
                     leave(node)
             elif not attributes.endswith("/") and (attributes or tag in INLINE_ASIDE or node.tag == tag) and (node.tag == tag or _set_aside(tag, attributes, node)):
-                enter(tag, True, False)
+                enter(tag, True, 0)
         else:
             flush()
             if closing:
@@ -232,33 +245,54 @@ def read_blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                     leave(last)
             if not attributes.endswith("/"):
                 why = _set_aside(tag, attributes, node)
-                enter(tag, why == 2, why == 1)
+                enter(tag, why == 9, 0 if why == 9 else why)
     flush()
     return nodes, blocks
 
 
 def _summed(nodes: list[_Node], blocks) -> None:
-    """Text and link lengths of every element, with all it holds."""
+    """Text, link and running text lengths of every element, with all it holds."""
     for node in nodes:
-        node.text = node.link = 0
+        node.text = node.link = node.prose = 0
     for node, text, linked in blocks:
         node.text += len(text)
         node.link += linked
+        node.prose += _prose(text, linked)
         node.last = text
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.link += node.link
+            node.parent.prose += node.prose
             node.parent.last = node.parent.last or node.last
 
 
+def _prose(text: str, linked: int) -> int:
+    """The length of a block that is running text."""
+    return len(text) if len(text) >= 80 and 3 * linked < len(text) and _ENDS_SENTENCE.search(text) else 0
+
+
 def _released(nodes: list[_Node], blocks) -> list[tuple[_Node, str, int]]:
-    """The blocks outside of what is set aside: named elements with most of the text aren't."""
+    """The blocks outside of what is set aside."""
     _summed(nodes, blocks)
+    levels = Counter()  # running text by the number of surely named elements around it
+    for node, text, linked in blocks:
+        levels[node.sure] += _prose(text, linked)
+    outside, total = [0], nodes[0].text
+    article = any(node.tag in ("article", "main") and node.text and not node.sure and not node.gone for node in nodes)
+    for depth in range(max((n.sure for n in nodes), default=0)):
+        outside.append(outside[-1] + levels[depth])
+    for node in nodes:
+        node.aside = node.parent is not None and node.parent.aside
+        if node.named > 1 and not node.aside:
+            enough = SHORT if node.named == 3 else max(SHORT, node.prose / 10)
+            node.aside = article or 2 * node.text <= total or node.prose < 3 * SHORT or outside[node.sure] >= enough
+    left = [b for b in blocks if not b[0].aside]
+    _summed(nodes, left)
     whole = nodes[0].text
     for node in nodes:
-        node.aside = node.parent is not None and node.parent.aside or node.named and 2 * node.text <= whole
-    return [b for b in blocks if not b[0].aside]
+        node.aside = node.aside or node.parent is not None and node.parent.aside or node.named == 1 and 2 * node.text <= whole
+    return [b for b in left if not b[0].aside]
 
 
 def _value(node: _Node) -> float:
@@ -271,7 +305,27 @@ def _beside(node: _Node, best: _Node) -> bool:
         return False
     if node.tag == "article":
         return _value(node) >= 0.2 * _value(best)
-    return node.tag in HEADINGS or bool(_ENDS_SENTENCE.search(node.last)) or node.text > 80
+    return node.tag in HEADINGS or node.tag in LISTS or bool(_ENDS_SENTENCE.search(node.last)) or node.text > 80
+
+
+def _shared(nodes: list[_Node], best: _Node) -> _Node | None:
+    """The element whose children are looked through: the nearest that holds three elements about as good as the best one, or the best one's parent."""
+    enough = 0.5 * _value(best)
+    for node in nodes:
+        node.good = 0
+    for node in reversed(nodes):
+        # of elements within one another the innermost counts
+        node.good = node.good or int(node.score > 0 and _value(node) >= enough)
+        if node.parent is not None:
+            node.parent.good += node.good
+    up = best.parent
+    while up is not None and up.good < 3:
+        up = up.parent
+    if up is None:
+        for node in nodes:
+            node.good = 0
+        return best.parent
+    return up
 
 
 def main_text(html: str | None) -> str:
@@ -294,10 +348,11 @@ def main_text(html: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
+    hub = best.parent if up else _shared(nodes, best)
     for node in nodes:
         inherited = node.parent is not None and node.parent.kept
-        node.kept = inherited or node is best or node.parent is best.parent is not None and _beside(node, best)
-    chosen = [node.kept or node is best.parent and not linked and bool(_ENDS_SENTENCE.search(text)) for node, text, linked in blocks]
+        node.kept = inherited or node is best or node.parent is hub is not None and (node.good > 0 or _beside(node, best))
+    chosen = [node.kept or node is hub and not linked and bool(_ENDS_SENTENCE.search(text)) for node, text, linked in blocks]
     first = next((i for i, (node, _, _) in enumerate(blocks) if node.kept), 0)
     for i in range(first - 1, -1, -1):
         node, text, linked = blocks[i]
