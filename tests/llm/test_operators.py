@@ -761,7 +761,7 @@ def test_long_words_and_numerals():
     langs, p = langid.learn([("en", "the cat and the dog"), ("fr", "le chat et le chien")], pieces)
     lattice, rng = langid.Lattice(pieces), random.Random(2)
     words = [langid.START + "".join(rng.choices("thecaning", k=rng.randint(1, langid.LONGEST - 1))) for _ in range(40)]
-    each = np.array([langid._long_word(lattice, p, w)[2] for w in words])
+    each = np.array([langid._long_word(lattice, np.log(np.maximum(p, 1e-300)), w) for w in words])
     assert np.allclose(langid.word_log_probabilities(lattice, p, words), each)
     scorer = langid.Scorer(langs, p, pieces)
     assert scorer.predict(["\xbd \xb2 \u2460", "12 34", "\xbd the \xb2"])[0] == ["und", "und", "en"]

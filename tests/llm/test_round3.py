@@ -256,3 +256,61 @@ def test_licences_against_brute_force(spark, most, monkeypatch):
 def test_licences_are_not_seen_in_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("not contains(lower(text), 'licen')")
     assert licences.scan(docs).filter("labels <> '' or score > 0").count() == 0
+
+
+# --- earlier operators: bounds and nulls -------------------------------------------
+
+
+@pytest.mark.parametrize("letters", [10, 40, 300])
+def test_languages_are_learned_from_words_of_any_length(letters):
+    import public_tokenizers
+
+    from weftline.llm import langid
+
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(0)
+    word = lambda a: "".join(rng.choice(a) for _ in range(letters))
+    two = ("abcdefghijklm", "nopqrstuvwxyz")
+    train = [(str(k), " ".join(word(a) for _ in range(8))) for k, a in enumerate(two) for _ in range(10)]
+    langs, p = langid.learn(train, pieces)
+    got, _ = langid.Scorer(langs, p, pieces).predict([word(two[i % 2]) for i in range(40)])
+    assert got == [str(i % 2) for i in range(40)]
+
+
+def test_long_words_give_what_arrays_give(monkeypatch):
+    from weftline.llm import langid
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "abab", "c"]
+    lattice = langid.Lattice(pieces)
+    rng = np.random.default_rng(0)
+    p = rng.random((len(pieces) + 2, 3)) + 0.01
+    p[lattice.unknown], p[lattice.none] = langid.FLOOR, 0.0
+    words_ = sorted({"▁" + "".join(rng.choice(list("abcd"), 12)) for _ in range(20)})
+    counts = rng.integers(0, 3, (len(words_), 3)).astype(float)
+    used, logs = langid._expected(lattice, p, words_, counts), langid.word_log_probabilities(lattice, p, words_)
+    monkeypatch.setattr(langid, "LONGEST", 3)
+    assert np.allclose(langid.word_log_probabilities(lattice, p, words_), logs)
+    assert np.allclose(langid._expected(lattice, p, words_, counts)[: len(pieces)], used[: len(pieces)])
+
+
+def test_labelled_rows_to_learn_from_are_bounded(spark):
+    from weftline.llm import gam
+
+    measured = spark.createDataFrame([(i if i > 400 else 3, [float(i)] * len(gam.FEATURES)) for i in range(500)], "doc_id bigint, x array<double>")
+    labels = spark.createDataFrame([(3, i % 2) for i in range(50)] + [(i, 1) for i in range(401, 500)], "doc_id bigint, quality int")
+    x, y = gam.training_rows(measured, labels, 100)
+    assert len(x) == len(y) <= 100
+    x, y = gam.training_rows(measured.filter("doc_id > 400"), labels, 1000)
+    assert len(x) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(401, 500))
+
+
+def test_nulls_are_groups_of_their_own(spark):
+    from weftline.llm import hilbert, mcd
+
+    rows = [(i, "word " * 60, (None, "", "en")[i % 3], "s") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert hilbert.measured(df).select("d0").distinct().count() == 3
+    assert sorted(r.d0 for r in hilbert.measured(df).select("d0").distinct().collect())[0] == ""
+    assert mcd.word_statistics(df).select("lang").distinct().count() == 3
+    kept = mcd.keep_good(df)
+    assert kept.columns == df.columns and kept.count() <= 30

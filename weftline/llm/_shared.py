@@ -96,6 +96,11 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def or_null(value: Column) -> Column:
+    """A value as a string that null has a place of its own among: empty, before all others."""
+    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), value.cast("string")))
+
+
 def crc_mod(identifier: Column, modulus: int) -> Column:
     """crc32 of the identifier's decimal digits, modulo ``modulus``."""
     return F.crc32(identifier.cast("string").cast("binary")) % F.lit(modulus)

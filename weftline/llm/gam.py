@@ -174,14 +174,17 @@ class AdditiveModel:
 
 
 def training_rows(measured: DataFrame, labels: DataFrame, most_rows: int, label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``most_rows`` labelled documents, those whose ids have the smallest hashes; a document counts as often as it meets a label."""
     usable = labels.filter(F.col(label_col).isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).select(
         F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("y")
     )
-    n = usable.count()
-    share = 1 << 20
+    met = measured.join(usable, F.col("doc_id") == F.col("__id")).select("doc_id", "x", "y")
+    n = met.count()
+    share, place = 1 << 20, F.xxhash64("doc_id")
     if n > most_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("__id"), F.lit(share)) < share * most_rows // n)
-    rows = measured.join(usable, F.col("doc_id") == F.col("__id")).select("doc_id", "x", "y").collect()
+        # about so many by hash, where each lies; ids with many rows can make it more, so the order decides
+        met = met.filter(F.pmod(place, F.lit(share)) < share * 2 * most_rows // n)
+    rows = met.orderBy(F.pmod(place, F.lit(share)), "doc_id", "y", "x").limit(most_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     return np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], dtype=float)
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, running_total, utf8
+from ._shared import cut, or_null, running_total, utf8
 
 BUCKET_ROWS = 8192  # rows of the table for each hash slot
 
@@ -95,8 +95,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col(id_col).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("d0"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("d1"),
+        or_null(F.col("lang")).alias("d0"),
+        or_null(F.col("source")).alias("d1"),
         F.floor(F.log2(size) * 8).cast("int").alias("d2"),
     )
 

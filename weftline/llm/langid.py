@@ -12,9 +12,11 @@ runs over arrays that hold one position of all of them.
 Piece probabilities are learned by expectation maximisation over the same
 lattices, from a bounded sample of labelled texts of each language (``per_lang``
 documents, whole, chosen by hash of the id, as many of them as have
-``most_bytes`` together) and smoothed towards the pool of all languages.  A letter that no piece covers has one small probability in every
-language.  Words are never cut: those of more than ``LONGEST`` letters, as in
-scripts without spaces, take the same pass one at a time, scaled as it goes.
+``most_bytes`` together, or an equal part of ``all_bytes`` where there are many
+languages) and smoothed towards the pool of all languages.  A letter that no
+piece covers has one small probability in every language.  Words are never cut,
+and words of any length are learned from: those of more than ``LONGEST`` letters,
+as in scripts without spaces, take the same passes one at a time, in logarithms.
 
 The prediction is the likeliest language, the first by name on a tie; the score
 is its share of the likelihoods after the root of the number of words is taken,
@@ -29,6 +31,7 @@ carried on by ``keep_known``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -140,19 +143,34 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
-def _long_word(lattice: Lattice, probabilities: np.ndarray, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward values at each position of one word, each row divided so that its greatest is one; what was divided by; and log-probabilities."""
-    n = len(word)
-    forward, scale = np.zeros((n + 1, probabilities.shape[1])), np.zeros(n + 1)
-    forward[0] = 1.0
-    for end in range(1, n + 1):
-        for start, piece in lattice.edges_of(word, end):
-            # values before ``start`` are relative to the scale there
-            forward[end] += forward[start] * probabilities[piece] * np.exp(scale[start] - scale[end - 1])
-        top = forward[end].max(initial=0.0)
-        scale[end] = scale[end - 1] + (np.log(top) if top > 0 else 0.0)
-        forward[end] /= top or 1.0
-    return forward, scale, np.log(np.maximum(forward[n], 1e-300)) + scale[n]
+def _long_word(lattice: Lattice, logs: np.ndarray, word: str) -> np.ndarray:
+    """Log-probability of one word of any length in each language.  ``logs``: of the pieces' probabilities."""
+    forward = np.zeros((len(word) + 1, logs.shape[1]))
+    for end in range(1, len(word) + 1):
+        terms = np.array([forward[start] + logs[piece] for start, piece in lattice.edges_of(word, end)])
+        top = terms.max(axis=0)
+        forward[end] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return forward[len(word)]
+
+
+def _long_uses(edges: list[list[tuple[int, int]]], probability: list[float], count: float, used: np.ndarray) -> None:
+    """Add to ``used`` the expected uses of the pieces of one word in one language.
+
+    ``edges``: for each end, the pieces that end there.  The forward pass is in
+    logarithms; then, from the end of the word on, the weight of each position is
+    shared out among the pieces that lead to it.
+    """
+    forward = [0.0]
+    for inward in edges:
+        terms = [forward[start] + math.log(probability[piece]) for start, piece in inward]
+        top = max(terms)
+        forward.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    weight = [0.0] * len(edges) + [count]
+    for end in range(len(edges), 0, -1):
+        for start, piece in edges[end - 1]:
+            share = weight[end] * math.exp(forward[start] - forward[end]) * probability[piece]
+            weight[start] += share
+            used[piece] += share
 
 
 def word_log_probabilities(lattice: Lattice, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
@@ -160,8 +178,9 @@ def word_log_probabilities(lattice: Lattice, probabilities: np.ndarray, words: l
     out = np.zeros((len(words), probabilities.shape[1]))
     for n, where in _by_length(words).items():
         if n > LONGEST:
+            logs = np.log(np.maximum(probabilities, 1e-300))
             for i in where:
-                out[i] = _long_word(lattice, probabilities, words[i])[2]
+                out[i] = _long_word(lattice, logs, words[i])
             continue
         some = [words[i] for i in where]
         forward = np.zeros((n + 1, len(some), probabilities.shape[1]))
@@ -173,13 +192,15 @@ def word_log_probabilities(lattice: Lattice, probabilities: np.ndarray, words: l
 
 
 def _expected(lattice: Lattice, probabilities: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language, by forward and backward passes.
-
-    Words of more than ``LONGEST`` letters teach nothing: the sample has more of the others.
-    """
+    """Expected uses of each piece in each language, by forward and backward passes; words of more than ``LONGEST`` letters one by one."""
     used = np.zeros_like(probabilities)
+    columns = np.maximum(probabilities, 1e-300).T.tolist()
     for n, where in _by_length(words).items():
         if n > LONGEST:
+            for i in where:
+                edges = [lattice.edges_of(words[i], end) for end in range(1, n + 1)]
+                for k in np.flatnonzero(counts[i]):
+                    _long_uses(edges, columns[k], float(counts[i, k]), used[:, k])
             continue
         some = [words[i] for i in where]
         edges = list(lattice.edges(some, n))
@@ -266,9 +287,11 @@ class Scorer:
         return langs, scores
 
 
-def training_texts(docs: DataFrame, per_lang: int, most_bytes: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (language, text) pairs of each language, and ``most_bytes`` of text, outside the held-out fifth."""
+def training_texts(docs: DataFrame, per_lang: int, most_bytes: int, id_col: str, text_col: str, lang_col: str, all_bytes: int = 256_000_000) -> list[tuple[str, str]]:
+    """At most ``per_lang`` (language, text) pairs of each language, ``most_bytes`` of its text and ``all_bytes`` of all, outside the held-out fifth."""
     eligible = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0))
+    n_langs = eligible.select(lang_col).distinct().count()
+    most_bytes = min(most_bytes, all_bytes // max(1, n_langs))
     size, mark = F.octet_length(F.col(text_col).cast("string")), F.xxhash64(F.col(text_col).cast("string"))
     order = Window.partitionBy("__lang").orderBy("__h", "__id", "__mark")
     chosen = (

@@ -45,7 +45,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import beside, counted, cut, masked, utf8
+from ._shared import beside, counted, cut, masked, or_null, utf8
 
 SPACE = " \\t\\n\\u000B\\u000C\\r"
 STATS = ("x0", "x1", "x2")
@@ -89,8 +89,8 @@ def word_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _word_statistics(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
-            F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+            or_null(F.col("lang")).alias("lang"),
+            or_null(F.col("source")).alias("source"),
             utf8(F.col(text_col).cast("string")).alias("__text"),
         )
     )
@@ -317,7 +317,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """
     plain, new, restore = masked(docs)
     identifier, text = F.col(new[id_col]).cast("long"), utf8(F.col(new[text_col]).cast("string"))
-    lang, source = (F.coalesce(F.col(new[c]).cast("string"), F.lit("")) for c in ("lang", "source"))
+    lang, source = (or_null(F.col(new[c])) for c in ("lang", "source"))
     narrow = plain.select(identifier.alias("doc_id"), lang.alias("lang"), source.alias("source"), F.xxhash64(text).alias("th"), text.alias("__text"))
     bad = judge(_word_statistics(narrow), **how).filter("not kept").select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lang").alias("__lang"), F.col("source").alias("__source")
