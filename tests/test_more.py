@@ -1,6 +1,7 @@
 """Sources and sinks on files made here; learners, segments and token features against plain Python or numpy."""
 
 import io
+import math
 import json
 import math
 import re
@@ -319,3 +320,23 @@ def test_slots_of_odd_values(spark):
         at = ordered.slotted(frame, "x", "s", ordered.splitters(frame, "x")).collect()
         top = max((r.s for r in at if r.x is not None and r.x == r.x), default=-1)
         assert all((r.s == -1) == (r.x is None) for r in at) and all(r.s > top for r in at if r.x is not None and r.x != r.x)
+
+
+@pytest.mark.parametrize("head", [0, 7, 10**6])
+def test_words_looked_up_where_they_lie(spark, head):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.union(spark.createDataFrame([(1, "the the word"), (1, "the the word"), (None, "of é"), (9000, ""), (9001, None), (9002, " ?! ")], docs.schema)).persist()
+    words = tx.words(F.col("text"))
+    want = {}
+    for r in tk.unigram_tokens(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text"))).distinct(), words).collect():
+        want.setdefault(tuple(r.doc_id), {})[r.pos] = r.word
+    counts = {r.word: r.n for r in docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    rank = {w: 1 + sum(m > n for m in counts.values()) for w, n in counts.items()}
+    texts = {(r.doc_id, r.h): r.w for r in docs.select("doc_id", F.xxhash64("text").alias("h"), words.alias("w")).collect() if r.w}
+    got = tk.unigram_arrays(docs, words, head_words=head).collect()
+    assert len(got) == docs.filter(F.size(words) > 0).count()
+    plain = lambda w: [(round(math.log(counts[x] / total), 9), round(-counts[x] / total * math.log(counts[x] / total), 9), rank[x]) for x in w]
+    found = sorted(str((r.doc_id, [(round(a, 9), round(b, 9), c) for a, b, c in zip(r.logp, r.entropy, r["rank"])])) for r in got)
+    assert found == sorted(str((r.doc_id, plain(r.w))) for r in docs.select("doc_id", words.alias("w")).collect() if r.w)
+    assert tk.unigram_arrays(docs.limit(0), words, head_words=head).count() == 0 and len(texts) == len(want)

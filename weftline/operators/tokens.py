@@ -1,8 +1,9 @@
 """Summaries of per-token values: arrays in rows (id, logp, entropy, rank), or a row for each token (id, pos, logp, entropy, rank).
 
-The values are those of any language model, or of ``unigram_tokens``, a stand-in
-that needs none.  Summaries work within the row, on arrays in the order of the
-tokens; ``token_arrays`` makes these from rows for each token, in one
+The values are those of any language model, or of a stand-in that needs none:
+``unigram_arrays``, which looks words up where the texts lie, or ``unigram_tokens``,
+a row for each word.  Summaries work within the row, on arrays in the order of
+the tokens; ``token_arrays`` makes these from rows for each token, in one
 shuffle, and the summaries take either.
 """
 
@@ -10,6 +11,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,8 @@ from ..functions.vectors import let
 
 WINDOW = 16
 PERCENTS = (0.10, 0.25, 0.50, 0.75, 0.90)
-HEAD_WORDS = 100_000  # words of a vocabulary that are broadcast
+HEAD_WORDS = 100_000  # words of a vocabulary that are broadcast to a join
+TABLE_WORDS = 1_000_000  # words of the table that tasks look up, some 40 MB
 
 
 def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
@@ -45,6 +50,82 @@ def unigram_tokens(docs: DataFrame, words: Column, key: str = "doc_id") -> DataF
     return met.filter(F.col("rank").isNotNull()).select(*columns).unionByName(rare.select(*columns))
 
 
+def _levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count, words, rank, share) for each different count, the highest first: about as many as the root of the number of tokens."""
+    rows = counts.groupBy("c").agg(F.count("*").alias("m")).collect()
+    rows.sort(key=lambda r: -r.c)
+    c, m = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    return c, m, np.cumsum(m) - m + 1, c / max(1, int((c * m).sum()))
+
+
+def _looked_up(lists: pa.ListArray, table: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(offsets from 0, words, place of each in the table or null) of an array of lists of words."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.string())
+    return pa.array(offsets - offsets[0], pa.int32()), flat, pc.index_in(flat, table.column("word").combine_chunks())
+
+
+def unigram_arrays(docs: DataFrame, words: Column, key: str = "doc_id", head_words: int = TABLE_WORDS) -> DataFrame:
+    """(key, logp, entropy, rank): the values of ``unigram_tokens`` as arrays in the order of the words, a row for each document with words.
+
+    Only (word, count) pairs are shuffled.  The commonest words, ``head_words``
+    at most, are looked up where the texts lie, in a broadcast table.  If there
+    are more, each document's different rare words, not its tokens, meet their
+    counts by a join, and come back to the document as one list.
+    """
+    rows = docs.select(key, words.alias("__w")).filter(F.size("__w") > 0)
+    counts = rows.select(F.explode("__w").alias("word")).groupBy("word").agg(F.count("*").alias("c")).persist()
+    c, m, rank, share = _levels(counts)
+    within = np.flatnonzero(np.cumsum(m) <= head_words)  # words of one count are all in the head, or none is
+    least = int(c[within[-1]]) if len(within) else 1 << 62
+    head = counts.filter(F.col("c") >= least).toArrow()
+    # levels fall, so the place of a count is found among their negatives
+    place = np.searchsorted(-c, -head.column("c").to_numpy()) if len(c) else np.zeros(0, dtype=np.int64)
+    log = np.log(np.maximum(share, 1e-300))
+    values = {"logp": log[place], "entropy": -(share * log)[place], "rank": rank[place]}
+    table = pa.table({"word": head.column("word").cast(pa.string()), **{n: pa.array(x) for n, x in values.items()}})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    kind = docs.schema[key].dataType.simpleString()
+
+    def values_of(batches):
+        table = pa.ipc.open_stream(shared.value).read_all()
+        for batch in batches:
+            offsets, flat, found = _looked_up(batch.column(1), table)
+            columns = [table.column(n).combine_chunks().take(found) for n in ("logp", "entropy", "rank")]
+            if batch.num_columns > 2:  # and each document's own list of rare words, which follow one another in one table
+                own = batch.column(2)
+                rare = own.values.slice(own.offsets[0].as_py(), own.offsets[-1].as_py() - own.offsets[0].as_py())
+                # a word's counts are the same in all lists
+                at = pc.index_in(flat, rare.field("word").cast(pa.string()))
+                columns = [pc.coalesce(x, rare.field(n).cast(x.type).take(at)) for x, n in zip(columns, ("logp", "entropy", "rank"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(offsets, x) for x in columns]], [key, "logp", "entropy", "rank"])
+
+    def rare_of(batches):
+        table = pa.ipc.open_stream(shared.value).read_all()
+        for batch in batches:
+            offsets, flat, found = _looked_up(batch.column(1), table)
+            missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            row = np.searchsorted(offsets.to_numpy(), missing, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), flat.take(pa.array(missing))], [key, "word"])
+
+    schema = f"`{key}` {kind}, logp array<double>, entropy array<double>, rank array<bigint>"
+    if len(within) == len(c):
+        counts.unpersist()
+        return rows.mapInArrow(values_of, schema)
+    total = int((c * m).sum())
+    levels = docs.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(c, rank)], "c bigint, rank bigint")
+    p = F.col("c") / F.lit(total)
+    known = counts.filter(F.col("c") < least).join(levels, "c").select("word", F.log(p).alias("logp"), (-p * F.log(p)).alias("entropy"), "rank")
+    pairs = rows.mapInArrow(rare_of, f"`{key}` {kind}, word string").distinct().join(known, "word")
+    lists = pairs.groupBy(key).agg(F.collect_list(F.struct("word", "logp", "entropy", "rank")).alias("__v")).select(F.col(key).alias("__k"), "__v")
+    none = F.array().cast("array<struct<word:string,logp:double,entropy:double,rank:bigint>>")
+    met = rows.join(lists, F.col(key).eqNullSafe(F.col("__k")), "left").select(key, "__w", F.coalesce("__v", none).alias("__v"))
+    return met.mapInArrow(values_of, schema)
+
+
 def token_arrays(tokens: DataFrame, key: str) -> DataFrame:
     """(key, logp, entropy, rank), what there is of them, as arrays in the order of ``pos``; rows with arrays stay as they are."""
     if "pos" not in tokens.columns:

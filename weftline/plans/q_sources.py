@@ -51,7 +51,7 @@ SELECT doc_id, {', '.join(f'round(CASE WHEN n >= 2 THEN {c} ELSE 0 END, 6) AS {c
 UNION ALL SELECT doc_id, {', '.join('0.0' for _ in ['lp_mean', 'lp_std', *FULL, *BUCKET_COLS])} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s)""")
 def token_features(spark, sf_dir):
     d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = tk.full_summary(tk.token_arrays(tk.unigram_tokens(d, tx.words(F.col("text"))), "doc_id"), d, "doc_id")
+    out = tk.full_summary(tk.unigram_arrays(d, tx.words(F.col("text"))), d, "doc_id")
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ["lp_mean", "lp_std", *FULL, *BUCKET_COLS]])
 
 

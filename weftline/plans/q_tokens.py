@@ -21,7 +21,7 @@ def _tokens(spark, sf_dir):
 
 
 def _arrays(spark, sf_dir):
-    return tk.token_arrays(_tokens(spark, sf_dir), "doc_id")
+    return tk.unigram_arrays(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), tx.words(F.col("text")))
 
 
 def _rounded(df, key="doc_id"):
