@@ -340,3 +340,40 @@ def test_words_looked_up_where_they_lie(spark, head):
     found = sorted(str((r.doc_id, [(round(a, 9), round(b, 9), c) for a, b, c in zip(r.logp, r.entropy, r["rank"])])) for r in got)
     assert found == sorted(str((r.doc_id, plain(r.w))) for r in docs.select("doc_id", words.alias("w")).collect() if r.w)
     assert tk.unigram_arrays(docs.limit(0), words, head_words=head).count() == 0 and len(texts) == len(want)
+
+
+def test_covariance_of_wide_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 1024)) * rng.random(1024) + 100
+    rows = [("a" if i % 3 else None, v.tolist()) for i, v in enumerate(x)] + [("a", None), ("a", [])]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(40)
+    got = {}
+    for r in geometry.covariance_blocks(df, "g", "v").collect():
+        got.setdefault(r.g, {})[r["first"]] = r
+    for g, mine in (("a", x[np.arange(600) % 3 != 0]), (None, x[::3])):
+        blocks = [np.reshape(got[g][f].block, (-1, 1024)) for f in sorted(got[g])]
+        assert np.allclose(np.concatenate(blocks) / (len(mine) - 1), np.cov(mine.T), rtol=1e-9, atol=1e-12) and got[g][0].n == len(mine)
+        assert np.allclose(got[g][0].mean, mine.mean(axis=0))
+    found = {r.g: r for r in geometry.spectral_features(df, "g", "v").collect()}
+    want = geometry.spectrum(np.linalg.eigvalsh(np.cov(x[::3].T)))
+    assert all(abs(found[None][k] - w) < 1e-8 for k, w in want.items())
+
+
+def test_a_cache_is_read_only_when_whole(spark, tmp_path):
+    path, made = f"{tmp_path}/c", []
+    make = lambda n: lambda: (made.append(n), spark.range(n))[1]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "part-0.parquet").write_bytes(b"half")  # what a broken job left
+    assert tables.read_or_make(spark, path, make(3)).count() == 3
+    assert tables.read_or_make(spark, path, make(4)).count() == 3 and made == [3]
+
+    def slow():
+        # another writer is done while this one still writes
+        tables.read_or_make(spark, f"{tmp_path}/d", make(5))
+        return spark.range(6)
+
+    assert tables.read_or_make(spark, f"{tmp_path}/d", slow).count() == 5
+    with pytest.raises(Exception, match="broken"):
+        tables.read_or_make(spark, f"{tmp_path}/e", lambda: spark.range(3).select(F.raise_error(F.lit("broken"))))
+    assert tables.read_or_make(spark, f"{tmp_path}/e", make(2)).count() == 2
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["c", "d", "e"]

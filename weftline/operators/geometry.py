@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as v
 
@@ -76,35 +79,82 @@ def spectrum(values: np.ndarray) -> dict[str, float]:
     }
 
 
-def spectral_features(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, six features) of the eigenvalues of the sample covariance.
+BLOCK_ROWS = 64  # rows of a matrix that are one row of a table
+FAN = 32  # partial results that are joined in one go
+BATCH = 4096
+
+
+def _joined(parts):
+    """(n, mean, products about the mean) of several such, one after another."""
+    n, mean, block = 0, 0.0, 0.0
+    for first, m, other, products in parts:
+        if not m:
+            continue
+        gap = other - mean
+        block = block + products + np.outer(gap[first : first + len(products)], gap) * (n * m / (n + m))
+        mean, n = mean + gap * (m / (n + m)), n + m
+    return n, mean, block
+
+
+def covariance_blocks(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, first, n, mean, block): products about the mean, ``BLOCK_ROWS`` rows of the matrix in each row, from ``first`` on.
 
-    Products of components are summed by hash aggregation, so what reaches one
-    task is a matrix of the width of the vectors, whatever the number of rows.
+    A task adds up its own vectors of each group by matrix products and sends
+    one row a block; these are joined ``FAN`` at a time, first by task, then by
+    group, so that no task holds more than some of one block.  Null vectors are
+    left out; those of a group should have one length.
     """
-    x = df.select(group, F.col(vector).cast("array<double>").alias("x"))
-    sums = x.select(group, F.posexplode("x").alias("i", "a")).groupBy(group, "i").agg(F.sum("a").alias("s"), F.count("*").alias("n"))
-    rows = x.select(group, "x", F.posexplode("x").alias("i", "a"))
-    products = (
-        rows.select(group, "i", F.posexplode(F.transform("x", lambda b: b * F.col("a"))).alias("j", "p"))
-        .filter("i <= j")
-        .groupBy(group, "i", "j")
-        .agg(F.sum("p").alias("p"))
-    )
-    left = sums.select(group, "i", F.col("s").alias("si"), "n")
-    right = sums.select(group, F.col("i").alias("j"), F.col("s").alias("sj"))
-    cov = products.join(left, [group, "i"]).join(right, [group, "j"]).select(group, "i", "j", ((F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("c"))
+    kind = df.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, first int, n bigint, mean array<double>, block array<double>"
+    names = [group, "first", "n", "mean", "block"]
+
+    def rows_of(mark, n, mean, products):
+        for first in range(0, len(mean), BLOCK_ROWS):
+            yield mark, first, n, mean.tolist(), products[first : first + BLOCK_ROWS].ravel().tolist()
+
+    def sums(batches):
+        held = {}
+        for batch in batches:
+            coded = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for at in np.split(order, cuts):
+                mark = coded.dictionary[int(codes[at[0]])].as_py()
+                lists = batch.column(1).take(pa.array(at))
+                for start in range(0, len(lists), BATCH):
+                    some = lists[start : start + BATCH]
+                    x = some.flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1).astype(float)
+                    mean = x.mean(axis=0)
+                    y = x - mean
+                    held[mark] = _joined([(0, *held[mark]), (0, len(x), mean, y.T @ y)]) if mark in held else (len(x), mean, y.T @ y)
+        for mark, (n, mean, products) in held.items():
+            for row in rows_of(mark, n, mean, products):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=to_arrow_schema(wanted))
+
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        width = len(pdf["mean"].iloc[0])
+        n, mean, block = _joined((key[1], int(m), np.asarray(a), np.asarray(b).reshape(-1, width)) for m, a, b in zip(pdf["n"], pdf["mean"], pdf["block"]))
+        return pd.DataFrame({group: [key[0]], "first": [key[1]], "n": [n], "mean": [mean.tolist()], "block": [np.ravel(block).tolist()]})
+
+    narrow = df.select(group, F.col(vector).cast("array<double>").alias("__x")).filter("__x is not null and size(__x) > 0")
+    wanted = df.sparkSession.createDataFrame([], schema).schema
+    parts = narrow.mapInArrow(sums, wanted).withColumn("__task", F.floor(F.spark_partition_id() / FAN))
+    return parts.groupBy(group, "first", "__task").applyInPandas(join, wanted).groupBy(group, "first").applyInPandas(join, wanted)
+
+
+def spectral_features(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, six features) of the eigenvalues of the sample covariance; what reaches one task is one matrix of the width of the vectors."""
     names = ["spec_entropy", "participation", "stable_rank", "top1", "top5", "top10"]
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["j"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["i"], pdf["j"]] = pdf["c"]
-        m = m + np.triu(m, 1).T
-        return pd.DataFrame([{group: key[0], **spectrum(np.linalg.eigvalsh(m))}])
+        pdf = pdf.sort_values("first")
+        width, n = len(pdf["mean"].iloc[0]), int(pdf["n"].iloc[0])
+        m = np.concatenate([np.asarray(b).reshape(-1, width) for b in pdf["block"]]) / max(1, n - 1)
+        return pd.DataFrame([{group: key[0], **spectrum(np.linalg.eigvalsh((m + m.T) / 2))}])
 
     kind = df.schema[group].dataType.simpleString()
-    return cov.groupBy(group).applyInPandas(solve, f"{group} {kind}, " + ", ".join(f"{n} double" for n in names))
+    return covariance_blocks(df, group, vector).groupBy(group).applyInPandas(solve, f"`{group}` {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def symmetric_kl(p: DataFrame, q: DataFrame, bin_col: str, eps: float = 1e-12) -> DataFrame:

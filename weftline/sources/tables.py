@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -74,11 +75,31 @@ def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Rows of ``path`` if it exists, else those of ``make`` written there first."""
+    """Rows of ``path`` if they were written there whole, else those of ``make``, written first.
+
+    Rows go to a folder of their own attempt beside the path, which is renamed
+    when it is whole and bears Spark's mark of success.  A folder without the
+    mark, as an older job may have left it, is made anew.  Of two writers the
+    first to rename wins; the other one's rows are deleted, and both read the
+    same.
+    """
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        make().write.parquet(path)
+    place = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = lambda at: fs.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+    if not whole(place):
+        attempt = jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{place.getName()}-{uuid.uuid4().hex}")
+        try:
+            make().write.parquet(attempt.toString())
+            if not whole(attempt):
+                raise OSError(f"{attempt.toString()} bears no mark of success")
+            if fs.exists(place) and not whole(place):
+                fs.delete(place, True)
+            # where a folder is there by now, renaming into it would nest this one
+            if not whole(place) and not fs.rename(attempt, place) and not whole(place):
+                raise OSError(f"couldn't rename to {path}")
+        finally:
+            fs.delete(attempt, True)
     return spark.read.parquet(path)
 
 
