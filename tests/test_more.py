@@ -8,12 +8,13 @@ import re
 import tarfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import pii as p
 from weftline.functions import text as tx
-from weftline.operators import boosting, geometry, ordered
+from weftline.operators import boosting, boosting_sums, geometry, ordered
 from weftline.operators import convo as cv
 from weftline.operators import evaluate as ev
 from weftline.operators import learn as ln
@@ -227,6 +228,45 @@ def test_out_of_fold_scores(spark):
     assert few.count() == 600  # all are scored, whatever is learned from
 
 
+def test_trees_from_sums_are_those_from_arrays(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(700, 4)), 2)  # ties within features
+    x[::50, 1], x[1::50, 2] = 0.0, 1e300
+    y = (x[:, 0] + 0.7 * x[:, 3] + rng.normal(size=700) > 0).astype(float)
+    fold, ids, names = rng.integers(0, 4, 700), rng.integers(-(2**60), 2**60, 700), list("abcd")
+    frame = pd.DataFrame({"y": y, "fold": fold.astype("int32"), "id": ids, **dict(zip(names, x.T))})
+    df = spark.createDataFrame(frame).repartition(3)
+    cuts = boosting_sums.feature_cuts(df, names, 255)
+    # patience ends some folds within a block of rounds, others go on over blocks
+    how = dict(rounds=8, patience=2, leaves=5)
+    wide = boosting_sums.learn_folds(df, names, cuts, 4, how, block=3)
+    lengths = set()
+    for m in range(4):
+        out = fold == m
+        small = boosting.BoostedTrees(**how).fit(x[~out], y[~out], x[out], y[out], ids[~out], cuts)
+        assert len(small.trees) == len(wide[m].trees) and small.start == wide[m].start
+        for one, other in zip(small.trees, wide[m].trees):
+            assert all((a == b).all() for a, b in zip(one, other))
+        assert (small.gains == wide[m].gains).all() and (small.score(x) == wide[m].score(x)).all()
+        lengths.add(len(small.trees))
+    assert len(lengths) > 1 and max(lengths) > 3
+
+
+def test_trees_of_one_class_and_of_nothing(spark):
+    df = spark.createDataFrame([(i, float(i), 1) for i in range(30)], "id long, a double, y int")
+    for rows in (df, df.limit(0)):
+        for most in (100, 0 if rows is df else -1):
+            scores, _, gains = ln.boosted_oof(rows, ["a"], "y", "id", most_rows=most, draws="key", rounds=3)
+            assert scores.filter("score < 0.99").count() == 0 and gains.first().importance == 0
+
+
+def test_draws_take_their_share_and_do_not_depend_on_place():
+    ids = np.arange(20_000, dtype=np.int64) - 10_000
+    took = boosting.drawn(ids, 3, 0.85)
+    assert 0.84 < took.mean() < 0.86 and (boosting.drawn(ids[::-1], 3, 0.85)[::-1] == took).all()
+    assert boosting.drawn(ids, 0, 1.0).all() and (boosting.drawn(ids, 4, 0.85) != took).any()
+
+
 def test_ridge_is_exact(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 3)) * [1, 5, 0.2]

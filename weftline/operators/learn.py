@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .boosting_sums import feature_cuts, learn_folds
 from .evaluate import hash_order, hash_positions, stratified_folds
 
 
@@ -20,30 +21,47 @@ def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
     return np.nan_to_num(frame[features].to_numpy(dtype=float), posinf=1e300, neginf=-1e300)
 
 
-def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 5, seed: int = 42, most_rows: int = 50_000, **how):
+def _finite(name: str) -> F.Column:
+    """As ``_matrix`` reads a column."""
+    x = F.col(name).cast("double")
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300)))
+
+
+def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 5, seed: int = 42, most_rows: int = 50_000, draws: str = "order", **how):
     """Out-of-fold scores, scores of ``test`` averaged over folds, and mean feature importances (gain).
 
-    Each fold's model is learned in a task of its own, on the other folds, and
-    stops early on the fold it leaves out.  Learned from are about ``most_rows``
-    rows, chosen by hash of the key; every row is scored, where it lies, by the
+    Each fold's model is learned from all rows of the other folds, and stops
+    early on the fold it leaves out; rows without a label are only scored.  Up
+    to ``most_rows`` rows a fold is learned in a task of its own; beyond that all
+    folds grow from sums over the table (``boosting_sums``).  With ``draws``
+    "key" the models are the same either way: which rows a round's draw takes
+    follows from a hash of their key.  "order" draws places in the order of the
+    keys where the rows fit a task.  Every row is scored, where it lies, by the
     model of its fold.  ``how``: parameters of ``BoostedTrees``.
     """
     folds = stratified_folds(df, label, key, k, seed).select(key, F.col(label).cast("double").alias("__y"), F.col(label).alias("__label"), "fold", *[F.col(f).cast("double") for f in features])
-    n = df.count()
-    share = F.pmod(F.xxhash64(F.lit("learn"), F.col(key).cast("string")), F.lit(1 << 20))
-    some = folds.filter(share < max(1, (1 << 20) * most_rows // n)) if n > most_rows else folds
+    number = F.xxhash64(F.col(key).cast("string")).alias("id")
+    names = [f"x{i}" for i in range(len(features))]
+    known = folds.filter("__y is not null").select(F.col(key).alias("key"), F.col("__y").alias("y"), "fold", number, *[_finite(f).alias(x) for f, x in zip(features, names)])
+    how = {"seed": seed, **how}
+    small = known.count() <= most_rows
+    by_key = draws == "key" or not small
+    cuts = feature_cuts(known, names, how.get("bins", BoostedTrees().bins)) if by_key else None
 
     def fit(group, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, kind="stable")
-        out = frame["fold"] == group[0]
-        y = frame["__y"].to_numpy()
-        model = BoostedTrees(seed=seed, **how).fit(_matrix(frame[~out], features), y[~out], _matrix(frame[out], features), y[out])
-        return pd.DataFrame({"model": [group[0]], "held": [model.dump()], "gains": [model.gains.tolist()]})
-
-    dealt = some.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    # k rows, of a size that rounds and leaves bound
-    models = {r.model: r for r in dealt.groupBy("model").applyInPandas(fit, "model int, held binary, gains array<double>").collect()}
-    shared = df.sparkSession.sparkContext.broadcast({m: bytes(r.held) for m, r in models.items()})
+        frame = frame if by_key else frame.sort_values("key", kind="stable")
+        out = (frame["fold"] == group[0]).to_numpy()
+        x, y, ids = frame[names].to_numpy(dtype=float), frame["y"].to_numpy(), frame["id"].to_numpy()
+        model = BoostedTrees(**how).fit(x[~out], y[~out], x[out], y[out], ids[~out] if by_key else None, cuts)
+        return pd.DataFrame({"model": [group[0]], "held": [model.dump()]})
+
+    if small:
+        dealt = known.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        # k rows, of a size that rounds and leaves bound
+        models = {r.model: bytes(r.held) for r in dealt.groupBy("model").applyInPandas(fit, "model int, held binary").collect()}
+    else:
+        models = {m: model.dump() for m, model in learn_folds(known.drop("key"), names, cuts, k, how).items()}
+    shared = df.sparkSession.sparkContext.broadcast(models)
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def score(frames):
@@ -63,7 +81,7 @@ def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test:
 
     scores = folds.mapInPandas(score, f"`{key}` {kind[key]}, `{label}` {kind[label]}, fold int, score double")
     averaged = test.select(key, *features).mapInPandas(score_all, f"`{key}` {kind[key]}, score double") if test is not None else None
-    gains = np.mean([r.gains for r in models.values()], axis=0) if models else np.zeros(len(features))
+    gains = np.mean([pickle.loads(x).gains for x in models.values()], axis=0) if models else np.zeros(len(features))
     importances = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, gains)], "feature string, importance double")
     return scores, averaged, importances
 

@@ -152,19 +152,19 @@ def _features(spark, sf_dir):
 
 @query()
 def gbt_cv_oof(spark, sf_dir):
-    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id")[0]
+    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id", draws="key")[0]
 
 
 @query()
 def gbt_test_scores(spark, sf_dir):
     """Documents without a label, scored by the mean of the folds' models."""
     rest = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id", tx.stylometry(rest))[1]
+    return ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id", tx.stylometry(rest), draws="key")[1]
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    return ln.top_features(ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id")[2])
+    return ln.top_features(ln.boosted_oof(_features(spark, sf_dir), tx.STYLOMETRY, "quality", "doc_id", draws="key")[2])
 
 
 @query()
