@@ -79,13 +79,21 @@ def pii_type_detect_alt(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", p.pii_type(F.col("text"), p.ALT_RULES).alias("pii_type"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, 'Card assigned to Ann ' || upper(lang[1:1]) || 'o, for ' || text AS t FROM documents),
+# a name stands before each text in one of five ways: after "assigned to", as an owner, as an owner after a stop word, without a cue, not at all
+@query(f"""WITH n AS (SELECT *, 'Ann ' || upper(lang[1:1]) || 'o' AS who FROM documents),
+t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Card assigned to ' || who || ', for ' WHEN 1 THEN who || '''s card: ' WHEN 2 THEN 'Made for The Bank, on ' || who || '''s wish. '
+  WHEN 3 THEN who || ' wrote: ' ELSE '' END || text AS t FROM n),
 f AS (SELECT doc_id, trim(regexp_extract(t, '{p.NAME_AFTER}', 1)) AS a, trim(regexp_extract(t, '{p.NAME_OWNER.replace("'", "''")}', 1)) AS b,
   list_filter(regexp_extract_all(t, '{p.NAME}', 1), lambda x: lower(regexp_split_to_array(x, '\\s+')[1]) NOT IN ({_in(p.NOT_NAMES)})) AS r FROM t)
 SELECT doc_id, CASE WHEN a <> '' AND lower(regexp_split_to_array(a, '\\s+')[1]) NOT IN ({_in(p.NOT_NAMES)}) THEN a
   WHEN b <> '' AND lower(regexp_split_to_array(b, '\\s+')[1]) NOT IN ({_in(p.NOT_NAMES)}) THEN b ELSE trim(r[1]) END AS name FROM f""")
 def pii_name_extract(spark, sf_dir):
-    t = F.concat(F.lit("Card assigned to Ann "), F.upper(F.substring("lang", 1, 1)), F.lit("o, for "), "text")
+    who, way = F.concat(F.lit("Ann "), F.upper(F.substring("lang", 1, 1)), F.lit("o")), F.col("doc_id") % 5
+    around = [("Card assigned to ", ", for "), ("", "'s card: "), ("Made for The Bank, on ", "'s wish. "), ("", " wrote: ")]
+    start = F.lit("")
+    for i, (before, after) in enumerate(around):
+        start = F.when(way == i, F.concat(F.lit(before), who, F.lit(after))).otherwise(start)
+    t = F.concat(start, "text")
     return _docs(spark, sf_dir).select("doc_id", p.person_name(t).alias("name"))
 
 

@@ -12,7 +12,7 @@ from .catalog import query
 BASE = """
 e AS (SELECT vec_id, label, CASE WHEN vec_id % 2 = 0 THEN 'mix' ELSE 'pop' END AS side,
         list_transform(embedding, lambda x: x::DOUBLE) AS f,
-        list_transform(embedding[1:10], lambda x: 10 * x::DOUBLE) AS l FROM embeddings),
+        list_transform(embedding, lambda x: 10 * x::DOUBLE) AS l FROM embeddings),
 m AS (SELECT *, list_max(l) AS t FROM e),
 z AS (SELECT *, t + ln(list_sum(list_transform(l, lambda x: exp(x - t)))) AS lse FROM m),
 p AS (SELECT *, list_transform(l, lambda x: exp(x - lse)) AS p, list_reverse_sort(l) AS o FROM z),
@@ -22,7 +22,7 @@ q AS (SELECT *, list_reverse_sort(p) AS po FROM p)"""
 def _base(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").withColumn("f", v.doubles(F.col("embedding")))
     e = e.withColumn("side", F.when(F.col("vec_id") % 2 == 0, "mix").otherwise("pop"))
-    e = e.withColumn("l", F.transform(F.slice("f", 1, 10), lambda x: x * 10))
+    e = e.withColumn("l", F.transform("f", lambda x: x * 10))
     return e.withColumn("p", v.softmax(F.col("l"))).drop("embedding")
 
 
