@@ -23,6 +23,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As C and DuckDB round doubles: the scaled value, half away from zero; what is below zero and rounds to it is -0.0."""
+    scaled = F.abs(x) * 10.0**digits
+    return F.when(scaled < float("inf"), F.signum(x) * F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 def log_sum_exp(logits: Column) -> Column:
     return let(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 

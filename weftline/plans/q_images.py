@@ -24,7 +24,7 @@ SELECT vec_id, list(round(p, 5) ORDER BY i, j) FILTER (w = 5) AS small, list(rou
 def bilinear_resize(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select("vec_id", v.doubles(F.col("embedding")).alias("f"))
     out = images.resized(images.resized(e, "f", "small", 8, 8, 5, 5), "f", "large", 8, 8, 16, 16)
-    return out.select("vec_id", *[F.transform(c, lambda x: F.round(x, 5)).alias(c) for c in ("small", "large")])
+    return out.select("vec_id", *[F.transform(c, lambda x: v.rounded(x, 5)).alias(c) for c in ("small", "large")])
 
 
 @query(f"""WITH e AS (SELECT vec_id, vec_id % 2 AS part, unnest(range(64)) AS k, abs(unnest(embedding)::DOUBLE) AS m FROM embeddings),
@@ -39,7 +39,7 @@ def image_normalise(spark, sf_dir):
     pixels = F.flatten(F.transform("f", lambda x: F.array(share(x), share(x) * share(x), 1 - share(x))))
     levels = F.when(F.col("part") == 0, F.lit(255.0)).otherwise(F.lit(1.0))
     out = images.normalised(e.select("vec_id", "part", F.transform(pixels, lambda x: x * levels).alias("i")), ["part"], "i", (8, 8, 3), MEANS, STDS)
-    return out.select("vec_id", F.transform("x", lambda x: F.round(x, 5)).alias("x"))
+    return out.select("vec_id", F.transform("x", lambda x: v.rounded(x, 5)).alias("x"))
 
 
 BEAMS = """RECURSIVE c AS (SELECT vec_id // 32 AS g, vec_id % 32 // 4 AS s, vec_id % 4 AS b, (vec_id * 7 + label) % 4 AS p,

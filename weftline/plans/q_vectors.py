@@ -82,7 +82,7 @@ def vec_grad_norm(spark, sf_dir):
 SELECT label, (SELECT count(*) FROM e WHERE e.label = a.label) AS n, list(round(m, 6) ORDER BY i) AS mean FROM a GROUP BY label""")
 def class_centroids(spark, sf_dir):
     m = g.mean_vectors(_base(spark, sf_dir), ["label"], "f")
-    return m.select("label", "n", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    return m.select("label", "n", F.transform("mean", lambda x: v.rounded(x, 6)).alias("mean"))
 
 
 @query(f"""WITH {BASE}, x AS (SELECT side, label, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM e),
