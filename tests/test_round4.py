@@ -17,7 +17,7 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert repr(got) == repr(want) and "-0.0" in repr(want)
 
 
-@pytest.mark.parametrize("name", ["bilinear_resize", "image_normalise"])
+@pytest.mark.parametrize("name", ["bilinear_resize", "channel_normalise", "image_normalise"])
 def test_lists_equal_their_sql_to_the_sign(spark, tmp_path, name):
     import __spark_entry__ as entry
 

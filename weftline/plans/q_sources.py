@@ -25,7 +25,7 @@ def parquet_origin(spark, sf_dir):
 def channel_normalise(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     out = normalise_channels(v.doubles(F.col("embedding")), [0.1, 0.2, 0.3], [0.5, 0.25, 2.0], 2.0)
-    return e.select("vec_id", F.transform(out, lambda x: F.round(x, 5)).alias("x"))
+    return e.select("vec_id", F.transform(out, lambda x: v.rounded(x, 5)).alias("x"))
 
 
 @query("""SELECT item_id AS key, 'q' || chr(10) || 'A. ' || text || chr(10) || 'B. no' AS instruction, 'The answer is ' || CASE item_id % 2 WHEN 0 THEN 'A' ELSE 'B' END || '. as said' AS output
