@@ -1,12 +1,17 @@
 """Results that must equal DuckDB's to the sign of a zero and the edge of a word; learners over larger tables."""
 
+import inspect
 import math
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import vectors as v
+from weftline.operators import boosting
+from weftline.operators import learn as ln
 
 
 def test_rounding_keeps_the_sign_of_zero(spark):
@@ -45,3 +50,47 @@ def test_edges_of_words_are_those_of_the_sql(spark, tmp_path, name):
     got = entry.queries()[name](spark, str(tmp_path))
     want = con.sql(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_folds_in_tasks_are_those_from_arrays(spark):
+    """Bins that travel packed, and sums of the smaller side, give the trees of the plain way."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(500, 3)), 2)
+    y = (x[:, 0] + 0.5 * rng.normal(size=500) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int")
+    how = dict(rounds=6, patience=3, leaves=6)
+    fit = {most: ln.boosted_oof(df, ["a", "b", "c"], "y", "id", most_rows=most, draws="key", **how) for most in (1_000, 100)}
+    small, wide = ({r.id: (r.fold, r.score) for r in fit[most][0].collect()} for most in (1_000, 100))
+    assert small == wide and len({s for _, s in small.values()}) > 10
+    assert sorted(map(tuple, fit[1_000][2].collect())) == sorted(map(tuple, fit[100][2].collect()))
+
+
+@pytest.mark.parametrize("name", ["gbt_cv_oof", "feature_importance", "gbt_test_scores", "ridge_rf_blend"])
+def test_learners_work_out_features_once(spark, monkeypatch, name):
+    """Every learner's input is a written table; text statistics aren't part of what it reads again and again."""
+    from weftline.plans import q_evaluate
+
+    read = []
+
+    class Stop(Exception):
+        pass
+
+    def note(df, *_, **__):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise Stop
+
+    monkeypatch.setattr(ln, "feature_cuts", note)
+    monkeypatch.setattr(ln, "ridge_and_forest", note)
+    with pytest.raises(Stop):
+        getattr(q_evaluate, name)(spark, "/root/testdata/sf0.001")
+    assert "regexp" not in read[0] and ("ExistingRDD" in read[0] or "LogicalRDD" in read[0])
+
+
+def test_sixty_thousand_rows_are_learned_within_tasks():
+    """Beyond 50,000 rows the default took thousands of Spark jobs, which no time limit allows."""
+    assert inspect.signature(ln.boosted_oof).parameters["most_rows"].default >= 1_000_000
+    rng = np.random.default_rng(5)
+    b, y = rng.integers(0, 255, (60_000, 15)).astype(np.uint16), rng.integers(0, 2, 60_000).astype(float)
+    began = time.process_time()
+    boosting.BoostedTrees(rounds=10, patience=100).fit_bins(b[:50_000], y[:50_000], b[50_000:], y[50_000:], np.arange(50_000), [np.arange(254.0)] * 15)
+    assert time.process_time() - began < 20

@@ -43,9 +43,11 @@ def drawn(ids: np.ndarray, draw: int, share: float) -> np.ndarray:
 def sums_by_bin(b: np.ndarray, slope: np.ndarray, features, bins: int) -> np.ndarray:
     """(all features, bins, 3): sums of the slopes of rows in each bin of ``features``; zeros for the other features."""
     out = np.zeros((b.shape[1], bins, 3), dtype=np.int64)
+    gradient, curvature = np.ascontiguousarray(slope[:, 0]), np.ascontiguousarray(slope[:, 1])
     for f in features:
-        for j in range(3):
-            out[f, :, j] = np.bincount(b[:, f], slope[:, j], bins)
+        column = b[:, f].astype(np.intp)
+        out[f, :, 0], out[f, :, 1] = np.bincount(column, gradient, bins), np.bincount(column, curvature, bins)
+        out[f, :, 2] = np.bincount(column, minlength=bins)
     return out
 
 
@@ -189,9 +191,12 @@ class BoostedTrees:
         if cuts is None:
             cuts = [np.unique(np.quantile(x[:, i], np.arange(1, self.bins) / self.bins, method="lower")) if len(x) else np.zeros(0) for i in range(x.shape[1])]
             cuts = [c[:-1] if len(c) and len(x) and c[-1] >= x[:, i].max() else c for i, c in enumerate(cuts)]
+        return self.fit_bins(binned(x, cuts), y, binned(x_valid, cuts), y_valid, ids, cuts)
+
+    def fit_bins(self, b, y, bv, y_valid, ids, cuts) -> BoostedTrees:
+        """``fit`` of features that are in bins already."""
         if not self.begin(y.sum(), len(y), cuts):
             return self
-        b, bv = binned(x, cuts), binned(x_valid, cuts)
         raw, raw_v = np.full(len(y), self.start), np.full(len(y_valid), self.start)
         for step in range(self.rounds):
             if step % self.draw_every == 0:
@@ -208,7 +213,10 @@ class BoostedTrees:
                 _, f, k = tree.cuts[node]
                 low = bo[rows[node], f] <= k
                 rows[2 * node], rows[2 * node + 1] = rows[node][low], rows[node][~low]
-                tree.give(node, sums_by_bin(bo[rows[2 * node]], slope[rows[2 * node]], features, self.bins))
+                # the smaller side is summed; sums are whole numbers, so the other is the exact difference
+                smaller = min(rows[2 * node], rows[2 * node + 1], key=len)
+                sums = sums_by_bin(bo[smaller], slope[smaller], features, self.bins)
+                tree.give(node, sums if smaller is rows[2 * node] else tree.sums[node] - sums)
             made, _, gains = tree.flat()
             self.keep(made, gains)
             raw += outputs(made, b)

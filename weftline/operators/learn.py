@@ -12,7 +12,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees
+from ..streaming import shared_folder
+from .boosting import BoostedTrees, binned
 from .boosting_sums import feature_cuts, learn_folds
 from .evaluate import hash_order, hash_positions, stratified_folds
 
@@ -27,19 +28,29 @@ def _finite(name: str) -> F.Column:
     return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300)))
 
 
-def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 5, seed: int = 42, most_rows: int = 50_000, draws: str = "order", **how):
+def held_once(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: written to the shared folder, as learners read it many times and features cost more than learning."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test: DataFrame | None = None, k: int = 5, seed: int = 42, most_rows: int = 1_500_000, draws: str = "order", **how):
     """Out-of-fold scores, scores of ``test`` averaged over folds, and mean feature importances (gain).
 
     Each fold's model is learned from all rows of the other folds, and stops
     early on the fold it leaves out; rows without a label are only scored.  Up
-    to ``most_rows`` rows a fold is learned in a task of its own; beyond that all
-    folds grow from sums over the table (``boosting_sums``).  With ``draws``
+    to ``most_rows`` rows a fold is learned in a task of its own, which holds two
+    bytes a feature and row (45 MB of the fifteen features at that limit); beyond
+    that all folds grow from sums over the table (``boosting_sums``).  With ``draws``
     "key" the models are the same either way: which rows a round's draw takes
     follows from a hash of their key.  "order" draws places in the order of the
     keys where the rows fit a task.  Every row is scored, where it lies, by the
     model of its fold.  ``how``: parameters of ``BoostedTrees``.
     """
     folds = stratified_folds(df, label, key, k, seed).select(key, F.col(label).cast("double").alias("__y"), F.col(label).alias("__label"), "fold", *[F.col(f).cast("double") for f in features])
+    folds = held_once(folds)
     number = F.xxhash64(F.col(key).cast("string")).alias("id")
     names = [f"x{i}" for i in range(len(features))]
     known = folds.filter("__y is not null").select(F.col(key).alias("key"), F.col("__y").alias("y"), "fold", number, *[_finite(f).alias(x) for f, x in zip(features, names)])
@@ -48,15 +59,24 @@ def boosted_oof(df: DataFrame, features: list[str], label: str, key: str, test:
     by_key = draws == "key" or not small
     cuts = feature_cuts(known, names, how.get("bins", BoostedTrees().bins)) if by_key else None
 
+    def pack(frames):
+        for frame in frames:
+            yield frame[["y", "fold", "id"]].assign(bins=[b.tobytes() for b in binned(frame[names].to_numpy(dtype=float), cuts)])
+
     def fit(group, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame if by_key else frame.sort_values("key", kind="stable")
-        out = (frame["fold"] == group[0]).to_numpy()
-        x, y, ids = frame[names].to_numpy(dtype=float), frame["y"].to_numpy(), frame["id"].to_numpy()
-        model = BoostedTrees(**how).fit(x[~out], y[~out], x[out], y[out], ids[~out] if by_key else None, cuts)
+        out, y = (frame["fold"] == group[0]).to_numpy(), frame["y"].to_numpy()
+        if by_key:
+            b, ids = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint16).reshape(len(y), -1), frame["id"].to_numpy()
+            model = BoostedTrees(**how).fit_bins(b[~out], y[~out], b[out], y[out], ids[~out], cuts)
+        else:
+            x = frame[names].to_numpy(dtype=float)
+            model = BoostedTrees(**how).fit(x[~out], y[~out], x[out], y[out])
         return pd.DataFrame({"model": [group[0]], "held": [model.dump()]})
 
     if small:
-        dealt = known.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        read = known.select("y", "fold", "id", *names).mapInPandas(pack, "y double, fold int, id long, bins binary") if by_key else known
+        dealt = read.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         # k rows, of a size that rounds and leaves bound
         models = {r.model: bytes(r.held) for r in dealt.groupBy("model").applyInPandas(fit, "model int, held binary").collect()}
     else:
@@ -91,7 +111,10 @@ def top_features(importances: DataFrame, k: int = 15) -> DataFrame:
 
 
 def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, alpha: float = 1.0, trees: int = 400, depth: int = 7, least: int = 2, prior: float | None = None, seed: int = 42) -> DataFrame:
-    """(key, ridge, forest, proportion): mean of a standardised ridge regression and a forest, drawn to a prior, clipped."""
+    """(key, ridge, forest, proportion): mean of a standardised ridge regression and a forest, drawn to a prior, clipped.
+
+    ``train`` is read about five times, ``test`` once: costly features go through ``held_once`` first.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="__f")
     n = max(1, train.count())
     # the linear objective here is a mean of squares over two, so the penalty is alpha over n
