@@ -169,7 +169,7 @@ def feature_importance(spark, sf_dir):
 
 @query()
 def ridge_rf_blend(spark, sf_dir):
-    f = _features(spark, sf_dir).withColumn("y", F.col("quality").cast("double"))
+    f = ln.held_once(_features(spark, sf_dir).withColumn("y", F.col("quality").cast("double")))
     return ln.ridge_and_forest(f, f.drop("y", "quality"), tx.STYLOMETRY, "y", "doc_id", prior=0.5)
 
 
