@@ -2,7 +2,7 @@
 
 quality rules      documents that fail the rules or are robust outliers go
 language ID        documents whose language can't be told go
-near-duplicates    one document of each group of similar texts stays; a pivot table sifts the pairs, shingles decide
+near-duplicates    one document of each group stays; SimHash with pivots links, and shingles what fingerprints are too far apart for
 source mixing      documents are repeated as the temperature mixture takes them
 byte-level BPE     ids of every remaining row, encoded and decoded
 """

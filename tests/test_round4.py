@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftline.functions import vectors as v
+from weftline.llm import simhash, simhash_wide
 from weftline.operators import boosting
 from weftline.operators import learn as ln
 
@@ -94,3 +96,19 @@ def test_sixty_thousand_rows_are_learned_within_tasks():
     began = time.process_time()
     boosting.BoostedTrees(rounds=10, patience=100).fit_bins(b[:50_000], y[:50_000], b[50_000:], y[50_000:], np.arange(50_000), [np.arange(254.0)] * 15)
     assert time.process_time() - began < 20
+
+
+def test_near_duplicates_of_the_pipeline_link_by_fingerprint(spark):
+    """Texts whose fingerprints are near link though their sets of shingles aren't similar; so do similar sets whose fingerprints aren't near."""
+    phrase = "one two three four five six seven " * 100
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    words = [f"w{i}" for i in range(80)]
+    changed = words[:40] + ["other"] + words[41:]
+    rows = [(3, phrase + tail("a")), (4, phrase + tail("b")), (5, tail("x")), (6, tail("y")), (7, " ".join(words)), (8, " ".join(changed)), (9, phrase + tail("c"))]
+    apart = lambda t, u: ((simhash.fingerprint(t) ^ simhash.fingerprint(u)) & (1 << 64) - 1).bit_count()
+    texts, sets = dict(rows), {i: simhash_wide.shingles(t) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert apart(texts[3], texts[4]) <= 2 and apart(texts[4], texts[9]) <= 2 and not alike(3, 4) and not alike(4, 9)
+    assert apart(texts[7], texts[8]) > 2 and alike(7, 8) and apart(texts[5], texts[6]) > 2 and not alike(5, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {3, 5, 6, 7}

@@ -1,9 +1,16 @@
-"""Near-duplicates by similarity: an exact join of shingle sets, sifted by a pivot distance table.
+"""Near-duplicates by fingerprint and by similarity: SimHash with pivots, then an exact join of shingle sets.
 
-``simhash`` links fingerprints at a fixed small number of bits.  Copies with a
-few words changed are farther apart than that, so this form serves a similarity:
-texts link if their sets of five-word shingles have a Jaccard similarity of 0.8
-or more.
+Fingerprints
+    Every text has the fingerprint of ``simhash``, and the distinct ones go
+    through its search: distances to the pivots, cells of them, further
+    coordinates that discard, bits that verify.  Texts at most 2 bits apart
+    link, whatever their sets of shingles.
+
+Similarity
+    Copies with a few words changed are 3 bits and more apart, which pivots
+    can't sift, so an exact join adds the links of all texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, as laid out
+    below.  Components are those of both kinds of links.
 
 Meeting
     Of two sets of that similarity, each has one of the other's shingles among
@@ -14,7 +21,7 @@ Meeting
     last, and few sets go under them.  A bucket's count only steers the order;
     every order gives the same pairs.
 
-Pivot table
+Table of counts
     A set is a point of a Hamming space with a bit for each possible shingle,
     which is what a SimHash fingerprint rounds to 64 bits.  The space is split
     into ``m`` cells by hash, about one for each ``PER_CELL`` shingles of the
@@ -52,7 +59,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import beside, counted, cut, masked, runs, spread, utf8
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, links
 
 BUCKETS = 1 << 18
 LEAST_CELLS, PER_CELL = 64, 4
@@ -128,15 +135,17 @@ def _packed(text) -> bytes:
 
 def _mark(batches):
     for batch in batches:
-        cids, sizes, rows = [], [], []
+        cids, sizes, rows, fps = [], [], [], []
         for text in batch.column(1):
             held = _packed(text)
+            fps.append(fingerprint(text.as_py()))
             cids.append(xxhash.xxh64_intdigest(held, SEED))
             sizes.append(len(held) // 8)
             rows.append(pivot_row(np.frombuffer(held, np.uint64)))
         cids = np.array(cids, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(cids), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "th", "cid", "k", "pivots"]
+            [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(cids), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())],
+            ["doc_id", "th", "fp", "cid", "k", "pivots"],
         )
 
 
@@ -378,8 +387,19 @@ def _links(texts: DataFrame, classes: DataFrame, n_classes: int, similarity: flo
     return components(found, nodes=n)
 
 
+def _near(marked: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes that join all texts with equal fingerprints or such that differ in at most 2 bits; ``marked``: fp, cid of every row."""
+    held, _ = counted(marked.select("fp", "cid").distinct())
+    # a fingerprint is named by the least of its classes
+    names, n = counted(held.groupBy("fp").agg(F.min("cid").alias("least")))
+    same = held.join(beside(names, n), "fp").select(F.col("least").alias("a"), F.col("cid").alias("b"))
+    named = lambda end: beside(names.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_class")), n)
+    found = links(names.select("fp")).join(named("a"), "a").join(named("b"), "b").select("a_class", "b_class")
+    return same.union(found).filter("a <> b").distinct()
+
+
 def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of similar texts, with the columns of ``docs``, whatever their names.
+    """One row of each component of texts that link by fingerprint or by similarity, with the columns of ``docs``, whatever their names.
 
     The row with the smallest id stays; of a component without ids the one whose
     text's hash is least; of equal rows, one.  An empty table stays empty.
@@ -388,11 +408,12 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     identifier, text = F.col(new[id_col]).cast("long"), utf8(F.col(new[text_col]).cast("string"))
     hashed = plain.withColumn("__h", F.xxhash64(text))
     texts = hashed.select(identifier.alias("doc_id"), text.alias("text"), F.col("__h").alias("th"))
-    marked = cut(texts.mapInArrow(_mark, "doc_id long, th long, cid long, k int, pivots binary"))
+    marked = cut(texts.mapInArrow(_mark, "doc_id long, th long, fp long, cid long, k int, pivots binary"))
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th")
     # a class is named by a hash of its set, and known by its first row
     classes, n = counted(marked.groupBy("cid").agg(F.min(order).alias("first"), F.any_value("k").alias("k"), F.any_value("pivots").alias("pivots")))
-    roots = _links(texts, classes, n, similarity)
+    alike = _links(texts, classes, n, similarity).select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(_near(marked).union(alike), nodes=n)
     rooted = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").select("first", F.coalesce("root", "cid").alias("root"))
     keep, n_keep = counted(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("i"), F.col("f.th").alias("t")))
     chosen = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
