@@ -142,7 +142,12 @@ def _word_statistics(rows: DataFrame) -> DataFrame:
 
 
 def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, source, pool): the pool in which each group is estimated."""
+    """(lang, source, pool): the pool in which each group is estimated.
+
+    A pool is named by a 64-bit hash: a broadcast table under one long key takes
+    the memory of its rows, under any other key a page of tens of MB in each
+    executor, and the steps broadcast some fifty tables.
+    """
     groups = rows.groupBy("lang", "source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
     small = F.col("n") < least
     of_lang = groups.groupBy("lang").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("m"))
@@ -151,7 +156,12 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
         .when(F.col("m") >= least, F.concat_ws("\u0001", F.lit("l"), "lang"))
         .otherwise("all")
     )
-    return groups.join(of_lang, "lang").select("lang", "source", pool.alias("pool"))
+    return groups.join(of_lang, "lang").select("lang", "source", F.xxhash64(pool).alias("pool"))
+
+
+def _place():
+    """One number for a pool and a start."""
+    return F.xxhash64("pool", "start")
 
 
 def _judged(stats: DataFrame) -> DataFrame:
@@ -207,7 +217,7 @@ def _starts(rows: DataFrame, pools: int) -> DataFrame:
     turned = [F.when(F.col("r") > 0, F.col(f"z{i}") / F.col("r")).otherwise(0.0) for i in range(D)]
     both = near.groupBy("pool").agg(*[c.alias(f"{k}_{n}") for k, v in (("a", bent), ("b", turned)) for c, n in zip(_moments(v)[D:], [f"c{i}{j}" for i, j in PAIRS])])
     half = _limits(near.select("pool", F.lit(3).alias("start"), (F.col("r") * F.col("r")).alias("d2"), F.lit(0.0).alias("logdet")), 0.5)
-    inner = near.withColumn("start", F.lit(3)).withColumn("bin", _bin(F.col("r") * F.col("r"))).join(beside(half, pools), ["pool", "start"]).filter("bin <= limit")
+    inner = near.withColumn("start", F.lit(3)).withColumn("bin", _bin(F.col("r") * F.col("r"))).withColumn("place", _place()).join(beside(half, pools), "place").filter("bin <= limit")
     scaled = lambda c: [(F.col(f"{c}_c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS]
     middle = [F.col(f"q{i}").alias(f"m{i}") for i in range(D)]
     joined = found.join(both, "pool")
@@ -250,18 +260,19 @@ def _bin(d2):
 
 
 def _limits(near: DataFrame, coverage: float) -> DataFrame:
-    """(pool, start, limit): the bin of distance within which ``coverage`` of the rows lie."""
+    """(place, limit) of each pool and start: the bin of distance within which ``coverage`` of the rows lie."""
     counts = near.groupBy("pool", "start", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
     by = Window.partitionBy("pool", "start")
     counts = counts.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("t", F.sum("n").over(by))
-    return counts.groupBy("pool", "start").agg(F.min(F.when(F.col("c") >= coverage * F.col("t"), F.col("bin"))).alias("limit"))
+    limit = F.min(F.when(F.col("c") >= coverage * F.col("t"), F.col("bin"))).alias("limit")
+    return counts.groupBy("pool", "start").agg(limit).select(_place().alias("place"), "limit")
 
 
 def _concentrate(rows: DataFrame, factored: DataFrame, pools: int, coverage: float) -> DataFrame:
     """Means and covariances of the nearest ``coverage`` of each pool."""
     near = _distances(rows, factored, pools)
     limits = beside(_limits(near, coverage), STARTS * pools)
-    inner = near.withColumn("bin", _bin(F.col("d2"))).join(limits, ["pool", "start"]).filter("bin <= limit")
+    inner = near.withColumn("bin", _bin(F.col("d2"))).withColumn("place", _place()).join(limits, "place").filter("bin <= limit")
     return _factored(inner.groupBy("pool", "start").agg(*_moments(list(STATS)), F.max("logdet").alias("was")))
 
 
