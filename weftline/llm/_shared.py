@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -117,6 +118,25 @@ def local_env() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+_model: dict = {}
+
+
+def only(key, make):
+    """What ``make`` gives, kept by this worker until another key is asked for: the models of a job's steps don't add up."""
+    if key not in _model:
+        _model.clear()
+        gc.collect()  # a model's parts may refer to each other
+        _model[key] = make()
+    return _model[key]
+
+
+def given_back(batches):
+    """The batches a task makes; what Arrow holds unused goes back to the system at the end."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def runs(batches, columns: int, most: int):
     """Record batches cut and joined so that rows with equal first ``columns`` columns, which follow one another, are in one batch.
 

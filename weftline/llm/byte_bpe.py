@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import local_env
+from ._shared import given_back, local_env, only
 
 REMEMBERED = 250_000  # pieces that a worker remembers, in each of two generations
+FEW, LONGEST = 100_000, 64  # the same for ``ByteBPE``, twice for pieces after a space, and the letters of the longest it remembers
 
 
 def byte_characters() -> list[str]:
@@ -56,15 +57,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _Memory(dict):
     """A dict that makes what it lacks, and forgets what was long not asked for."""
 
-    def __init__(self, make, bound=REMEMBERED):
+    def __init__(self, make, bound=REMEMBERED, longest=None):
         super().__init__()
-        self.make, self.bound, self.old = make, bound, {}
+        self.make, self.bound, self.longest, self.old = make, bound, longest, {}
 
     def __missing__(self, key):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if self.longest is None or len(key) <= self.longest:
+            self[key] = value
         return value
 
     def tidy(self):
@@ -98,9 +100,9 @@ class ByteBPE:
         )
         self._pattern = regex.compile(pattern)
         self._letters = all(self._pattern.findall(x) == [x] for x in ("aBCd\u00e9F\u65e5", " aBCd\u00e9F\u65e5"))
-        self._match = _Memory(self._encode_match)
-        self._bare = _Memory(self._encode_piece)
-        self._spaced = _Memory(lambda piece: self._encode_piece(" " + piece), 2 * REMEMBERED)
+        self._match = _Memory(self._encode_match, FEW, LONGEST)
+        self._bare = _Memory(self._encode_piece, FEW, LONGEST)
+        self._spaced = _Memory(lambda piece: self._encode_piece(" " + piece), 2 * FEW, LONGEST)
 
     def _spell(self, raw: bytes) -> str:
         return raw.decode("latin-1").translate(self._write)
@@ -110,7 +112,7 @@ class ByteBPE:
 
     def _encode_piece(self, piece: str) -> bytes:
         if self._letters and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._match[piece]  # one match of the pattern; spares most pieces its cost
+            return self._encode_match(piece)  # one match of the pattern; spares most pieces its cost, and is remembered as a piece
         return b"".join(map(self._match.__getitem__, self._pattern.findall(piece)))
 
     def encode(self, text: str) -> np.ndarray:
@@ -160,15 +162,9 @@ class StreamDecoder:
         return self._utf8.decode(self._bpe.decode_bytes(ids), final)
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-
-
 def load(path: str, pattern: str) -> ByteBPE:
-    """One model for each worker process and vocabulary."""
-    key = (path, pattern)
-    if key not in _loaded:
-        _loaded[key] = ByteBPE(read_ranks(path), pattern)
-    return _loaded[key]
+    """The model of a vocabulary, kept by the worker process as long as it asks for no other."""
+    return only((path, pattern), lambda: ByteBPE(read_ranks(path), pattern))
 
 
 def _texts(batch):
@@ -242,7 +238,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             )
 
     return _narrow(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long"
+        lambda batches: given_back(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long"
     )
 
 

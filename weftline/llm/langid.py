@@ -6,7 +6,8 @@ the sum over all ways to cut it into pieces of the product of their
 probabilities, which a forward pass over the positions of the word gives without
 listing them.  Pieces never cross words, so a text's log-probability is the sum
 over its words, and a word is worked out once for as long as a worker remembers
-it.  New words of a batch of documents are worked out together: the forward pass
+it: two generations of ``remembered`` words, of which what is asked for again
+goes on.  New words of a batch of documents are worked out together: the forward pass
 runs over arrays that hold one position of all of them.
 
 Piece probabilities are learned by expectation maximisation over the same
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -40,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import beside, counted, crc_mod, masked, utf8
+from ._shared import beside, counted, crc_mod, given_back, masked, only, utf8
 
 LONGEST = 24
+MOST_TEXTS, MOST_CHARS = 256, 1 << 20  # worked out together
 LONGEST_PIECE = 16  # letters of the vocabulary's longest piece, mark included
 FLOOR = 1e-8
 START = "▁"
@@ -238,17 +241,40 @@ def learn(texts: list[tuple[str, str]], pieces: list[str], rounds: int = 3, smoo
     return langs, p
 
 
+def _together(texts: list[str]):
+    """The texts in groups of ``MOST_TEXTS`` and ``MOST_CHARS`` at most, or of one."""
+    some, chars = [], 0
+    for text in texts:
+        if some and (len(some) == MOST_TEXTS or chars + len(text) > MOST_CHARS):
+            yield some
+            some, chars = [], 0
+        some.append(text)
+        chars += len(text)
+    if some:
+        yield some
+
+
 class Scorer:
-    def __init__(self, langs: list[str], probabilities: np.ndarray, pieces: list[str], remembered: int = 400_000):
+    def __init__(self, langs: list[str], probabilities: np.ndarray, pieces: list[str], remembered: int = 60_000):
         self.langs, self._p, self._lattice, self._bound = langs, probabilities, Lattice(pieces), remembered
-        self._forget()
+        self._age()
+        self._age()
 
-    def _forget(self):
-        self._index: dict[str, int] = {}
-        self._scores = np.zeros((0, len(self.langs) + 1))
+    def _age(self):
+        """Forget the older words; the newer ones are the older now."""
+        nothing = {}, np.zeros((0, len(self.langs) + 1))
+        self._old, self._old_scores = (self._index, self._scores) if hasattr(self, "_index") else nothing
+        self._index, self._scores = nothing
 
     def _learn_words(self, raw: list[str]):
         """Rows of log-probabilities, and number of letter runs, for strings without white space."""
+        places = np.fromiter((self._old.get(w, -1) for w in raw), np.int64, len(raw))
+        out = np.zeros((len(raw), len(self.langs) + 1))
+        out[places >= 0] = self._old_scores[places[places >= 0]]
+        out[places < 0] = self._worked_out([raw[i] for i in np.flatnonzero(places < 0)])
+        self._scores = np.concatenate([self._scores, out])
+
+    def _worked_out(self, raw: list[str]) -> np.ndarray:
         parts = [words_of(w) for w in raw]
         flat = sorted({w for ws in parts for w in ws})
         at = {w: i for i, w in enumerate(flat)}
@@ -258,13 +284,21 @@ class Scorer:
             for w in ws:
                 new[i, :-1] += known[at[w]]
             new[i, -1] = len(ws)
-        self._scores = np.concatenate([self._scores, new])
+        return new
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
+        langs, scores = [], []
+        for some in _together(texts):
+            found = self._predicted(some)
+            langs += found[0]
+            scores += found[1]
+        return langs, scores
+
+    def _predicted(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if len(self._index) > self._bound:
-            self._forget()
+            self._age()
         index, lists, new = self._index, [], []
         for text in texts:
             words = text.split()
@@ -311,9 +345,6 @@ def training_texts(docs: DataFrame, per_lang: int, most_bytes: int, id_col: str,
     return sorted((row[0], row[1]) for row in rows)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, path: str, per_lang: int = 250, most_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     narrow = docs.select(
@@ -328,18 +359,15 @@ def _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_c
     langs, p = learn(training_texts(docs, per_lang, most_bytes, id_col, text_col, lang_col), pieces)
     shared = docs.sparkSession.sparkContext.broadcast((langs, p, pieces))  # pieces times languages numbers
     kept = [c for c in narrow.columns if c != "text"]
-    key = f"{id(shared)}-{len(_scorers)}-{np.abs(p).sum()!r}"
+    key = f"langid-{uuid.uuid4().hex}"
 
     def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*shared.value)
-        scorer = _scorers[key]
+        scorer = only(key, lambda: Scorer(*shared.value))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index("text"))
             found, scores = [], []
-            for i in range(0, len(texts), 256):
-                some = scorer.predict(texts[i : i + 256])
+            for i in range(0, len(texts), MOST_TEXTS):
+                some = scorer.predict(texts.slice(i, MOST_TEXTS).to_pylist())
                 found += some[0]
                 scores += some[1]
             yield pa.RecordBatch.from_arrays(
@@ -348,7 +376,7 @@ def _identify(docs, narrow, path, per_lang, most_bytes, id_col, text_col, lang_c
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text")
-    return narrow.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return narrow.mapInArrow(lambda batches: given_back(run(batches)), f"{kinds}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, path: str, per_lang: int = 250, most_bytes: int = 4_000_000, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
